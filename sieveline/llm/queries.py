@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, simhash, token_ids
+from . import chat, decontamination, packing, quality, simhash, token_ids
 from .common import read_table
 
 
@@ -36,9 +36,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.MEASURE_SQL}
+    return {
+        "op3_quality_rules": quality.MEASURE_SQL,
+        "op10_benchmark_decontamination": decontamination.CONTAMINATION_SQL,
+    }
