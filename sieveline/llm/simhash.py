@@ -203,5 +203,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_colum
     tied = materialize(components(links(distinct, budget)), "components").withColumnRenamed("node", "fp")
     least = distinct.join(tied, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = distinct.join(tied.join(least, "root").select("fp", "component_id"), "fp", "left")
-    named = named.select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # written first, so that the last join reads two plain shuffles and a hot fingerprint's rows can be split
+    named = materialize(named.select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
     return made.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
