@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import broadcast_if_small, materialize, text_or_empty
 from .components import components
 
 BITS = 64
 #: More distinct fingerprints than this in one group are dealt out again.
 GROUP = 2_000
+#: Rows up to which a list of rows is sent to all executors; a longer one is shuffled.
+BROADCAST_ROWS = 50_000
 #: Bits by which the trie goes down at a time, and node pairs looked at together.
 STEP, PAIRS = 6, 1 << 21
 
@@ -47,15 +49,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every row's whole text, as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """``doc_id, key, fp`` of every row: a hash of its text, and the whole text's fingerprint as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], schema=schema)
+            made = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], schema=schema)
 
-    return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.encode(text_or_empty(text_column), "UTF-8").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.encode(text_or_empty(text_column), "UTF-8").alias("text"))
+    return source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id bigint, key bigint, fp bigint")
 
 
 def _split(bits: list[int], parts: int) -> list[int]:
@@ -186,6 +189,18 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
     return rows.repartition("mask", "value").select("fp", "mask").mapInArrow(join, "a bigint, b bigint")
 
 
+def classes(docs: DataFrame, shingle: int = 3, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, key, fp, root, component_id`` of every row; ``root`` is one fingerprint of the row's component."""
+    made = materialize(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
+    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    tied = materialize(components(links(distinct, budget)), "components").withColumnRenamed("node", "fp")
+    least = distinct.join(tied, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = distinct.join(tied.join(least, "root"), "fp", "left")
+    # written first, so that the last join reads two plain shuffles and a hot fingerprint's rows can be split
+    named = materialize(named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")), "named")
+    return made.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -198,11 +213,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_colum
     names a component that has another id. An empty table gives an empty
     result; other columns are left out.
     """
-    made = materialize(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
-    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    tied = materialize(components(links(distinct, budget)), "components").withColumnRenamed("node", "fp")
-    least = distinct.join(tied, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = distinct.join(tied.join(least, "root").select("fp", "component_id"), "fp", "left")
-    # written first, so that the last join reads two plain shuffles and a hot fingerprint's rows can be split
-    named = materialize(named.select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
-    return made.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = classes(docs, shingle, budget, id_column, text_column)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component, all its columns kept: the smallest id's; rows without an id come last.
+
+    Of rows alike in id and text any one stays.
+    """
+    found = materialize(classes(docs, shingle, budget, id_column, text_column), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = found.groupBy("root").agg(F.min(place).alias("first"))
+    gone = found.join(first, "root").where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    again = found.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    gone, again = (broadcast_if_small(materialize(x, "rows"), BROADCAST_ROWS) for x in (gone, again))
+    key = F.xxhash64(F.encode(F.coalesce(docs[text_column], F.lit("")), "UTF-8"))
+    same = lambda x: docs[id_column].cast("bigint").eqNullSafe(x["_id"]) & (key == x["_key"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    once = kept.join(again, same(again), "left_anti")
+    return once.unionByName(kept.join(again, same(again), "left_semi").dropDuplicates([id_column, text_column]))
