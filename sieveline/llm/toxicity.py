@@ -44,10 +44,30 @@ TOP = 2
 BROADCAST_ROWS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_NOISY = re.compile(
-    r"(?<!\S)[^\W\d_](?:[ .\-_*][^\W_]){2,}(?![^\W_])"  # single letters with separators
-    r"|\S*?(?:[^\W\d_][0-9@$!|+€*]+[^\W\d_]|(?<!\S)[0-9@$|]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][0-9$@]+(?!\S))\S*"
-)
+#: What gives a disguise away; the whole token around it is then read anew. Cheap to look for, as most texts have none.
+_STAND_IN = re.compile(r"[0-9@$!|+€*]")
+_AMONG_LETTERS = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|(?<!\S)[0-9@$|]{1,2}[^\W\d_]|[^\W\d_][0-9$@](?!\S)")
+_REPEATED_LETTER = re.compile(r"([^\W\d_])\1\1")
+_SPACED_OUT = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
+
+
+def disguised(text: str) -> list[tuple[int, int]]:
+    """Spans of tokens that may be disguised words, left to right without overlap."""
+    spans = [m.span() for m in _SPACED_OUT.finditer(text)]
+    marks = [m.span() for m in _REPEATED_LETTER.finditer(text)]
+    if _STAND_IN.search(text):
+        marks += [m.span() for m in _AMONG_LETTERS.finditer(text)]
+    for start, end in marks:
+        while start and not text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        spans.append((start, end))
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
+    return out
 
 
 class CharacterModel:
@@ -58,7 +78,7 @@ class CharacterModel:
         one = one / one.sum()
         two = counts.sum(0)
         two = (two + 4.0 * one) / (two.sum(1, keepdims=True) + 4.0)
-        self.log = np.log((counts + 4.0 * two[None]) / (counts.sum(2, keepdims=True) + 4.0)).astype(np.float32)
+        self.log = np.log((counts + 4.0 * two[None]) / (counts.sum(2, keepdims=True) + 4.0)).tolist()
 
     def decode(self, seen: str) -> str:
         """The likeliest word behind ``seen``."""
@@ -72,11 +92,12 @@ class CharacterModel:
             following: dict = {}
             for (a, b), (p, word) in states.items():
                 self._put(following, (a, b), p + drop, word)
+                after = self.log[a][b]
                 for x, cost in stands:
                     n = _INDEX[x]
-                    self._put(following, (b, n), p + cost + float(self.log[a, b, n]), word + x)
+                    self._put(following, (b, n), p + cost + after[n], word + x)
             states, before = following, c
-        return max((p + float(self.log[a, b, 0]), word) for (a, b), (p, word) in states.items())[1]
+        return max((p + self.log[a][b][0], word) for (a, b), (p, word) in states.items())[1]
 
     @staticmethod
     def _put(states: dict, key, p: float, word: str) -> None:
@@ -146,9 +167,9 @@ class Reader:
         """The restored text's words and how many of them were restored."""
         restored, at, n = [], 0, 0
         text = text.lower()
-        for m in _NOISY.finditer(text):
-            restored += [text[at : m.start()], " ", self._restore(m[0]), " "]
-            at, n = m.end(), n + 1
+        for start, end in disguised(text):
+            restored += [text[at:start], " ", self._restore(text[start:end]), " "]
+            at, n = end, n + 1
         return _WORD.findall("".join(restored) + text[at:]), n
 
 
@@ -165,7 +186,12 @@ class Classifier:
     offset: float
     slope: float
 
+    def __post_init__(self):
+        self._starts = {f[: BEGINNINGS[0]] for f in self.weights}
+
     def weight(self, word: str) -> float:
+        if word[: BEGINNINGS[0]] not in self._starts and (len(word) >= BEGINNINGS[0] or word + "$" not in self.weights):
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     def score(self, evidence: float) -> float:
@@ -183,8 +209,21 @@ def _feature_weight(toxic: float, clean: float, n_toxic: int, n_clean: int) -> f
     return odds - math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
 
 
-def fit(rows: DataFrame, model: CharacterModel) -> Classifier:
-    """A classifier from ``rows (text, toxic)``.
+def restored(rows: DataFrame, model: CharacterModel) -> DataFrame:
+    """``rows (text, toxic)`` with each text's restored words, joined by spaces, in its place."""
+    given = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        reader = Reader(given.value)
+        for batch in batches:
+            texts = [" ".join(reader.words(text.as_py())[0]) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], names=["text", "toxic"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "text string, toxic int")
+
+
+def fit(rows: DataFrame) -> Classifier:
+    """A classifier from ``rows (text, toxic)`` with restored texts.
 
     Candidates are the features of enough toxic rows; they are counted in the
     clean rows; those that speak for the label are weighed again by the number
@@ -192,19 +231,17 @@ def fit(rows: DataFrame, model: CharacterModel) -> Classifier:
     copies of one text don't make its words toxic.
     """
     sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(model)
     sizes = {int(t): n for t, n in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     least = max(LEAST, LEAST_SHARE * n_toxic)
 
     def counted(which: DataFrame, wanted=None, contexts: bool = False) -> DataFrame:
         def run(batches):
-            reader = Reader(shared.value)
             kept = wanted.value if wanted else None
             found: Counter | set = set() if contexts else Counter()
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    words, _ = reader.words(text)
+                for text in batch.column(0):
+                    words = text.as_py().split(" ")
                     if contexts:
                         padded = ["", *words, ""]
                         found.update((f, f"{a} {c}") for a, b, c in zip(padded, words, padded[2:], strict=False) for f in features(b) if f in kept)
@@ -226,18 +263,17 @@ def fit(rows: DataFrame, model: CharacterModel) -> Classifier:
     telling = {f for f, n in often.items() if _feature_weight(n, in_clean.get(f, 0), n_toxic, n_clean) > 1}
     beside = dict(counted(toxic, sc.broadcast(telling), True).collect())
     weights = {f: w for f in telling if beside.get(f, 0) >= least and (w := _feature_weight(min(often[f], beside[f]), in_clean.get(f, 0), n_toxic, n_clean)) > 1}
-    trained = Classifier(weights, 0.0, 0.0)
-    return _calibrate(rows, model, trained, (n_toxic + 1) / (n_toxic + n_clean + 2))
+    return _calibrate(rows, Classifier(weights, 0.0, 0.0), (n_toxic + 1) / (n_toxic + n_clean + 2))
 
 
-def _calibrate(rows: DataFrame, model: CharacterModel, trained: Classifier, share: float) -> Classifier:
+def _calibrate(rows: DataFrame, trained: Classifier, share: float) -> Classifier:
     """Offset and slope by penalized logistic regression on counts of (evidence, label)."""
-    given = rows.sparkSession.sparkContext.broadcast((model, trained))
+    given = rows.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches):
-        reader = Reader(given.value[0])
+        weights = _Weights(given.value)
         for batch in batches:
-            found = [round(evidence(reader.words(text)[0], given.value[1].weight), 1) for text in batch.column(0).to_pylist()]
+            found = [round(evidence(text.as_py().split(" "), weights.__getitem__), 1) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], names=["x", "toxic"])
 
     table = rows.select("text", "toxic").mapInArrow(run, "x double, toxic int").groupBy("x", "toxic").count().collect()
@@ -276,8 +312,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     known = materialize(known, "labels")
     share = min(1.0, fit_rows / max(1, known.count()))
     known = known.where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {int(share * 1_000_000)}"))
-    rows = materialize(source.join(broadcast_if_small(known, BROADCAST_ROWS), "doc_id").select("text", "toxic"), "training")
-    given = docs.sparkSession.sparkContext.broadcast((model, fit(rows, model)))
+    rows = source.join(broadcast_if_small(known, BROADCAST_ROWS), "doc_id").select("text", "toxic")
+    rows = materialize(restored(rows, model), "training")
+    given = docs.sparkSession.sparkContext.broadcast((model, fit(rows)))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_restored", pa.int64())])
 
     def run(batches):
