@@ -263,7 +263,7 @@ def fit(rows: DataFrame) -> Classifier:
     telling = {f for f, n in often.items() if _feature_weight(n, in_clean.get(f, 0), n_toxic, n_clean) > 1}
     beside = dict(counted(toxic, sc.broadcast(telling), True).collect())
     weights = {f: w for f in telling if beside.get(f, 0) >= least and (w := _feature_weight(min(often[f], beside[f]), in_clean.get(f, 0), n_toxic, n_clean)) > 1}
-    return _calibrate(rows, Classifier(weights, 0.0, 0.0), (n_toxic + 1) / (n_toxic + n_clean + 2))
+    return _calibrate(rows, Classifier(weights, 0.0, 0.0), (n_toxic + 0.5) / (n_toxic + n_clean + 2))
 
 
 def _calibrate(rows: DataFrame, trained: Classifier, share: float) -> Classifier:
