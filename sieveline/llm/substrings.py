@@ -22,7 +22,7 @@ from xxhash import xxh3_64_intdigest as xxh3
 from .common import broadcast_if_small, materialize, text_or_empty
 
 #: A cut every so many bytes on average.
-EVERY = 28
+EVERY = 30
 #: Bytes that a cut depends on, and bytes between a cut and the hash's cut before it, at least.
 ROLL, MIN_BYTES = 16, 4
 #: A passage of over 50 words holds a run of whole chunks of this many words, unless it has no cut in a stretch far above the average.
@@ -63,18 +63,17 @@ def cuts(data: bytes) -> np.ndarray:
     return at if len(at) and at[-1] == len(data) else np.append(at, len(data))
 
 
-_CHUNKS = "doc_id bigint, key bigint, place bigint, size bigint, again boolean, digest bigint"
+_CHUNKS = "doc_id bigint, key bigint, place bigint, size bigint, digest bigint"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
     """Every chunk of ``docs (doc_id, key, text as bytes)``.
 
     ``place`` is its number and its first byte, ``size`` its bytes and the
-    words that end in it, 32 bits each; ``again``: further up in the text
-    there is a chunk like it.
+    words that end in it, 32 bits each. ``size`` is negative if further up in
+    the text there is a chunk like it.
     """
-    types = {"bigint": pa.int64(), "boolean": pa.bool_()}
-    schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in _CHUNKS.split(", ")])
+    schema = pa.schema([(x.split()[0], pa.int64()) for x in _CHUNKS.split(", ")])
 
     def of(data: bytes):
         end = cuts(data)
@@ -83,9 +82,9 @@ def chunks(docs: DataFrame) -> DataFrame:
         space = np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\v\f\r", np.uint8))
         ends_word = np.append(space[1:], True) & ~space
         words = np.diff(np.append(0, np.cumsum(ends_word)[end - 1]))
-        again = np.ones(len(end), bool)
-        again[np.unique(digests, return_index=True)[1]] = False
-        return (np.arange(len(end)) << 32) | start, ((end - start) << 32) | words, again, digests
+        sign = np.full(len(end), -1)
+        sign[np.unique(digests, return_index=True)[1]] = 1
+        return (np.arange(len(end)) << 32) | start, sign * (((end - start) << 32) | words), digests
 
     def run(batches):
         for batch in batches:
@@ -143,8 +142,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_i
     last = F.lit((1 << 63) - 1)
     source = _source(docs, id_column, text_column).select(F.coalesce("doc_id", last).alias("doc_id"), "key", "bytes")
     made = materialize(chunks(source), "chunks")
-    several = made.groupBy("digest").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("last"), F.max("again").alias("inside")).where("other < last OR inside").select("digest", "other")
-    hit = made.join(several, "digest").select("doc_id", "key", "place", "size", (F.col("again") | (F.col("doc_id") > F.col("other"))).alias("repeated"), "other")
+    several = made.groupBy("digest").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("last"), F.min("size").alias("size")).where("other < last OR size < 0").select("digest", "other")
+    # written first, so that the join reads two plain shuffles and a hot chunk's rows can be split
+    hit = made.join(materialize(several, "several"), "digest")
+    hit = hit.select("doc_id", "key", "place", F.abs("size").alias("size"), ((F.col("size") < 0) | (F.col("doc_id") > F.col("other"))).alias("repeated"), "other")
     by_text = hit.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("place", "size", "repeated", "other"))).alias("parts"))
     spans = by_text.select("doc_id", "key", _runs(F.filter("parts", lambda x: x["repeated"]), min_words).alias("removed"), _runs(F.col("parts"), min_words).alias("shared"))
     plain = lambda runs: F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["words"].alias("words")))
