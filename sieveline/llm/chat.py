@@ -152,3 +152,21 @@ class _Conversation:
 
     def row(self) -> dict:
         return {"conv_id": self.conv_id, "n_turns": self.n_turns, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars, "valid": self.valid and self.last in self.template.ends}
+
+
+#: DuckDB: the figures of all conversations and conversation -7 under the default template, without formatting anything.
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+t AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+             length(text) + len(regexp_extract_all(text, '\\\\|\[/?SYS\]|\[/?INST\]|</?s>|\[/?ROLE\]|\[/TURN\]'))
+             + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END AS chars
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars,
+       bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'user' THEN role = 'assistant' WHEN before IN ('system', 'assistant') THEN role = 'user' ELSE false END
+                AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM t GROUP BY conv_id
+"""

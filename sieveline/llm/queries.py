@@ -70,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality.MEASURE_SQL,
+        "op4_chat_formatting": chat.CHAT_SQL,
         "op5_secret_scans": secrets.SCAN_SQL,
         "op10_benchmark_decontamination": decontamination.CONTAMINATION_SQL,
     }
