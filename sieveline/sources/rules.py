@@ -20,7 +20,7 @@ ACTIONS = ("block", "redact", "warn")
 TARGETS = ("both", "llm", "tool")
 EXTRACTOR = r"\b\w{4,}\b"
 RULES_FILE = ".redaction_rules"
-GLOBAL_DIR = ".claude"
+GLOBAL_DIR = ".sieveline"
 
 
 @dataclass(frozen=True)
