@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows.
+def broadcast_if_small(df: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; a larger table goes through a shuffled join.
 
-    The rows are counted first, up to ``limit + 1`` of them; a larger table
-    goes through a shuffled join.
+    ``limit`` bounds the rows, or the sum of ``weight`` where rows differ in
+    size: it should count a row's values of about eight bytes.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    if weight is None:
+        size = df.limit(limit + 1).count()
+    else:
+        size = df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df

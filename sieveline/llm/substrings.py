@@ -27,8 +27,8 @@ EVERY = 30
 ROLL, MIN_BYTES = 16, 4
 #: A passage of over 50 words holds a run of whole chunks of this many words, unless it has no cut in a stretch far above the average.
 MIN_WORDS = 14
-#: Documents with repeats up to which their table is sent to all executors; a larger one is shuffled.
-BROADCAST_ROWS = 100_000
+#: Values of eight bytes up to which the table of repeats is sent to all executors; a larger one is shuffled.
+BROADCAST_VALUES = 2_000_000
 
 
 def _gears(seed: int = 20240229) -> np.ndarray:
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str =
     """
     found = materialize(repeats(docs, min_words, id_column, text_column), "repeats")
     total = lambda runs: F.coalesce(F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, r: a + r["words"]), F.lit(0).cast("bigint"))
-    found = broadcast_if_small(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "removed", "linked", total(F.col("shared")).alias("n_shared_words")), BROADCAST_ROWS)
+    found = broadcast_if_small(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "removed", "linked", total(F.col("shared")).alias("n_shared_words")), BROADCAST_VALUES, 6 + 4 * F.size("removed") + F.size("linked"))
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).withColumn("key", F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<binary>").alias("kept"))
     part = lambda start, end: F.substring("bytes", (start + 1).cast("int"), (end - start).cast("int"))
