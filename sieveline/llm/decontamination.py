@@ -17,8 +17,8 @@ from .common import broadcast_if_small, materialize, text_or_empty
 GRAM, WINDOW = 5, 6
 #: Words of a span that counts as contamination.
 SPAN = GRAM + WINDOW - 1
-#: Rows up to which a table is sent to all executors; larger ones are shuffled.
-BROADCAST_ROWS = 50_000
+#: Rows up to which a table is sent to all executors, and values of eight bytes for those with arrays; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_VALUES = 50_000, 2_000_000
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,17 +124,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     hit = materialize(hit, "hits")
 
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
-    small = broadcast_if_small(hit, BROADCAST_ROWS)
+    small = broadcast_if_small(hit, BROADCAST_VALUES, sum((F.size(f"h{n}") for n in [0, *short]), F.lit(4)))
     near = source.join(small, same(source, small)).select(hit["doc_id"], hit["key"], "text", F.struct(*(f"h{n}" for n in [0, *short])).alias("hits"))
     near = near.withColumn("words", words(F.col("text")))
     places = _let(_word_hashes(F.col("words")), lambda hashes: _places(hashes, F.size("words"), F.col("hits"), short))
     spans = near.select("doc_id", "key", "words", F.explode(places).alias("span"))
     spans = spans.select("doc_id", "key", "span", F.array_join(F.slice("words", F.col("span.start"), F.col("span.length")), " ").alias("window"))
-    found = spans.join(broadcast_if_small(windows, BROADCAST_ROWS), "window").groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = spans.join(broadcast_if_small(windows, BROADCAST_VALUES, 4 + 2 * F.size("items") + F.octet_length("window") / 8), "window").groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     found = materialize(found.select("doc_id", "key", _covered(F.col("spans")).alias("n_hit"), "items"), "found")
 
     counted = source.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    small = broadcast_if_small(found, BROADCAST_ROWS)
+    small = broadcast_if_small(found, BROADCAST_VALUES, 4 + 2 * F.size("items"))
     none = F.array().cast("array<string>")
     return counted.join(small, same(counted, small), "left").select(
         counted["doc_id"],
