@@ -93,6 +93,11 @@ class _Numbered:
             self.close(pieces, self.last or free <= self.slack)
 
 
+def _left(packed: DataFrame) -> DataFrame:
+    """Pieces that are packed again, with the group that left them in ``group``."""
+    return packed.where("not closed").withColumn("group", F.shiftright("sequence_id", 28).bitwiseAND((1 << 28) - 1))
+
+
 def pack(docs: DataFrame, tokenizer: str, boundary: str = "prefix", end_id: int = 0, capacity: int = 2048, open_bins: int = 256, slack: float = 0.005, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids.
 
@@ -158,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, boundary: str = "prefix", end_id: int
     groups = max(1, source.rdd.getNumPartitions())
     packed = materialize(source.mapInArrow(first, schema), "packed")
     done, round_ = [packed.where("closed")], 0
-    left = packed.where("not closed").withColumn("group", F.col("sequence_id").bitwiseAND((1 << 56) - 1).bitwiseAND(~((1 << 28) - 1)) / (1 << 28))
+    left = _left(packed)
     while True:
         round_, fewer = round_ + 1, -(-groups // MERGE)
         merged = left.withColumn("group", F.floor(F.col("group") * fewer / groups).cast("bigint")).groupBy("group").applyInPandas(again(round_, fewer == 1), schema)
@@ -167,13 +172,9 @@ def pack(docs: DataFrame, tokenizer: str, boundary: str = "prefix", end_id: int
             break
         merged = materialize(merged, "packed")
         done.append(merged.where("closed"))
-        left = merged.where("not closed").withColumn("group", F.col("sequence_id").bitwiseAND((1 << 56) - 1).bitwiseAND(~((1 << 28) - 1)) / (1 << 28))
+        left = _left(merged)
         groups = fewer
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
-    return spark_order(result, with_ids)
-
-
-def spark_order(packed: DataFrame, with_ids: bool) -> DataFrame:
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
+    return result.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
