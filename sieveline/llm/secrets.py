@@ -147,6 +147,28 @@ def _spans(text: Column, rule: SecretRule, rank: int) -> Column:
     return F.aggregate(pieces, state, step, lambda acc: acc["found"])
 
 
+def _with_spans(docs: DataFrame, rules, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` with a column ``__spans``; only ids and rule names are joined to it."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    queries = {rule.kind: query for rule in rules if (query := trigram_query(rule.pattern))}
+    trigrams = sorted({t for query in queries.values() for clause in query for way in clause for t in way})
+    df, kinds, unknown = docs, F.array().cast("array<string>"), F.col(id_column).isNull()
+    if queries:
+        source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL")
+        buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+        index = materialize(postings(source, trigrams, buckets), "trigrams")
+        maybe = materialize(candidates(index, trigrams, queries), "candidates").select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
+        df = docs.join(broadcast_if_small(maybe, BROADCAST_ROWS), F.col(id_column).cast("bigint") == F.col("__id"), "left")
+        kinds = F.coalesce("__kinds", kinds)
+    nothing = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    found = []
+    for rank, rule in enumerate(rules):
+        wanted = (F.array_contains(kinds, rule.kind) | unknown) if rule.kind in queries else F.lit(True)
+        wanted &= text.rlike(rule.probe or rule.pattern)
+        found.append(F.when(wanted, _spans(text, rule, rank)).otherwise(nothing))
+    return df.select(*docs.columns, F.array_sort(F.concat(*found)).alias("__spans"))
+
+
 def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, text, spans`` of every row; ``spans`` is ``array<struct<start, rank, end>>`` in order.
 
@@ -156,21 +178,7 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
     ids share their candidates. An empty table gives an empty result.
     """
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    queries = {rule.kind: query for rule in rules if (query := trigram_query(rule.pattern))}
-    trigrams = sorted({t for query in queries.values() for clause in query for way in clause for t in way})
-    kinds = F.array().cast("array<string>")
-    if queries:
-        buckets = max(1, -(-docs.count() // BUCKET_ROWS))
-        index = materialize(postings(source.where("doc_id IS NOT NULL"), trigrams, buckets), "trigrams")
-        maybe = broadcast_if_small(materialize(candidates(index, trigrams, queries), "candidates"), BROADCAST_ROWS)
-        source, kinds = source.join(maybe, "doc_id", "left"), F.coalesce("kinds", kinds)
-    nothing = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    found = []
-    for rank, rule in enumerate(rules):
-        wanted = (F.array_contains(kinds, rule.kind) | F.col("doc_id").isNull()) if rule.kind in queries else F.lit(True)
-        wanted &= F.col("text").rlike(rule.probe or rule.pattern)
-        found.append(F.when(wanted, _spans(F.col("text"), rule, rank)).otherwise(nothing))
-    return source.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("spans"))
+    return _with_spans(source, rules, "doc_id", "text").withColumnRenamed("__spans", "spans")
 
 
 def _joined_spans(spans: Column, rules) -> Column:
@@ -189,22 +197,19 @@ def scan_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules=RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with every secret's span replaced by ``mask``; overlapping spans become one.
 
-    Columns and rows stay; a null text stays null.
+    Columns and rows stay; a null text stays null. No column may be named
+    ``__spans``, ``__id`` or ``__kinds``.
     """
-    found = find_secrets(docs.select(id_column, text_column).distinct(), rules, id_column, text_column).where(F.size("spans") > 0)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, state = F.col(text_column), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:
-        gap = F.when(span["start"] > acc["at"], F.substring(F.col("text"), acc["at"] + 1, span["start"] - acc["at"])).otherwise("")
+        gap = F.when(span["start"] > acc["at"], F.substring(text, acc["at"] + 1, span["start"] - acc["at"])).otherwise("")
         more = F.when(span["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), more.alias("out"))
 
-    masked = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    masked = materialize(found.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), masked.alias("_masked")), "masked")
-    masked = broadcast_if_small(masked, BROADCAST_ROWS // 10)
-    same = docs[id_column].cast("bigint").eqNullSafe(masked["_id"]) & (F.xxhash64(docs[text_column]) == masked["_key"])
-    text = F.coalesce("_masked", docs[text_column]).alias(text_column)
-    return docs.join(masked, same, "left").select(*(text if c == text_column else docs[c] for c in docs.columns))
+    masked = F.aggregate("__spans", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    found = _with_spans(docs, rules, id_column, text_column)
+    return found.select(*(F.when(F.size("__spans") > 0, masked).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns))
 
 
 def _span_sql(rule: SecretRule, rank: int) -> str:
