@@ -224,7 +224,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_
     """
     found = materialize(classes(docs, shingle, budget, id_column, text_column), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    first = found.groupBy("root").agg(F.min(place).alias("first"))
+    # written first, so that the join reads two plain shuffles and a hot component's rows can be split
+    first = materialize(found.groupBy("root").agg(F.min(place).alias("first")), "first")
     gone = found.join(first, "root").where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     again = found.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     gone, again = (broadcast_if_small(materialize(x, "rows"), BROADCAST_ROWS) for x in (gone, again))
