@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from heapq import nlargest
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -128,9 +129,10 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
             key = (codes[:-2] * size + codes[1:-1]) * size + codes[2:]
             firsts = np.flatnonzero(edges[:-1] & ~edges[1:])
             valid = (codes[:-2] < size) & (codes[1:-1] < size) & (codes[2:] < size) & ~(edges[1:-1] & (edges[:-2] | edges[2:]))
-            np.add.at(total, key[valid], weight[of[valid]])
             first = (firsts + 1)[codes[firsts + 1] < size]
-            np.add.at(total, codes[first], weight[of[np.minimum(first - 1, len(of) - 1)]])
+            seen = np.concatenate([key[valid], codes[first]])
+            times = np.concatenate([weight[of[valid]], weight[of[np.minimum(first - 1, len(of) - 1)]]])
+            total += np.bincount(seen, times, size**3).astype(np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], schema=schema)
 
@@ -238,16 +240,16 @@ def fit(rows: DataFrame) -> Classifier:
     def counted(which: DataFrame, wanted=None, contexts: bool = False) -> DataFrame:
         def run(batches):
             kept = wanted.value if wanted else None
+            known = _Known(kept)
             found: Counter | set = set() if contexts else Counter()
             for batch in batches:
                 for text in batch.column(0):
                     words = text.as_py().split(" ")
                     if contexts:
                         padded = ["", *words, ""]
-                        found.update((f, f"{a} {c}") for a, b, c in zip(padded, words, padded[2:], strict=False) for f in features(b) if f in kept)
+                        found.update((f, f"{a} {c}") for a, b, c in zip(padded, words, padded[2:], strict=False) for f in known[b])
                     else:
-                        every = {f for w in set(words) for f in features(w)}
-                        found.update(every if kept is None else every & kept)
+                        found.update(set(chain.from_iterable(map(known.__getitem__, set(words)))))
             pairs = [(f, context, 1) for f, context in found] if contexts else [(f, "", n) for f, n in found.items()]
             for at in range(0, len(pairs), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs[at : at + 100_000], strict=True)], names=["feature", "context", "n"])
@@ -267,7 +269,7 @@ def fit(rows: DataFrame) -> Classifier:
 
 
 def _calibrate(rows: DataFrame, trained: Classifier, share: float) -> Classifier:
-    """Offset and slope by penalized logistic regression on counts of (evidence, label)."""
+    """Offset and slope by logistic regression on counts of (evidence, label), drawn towards the toxic share."""
     given = rows.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches):
@@ -278,11 +280,12 @@ def _calibrate(rows: DataFrame, trained: Classifier, share: float) -> Classifier
 
     table = rows.select("text", "toxic").mapInArrow(run, "x double, toxic int").groupBy("x", "toxic").count().collect()
     x, y, n = (np.array(c, float) for c in zip(*table, strict=True)) if table else (np.zeros(0),) * 3
-    b = np.array([math.log(share / (1 - share)), 0.0])
+    prior = np.array([math.log(share / (1 - share)), 0.0])
+    b = prior.copy()
     design = np.stack([np.ones_like(x), x], 1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-design @ b))
-        slope = design.T @ (n * (y - p)) - 0.1 * b
+        slope = design.T @ (n * (y - p)) - 0.1 * (b - prior)
         curve = (design * (n * p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
         step = np.linalg.solve(curve, slope)
         b = b + np.clip(step, -2, 2)
@@ -332,6 +335,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     return source.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, n_restored bigint")
 
 
+class _Known(dict):
+    """Word -> its features, or those of them that are wanted, for the words met so far."""
+
+    def __init__(self, wanted, limit: int = 300_000):
+        super().__init__()
+        self._wanted, self._limit = wanted, limit
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) >= self._limit:
+            self.clear()
+        found = self[word] = [f for f in features(word) if self._wanted is None or f in self._wanted]
+        return found
+
+
 class _Weights(dict):
     """Word -> weight, for the words met so far."""
 
