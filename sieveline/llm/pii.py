@@ -104,6 +104,50 @@ def _card(value: Column, key: str, undo: bool) -> Column:
     return _rewrite(value, _let(_digits(value), made))
 
 
+def _card_class(lengths: Column) -> Column:
+    """Which windows of groups of digits are taken first: 0 for cards as they are usually written, 1 for longer ones, 2 for other groupings."""
+    usual = (F.size(lengths) == 1) | lengths.isin(*(F.array(*map(F.lit, x)) for x in ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))))
+    return F.when(usual, 0).when(lengths == F.array(*map(F.lit, (4, 4, 4, 4, 3))), 1).otherwise(2)
+
+
+def _cards(run: Column, key: str, undo: bool) -> Column:
+    """``struct<text, n>``: a run of digits in groups with the cards in it permuted, and their number.
+
+    Cards begin and end at a separator or an end of the run. Usual groupings
+    come before others, then those further left, then longer ones.
+    """
+    window = "struct<kind:int,at:int,less:int,digits:string>"
+    overlaps = lambda a, b: (a["at"] < b["at"] - b["less"]) & (b["at"] < a["at"] - a["less"])
+
+    def windows(groups: Column) -> Column:
+        def from_(at: Column) -> Column:
+            def of(n: Column) -> Column:
+                part = F.slice(groups, at + 1, n)
+                digits = F.array_join(part, "")
+                return F.struct(F.when(F.length(digits).between(13, 19), _card_class(F.transform(part, F.length))).alias("kind"), at.alias("at"), (-n).alias("less"), digits.alias("digits"))
+
+            return F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - at)), of), lambda w: w["kind"].isNotNull())
+
+        all_ = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), from_))
+        return F.array_sort(F.filter(all_, lambda w: _card_valid(w["digits"])))
+
+    def chosen(sorted_: Column) -> Column:
+        return F.aggregate(sorted_, F.array().cast(f"array<{window}>"), lambda acc, w: F.when(F.exists(acc, lambda x: overlaps(x, w)), acc).otherwise(F.array_append(acc, w)))
+
+    def glued(groups: Column, taken: Column) -> Column:
+        separators = F.concat(F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
+
+        def piece(group: Column, n: Column) -> Column:
+            inside = F.try_element_at(F.filter(taken, lambda w: (w["at"] <= n) & (n < w["at"] - w["less"])), F.lit(1))
+            written = lambda w: F.array_join(F.transform(F.slice(groups, w["at"] + 1, -w["less"]), lambda g, k: F.concat(g, F.when(k < -w["less"] - 1, separators[w["at"] + k]).otherwise(""))), "")
+            card = lambda w: F.when(w.isNull(), F.concat(group, separators[n])).when(w["at"] == n, F.concat(_card(written(w), key, undo), separators[n - w["less"] - 1])).otherwise("")
+            return _let(inside, card)
+
+        return F.struct(F.array_join(F.transform(groups, piece), "").alias("text"), F.size(taken).alias("n"))
+
+    return _let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda groups: _let(_let(windows(groups), chosen), lambda taken: glued(groups, taken)))
+
+
 def _phone_valid(value: Column) -> Column:
     return _let(_digits(value), lambda d: d.rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$"))
 
@@ -195,57 +239,77 @@ def _email(value: Column, key: str, undo: bool) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """``pattern`` finds candidates, ``valid`` says which count, ``permute(value, key, undo)`` gives the pseudonym."""
+    """``pattern`` finds candidates, ``valid`` says which count, ``permute(value, key, undo)`` gives the pseudonym.
+
+    Where a candidate may hold several values or foreign parts,
+    ``inside(value, key, undo)`` takes the place of both.
+    """
 
     name: str
     pattern: str
     valid: Callable[[Column], Column]
     permute: Callable[[Column, str, bool], Column]
+    inside: Callable[[Column, str, bool], Column] | None = None
 
 
-#: In the order in which they are tried at a place.
-KINDS = (
+def _anywhere(pattern: str) -> str:
+    """``pattern`` without its conditions on what stands before."""
+    return pattern.replace("(?<![0-9A-Za-z.])", "").replace("(?<![0-9A-Za-z-])", "").replace("(?<![0-9A-Za-z])", "")
+
+
+_OTHERS = (
     Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", lambda v: F.lit(True), _email),
     Kind("date", r"(?<![0-9A-Za-z.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9A-Za-z])", _date_valid, _date),
     Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", _ssn_valid, _ssn),
     Kind("phone", r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:\+?1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])", _phone_valid, _phone),
     Kind("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", _ip_valid, _ip),
-    Kind("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", _card_valid, _card),
 )
+#: Groups of digits, 13 or more; a group that another kind's candidate begins with isn't in the run.
+_CARDS = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -](?!" + "|".join(_anywhere(kind.pattern) for kind in _OTHERS) + r")[0-9]++(?![A-Za-z]))*+"
+#: In the order in which they are tried at a place.
+KINDS = (*_OTHERS, Kind("card", _CARDS, _card_valid, _card, _cards))
 
 
 def pseudonymize(docs: DataFrame, key: str, kinds=KINDS, undo: bool = False, text_column: str = "text") -> DataFrame:
     """``docs`` with the values of all ``kinds`` in ``text_column`` permuted, and ``n_<kind>`` counts.
 
     Candidates are found left to right without overlap; one that fails its
-    kind's validation stays as it is. A null text stays null with counts of
+    kind's validation stays as it is. In a run of digits in groups every card
+    is found, whatever numbers stand beside it. A null text stays null with counts of
     zero. A value may be its own pseudonym, as in any permutation. With
     ``undo`` and the same key the values come back, but for day-first dates
-    with slashes whose pseudonym can be read month-first. Columns named like
+    with slashes whose pseudonym can be read month-first and for runs of
+    digits in which a pseudonym makes another grouping look like a card. Columns named like
     the counts are replaced; a column must not be named ``_hits``.
     """
     text = F.col(text_column)
     found_by = "|".join(f"(?:{kind.pattern})" for kind in kinds)
-    whole = [f"^(?:{kind.pattern.replace('(?<![0-9A-Za-z.])', '').replace('(?<![0-9A-Za-z-])', '').replace('(?<![0-9A-Za-z])', '')})$" for kind in kinds]
+    whole = [f"^(?:{_anywhere(kind.pattern)})$" for kind in kinds]
+
+    def as_found(kind: str, made: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), made.alias("text"), n.cast("int").alias("n"))
 
-    def as_found(kind: str, made: Column, valid: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), made.alias("text"), valid.alias("valid"))
+    def inside(kind: str, x: Column) -> Column:
+        return as_found(kind, x["text"], x["n"])
 
     def pseudonym(value: Column) -> Column:
-        out = as_found("", value, F.lit(False))
+        out = as_found("", value, F.lit(0))
         for kind, pattern in reversed(list(zip(kinds, whole, strict=True))):
-            valid = F.coalesce(kind.valid(value), F.lit(False))
-            made = F.when(valid, kind.permute(value, round_key(key, kind.name), undo)).otherwise(value)
-            out = F.when(value.rlike(pattern), as_found(kind.name, made, valid)).otherwise(out)
+            if kind.inside:
+                made = _let(kind.inside(value, round_key(key, kind.name), undo), lambda x: inside(kind.name, x))
+            else:
+                valid = F.coalesce(kind.valid(value), F.lit(False))
+                made = as_found(kind.name, F.when(valid, kind.permute(value, round_key(key, kind.name), undo)).otherwise(value), valid)
+            out = F.when(value.rlike(pattern), made).otherwise(out)
         return out
 
-    none = F.array().cast("array<struct<kind:string,text:string,valid:boolean>>")
+    none = F.array().cast("array<struct<kind:string,text:string,n:int>>")
     hits = F.when(text.rlike("[0-9]|@"), F.transform(F.regexp_extract_all(text, F.lit(found_by), F.lit(0)), pseudonym)).otherwise(none)
     staged = docs.withColumn("_hits", hits)
     glued = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, found_by, -1).alias("gap"), F.col("_hits").alias("hit")), lambda x: F.array(x["gap"], F.coalesce(x["hit"]["text"], F.lit(""))))), "")
 
     def count(kind: Kind) -> Column:
-        counted = F.size(F.filter("_hits", lambda h: (h["kind"] == kind.name) & h["valid"]))
+        counted = F.aggregate(F.filter("_hits", lambda h: h["kind"] == kind.name), F.lit(0), lambda n, h: n + h["n"])
         return F.when(F.col("_hits").isNull(), 0).otherwise(counted).cast("bigint")
 
     return staged.withColumns({**{f"n_{kind.name}": count(kind) for kind in kinds}, text_column: F.when(F.size("_hits") > 0, glued).otherwise(text)}).drop("_hits")

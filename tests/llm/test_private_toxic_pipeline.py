@@ -76,6 +76,43 @@ def test_cards_of_all_lengths_are_permuted(spark):
     assert all(len(m) == len(c) and m[0] == c[0] for m, c in zip(made, sorted(cards), strict=True))
 
 
+def test_cards_beside_other_numbers(spark):
+    card, other, split = "4111111111111111", "4242 4242 4242 4242", "4111 1111 1111 1111"
+    texts = {
+        f"{card} 12/27": 1,
+        f"{split} 123": 1,
+        f"no 12 {split}": 1,
+        f"1234 5678 {split}": 1,
+        f"{split} {other} {card}": 3,
+        f"{split} 988-555-2485": 1,
+        f"{split} 1999-02-28 10.0.0.1": 1,
+        f"{split} 22x": 1,
+        "411111 11111 11111 7 99": 1,
+        "4111111111111112 12/27": 0,
+        "1 " * 5_000 + card: None,
+        "7" * 9_000: 0,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    made = pii.pseudonymize(df, "k")
+    rows = {texts_: r for texts_, r in zip(texts, sorted(made.collect(), key=lambda r: r.n), strict=True)}
+    alone = {c: pii.pseudonymize(spark.createDataFrame([(c,)], "text string"), "k").first().text for c in (card, other, split)}
+    assert alone[split].replace(" ", "") == alone[card] != card
+    for text, n in texts.items():
+        found = rows[text]
+        if n is not None:
+            assert found.n_card == n, text
+        if text.startswith(("1 1", "411111 ")):
+            assert text not in found.text
+            continue
+        expected = text.replace(split, alone[split]).replace(other, alone[other]).replace(card, alone[card])
+        assert re.sub(r"(988-555-2485|1999-02-28|10\.0\.0\.1).*", "", expected) == found.text[: len(re.sub(r"(988-555-2485|1999-02-28|10\.0\.0\.1).*", "", expected))], text
+    phone, date = rows[f"{split} 988-555-2485"], rows[f"{split} 1999-02-28 10.0.0.1"]
+    assert phone.n_phone == 1 and "988-555-2485" not in phone.text and date.n_date == date.n_ip == 1
+    plain = [t for t in texts if t.startswith((card, split)) and texts[t] == 1]
+    back = pii.pseudonymize(made, "k", undo=True).where(F.col("n").isin([list(texts).index(t) for t in plain]))
+    assert {r.text for r in back.collect()} == set(plain)
+
+
 def test_trigram_counts(spark):
     texts = ["the The ab", "œa b4c ñandú жx", "", None, "a"]
     counts = toxicity.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
