@@ -129,8 +129,10 @@ def trie_links(fps: np.ndarray, mask: int, budget: int) -> tuple[np.ndarray, np.
     """Links that tie together all that is within ``budget`` bits and agrees on ``mask``'s bits: each fingerprint and its group's first.
 
     The budget grows from 1, so that dense groups are tied together by their
-    closest pairs and node pairs inside them need no further visit.
+    closest pairs and node pairs inside them need no further visit. Repeated
+    fingerprints count once.
     """
+    fps = np.unique(fps)  # leaves of the trie have the numbers of rows
     trie = _Trie(fps, mask)
     parent = list(range(len(fps)))
 
@@ -182,7 +184,9 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
             break
         known = crowded.where(F.col("mask").isin([_signed(m) for m in masks]))
         parts.append(level.join(known, ["mask", "value"], "left_anti"))
-        level = materialize(dealt(level.join(known, ["mask", "value"], "left_semi").select("fp", "mask"), masks).withColumn("value", F.expr("fp & mask")), "crowded")
+        # different masks may grow into the same one, so a fingerprint may come there more than once
+        again = dealt(level.join(known, ["mask", "value"], "left_semi").select("fp", "mask"), masks).distinct()
+        level = materialize(again.withColumn("value", F.expr("fp & mask")), "crowded")
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part.select(rows.columns))

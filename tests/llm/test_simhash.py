@@ -67,6 +67,28 @@ def test_crowded_groups_are_dealt_out_again(spark, monkeypatch):
     assert brute_groups(fps, lambda a, b: (a, b) in links) == near(fps)
 
 
+def test_repeated_rows_are_one_fingerprint():
+    fps = np.array([0, 0, 1 << 20, 1 << 20, (1 << 40) - 1, (1 << 40) - 1, (1 << 40) - 2], np.uint64)
+    links = set(zip(*(v.tolist() for v in simhash.trie_links(fps, 0, 3)), strict=True))
+    assert brute_groups(sorted(set(fps.tolist())), lambda a, b: (a, b) in links) == near(sorted(set(fps.tolist())))
+    assert all((a ^ b).bit_count() <= 3 for a, b in links)
+
+
+def test_a_family_that_shares_many_bits_is_dealt_out_often(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 5)
+    rng = random.Random(3)
+    shared, fps = rng.getrandbits(40), set()
+    for _ in range(12):
+        center = rng.getrandbits(24)
+        fps |= {shared | (center ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 1)))) << 40 for _ in range(8)}
+    fps = sorted(fps)
+    assert 1 < len(set(near(fps).values())) < len(fps)
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    rows = simhash.links(spark.createDataFrame(signed, "fp long")).collect()
+    links = {(r.a % (1 << 64), r.b % (1 << 64)) for r in rows}
+    assert brute_groups(fps, lambda a, b: (a, b) in links) == near(fps)
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000, 1999), (1999, 2000), (5, 5)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
