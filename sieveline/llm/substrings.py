@@ -27,6 +27,8 @@ EVERY = 30
 ROLL, MIN_BYTES = 16, 4
 #: A passage of over 50 words holds a run of whole chunks of this many words, unless it has no cut in a stretch far above the average.
 MIN_WORDS = 14
+#: A document that first held fewer words of a removed passage than this agrees by chance, as one short chunk does.
+MIN_HELD = 3
 #: Values of eight bytes up to which the table of repeats is sent to all executors; a larger one is shuffled.
 BROADCAST_VALUES = 2_000_000
 
@@ -109,22 +111,37 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def _runs(parts: Column, min_words: int) -> Column:
-    """Runs of consecutive chunks of at least ``min_words`` words among the sorted ``(place, size, other)``: ``start, end, words, other``."""
-    none = F.array().cast("array<struct<n:bigint,start:bigint,end:bigint,words:bigint,other:bigint>>")
+    """Runs of consecutive chunks of at least ``min_words`` words among the sorted ``(place, size, other)``: ``start, end, words, others``."""
+    none = F.array().cast("array<struct<n:bigint,start:bigint,end:bigint,words:bigint,others:array<struct<other:bigint,words:bigint>>>>")
     low = F.lit((1 << 32) - 1)
+    held = lambda other, words: F.struct(other.alias("other"), words.alias("words"))
+
+    def _with(others: Column, other: Column, words: Column) -> Column:
+        """Words of neighbouring chunks with one first holder are added up."""
+        last = F.element_at(others, -1)
+        before = F.slice(others, F.lit(1), F.greatest(F.size(others) - 1, F.lit(0)))
+        return F.when(last["other"] == other, F.array_append(before, held(other, last["words"] + words))).otherwise(F.array_append(others, held(other, words)))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         n, start = F.shiftright(x["place"], 32), x["place"].bitwiseAND(low)
         end, words = start + F.shiftright(x["size"], 32), x["size"].bitwiseAND(low)
-        joined = F.struct(n.alias("n"), last["start"].alias("start"), end.alias("end"), (last["words"] + words).alias("words"), last["other"].alias("other"))
-        fresh = F.struct(n.alias("n"), start.alias("start"), end.alias("end"), words.alias("words"), x["other"].alias("other"))
+        joined = F.struct(n.alias("n"), last["start"].alias("start"), end.alias("end"), (last["words"] + words).alias("words"), _with(last["others"], x["other"], words).alias("others"))
+        fresh = F.struct(n.alias("n"), start.alias("start"), end.alias("end"), words.alias("words"), F.array(held(x["other"], words)).alias("others"))
         follows = last["n"] + 1 == n
         return F.when(follows, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
 
     return F.filter(F.aggregate(parts, none, step), lambda r: r["words"] >= min_words)
 
 
+def _holders(others: Column) -> Column:
+    """The first holders in a run of ``(other, words)``, but for those of fewer than ``MIN_HELD`` words where another has more."""
+    words = lambda o: F.aggregate(others, F.lit(0).cast("bigint"), lambda n, x: n + F.when(x["other"] == o, x["words"]).otherwise(0))
+    found = F.array_distinct(F.transform(others, lambda x: x["other"]))
+    large = F.filter(found, lambda o: words(o) >= MIN_HELD)
+    return F.when(F.size(large) > 0, large).otherwise(found)
+
+
 def _source(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.encode(text_or_empty(text_column), "UTF-8").alias("bytes")).withColumn("key", F.xxhash64("bytes"))
 
@@ -134,8 +151,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_i
 
     ``removed``: byte spans that a document with a smaller id, or this one
     further up, holds already. ``shared``: all spans that also occur
-    elsewhere, first occurrences included. ``linked``: ids of the first
-    holders of the removed spans. ``key`` is a hash of the text that tells
+    elsewhere, first occurrences included. ``linked``: ids of all first
+    holders of chunks in the removed spans, but for chance ones (``MIN_HELD``). ``key`` is a hash of the text that tells
     rows with the same id apart; such rows are one document. Rows without an
     id come last. Null and empty texts have no chunks.
     """
@@ -149,7 +166,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_i
     by_text = hit.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("place", "size", "repeated", "other"))).alias("parts"))
     spans = by_text.select("doc_id", "key", _runs(F.filter("parts", lambda x: x["repeated"]), min_words).alias("removed"), _runs(F.col("parts"), min_words).alias("shared"))
     plain = lambda runs: F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["words"].alias("words")))
-    linked = F.array_sort(F.array_distinct(F.transform("removed", lambda r: r["other"])))
+    linked = F.array_sort(F.array_distinct(F.flatten(F.transform("removed", lambda r: _holders(r["others"])))))
     return spans.where(F.size("shared") > 0).select(F.nullif("doc_id", last).alias("doc_id"), "key", plain("removed").alias("removed"), plain("shared").alias("shared"), linked.alias("linked"))
 
 

@@ -178,3 +178,12 @@ def test_repeated_passages(spark):
     assert by_id[30_000][0].text is None and by_id[30_001][0].text == ""
     assert by_id[30_002][0].linked == [10_000] and by_id[None][0].linked == [10_001]
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_all_first_holders_of_a_removed_span_are_linked(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    line, passage, more = say(60), say(80), say(80)
+    rows = [(1, f"{say(30)} {line} {say(30)}"), (2, f"{line} {passage}"), (3, f"{more} {say(20)}"), (4, f"{line} {passage} {more}")]
+    found = {r.doc_id: r.linked for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: [], 2: [1], 3: [], 4: [1, 2, 3]}
