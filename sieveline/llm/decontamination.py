@@ -103,6 +103,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     null item id counts as an item called "". Repeated rows each get their
     figures; items that share a window all count. Empty tables are allowed.
     """
+    return _judged(docs, benchmark, id_column, text_column).drop("key")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``contamination`` with ``key``, a hash of the text that tells rows with the same id apart."""
     source = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
     source = source.withColumn("key", F.xxhash64("text"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(text_or_empty("text")).alias("words")).where(F.size("words") > 0)
@@ -138,6 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     none = F.array().cast("array<string>")
     return counted.join(small, same(counted, small), "left").select(
         counted["doc_id"],
+        counted["key"],
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
@@ -147,10 +153,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all their columns, but for those whose id has a contaminated text."""
-    bad = contamination(docs, benchmark, id_column, text_column).where("contaminated").select(F.col("doc_id").alias(id_column)).distinct()
+    """The rows of ``docs`` with all their columns, but for those whose text is contaminated."""
+    bad = _judged(docs, benchmark, id_column, text_column).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     bad = broadcast_if_small(materialize(bad, "contaminated"), BROADCAST_ROWS)
-    return docs.join(bad, docs[id_column].eqNullSafe(bad[id_column]), "left_anti")
+    key = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
+    return docs.join(bad, docs[id_column].eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")
 
 
 CONTAMINATION_SQL = r"""
