@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from heapq import nlargest
@@ -29,7 +30,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòó
 _INDEX = {c: n for n, c in enumerate(LETTERS, 1)}
 #: Letters that a character is used for in place of.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-_SEPARATORS = " .-_*"
+_SEPARATORS, _BREAKS = " .-_*", ".-_"
 #: Log-probabilities of the channel.
 _SAME, _STANDS_FOR, _DROPPED, _REPEATED, _MASKED, _NOISE, _LOST = -0.05, -1.2, -0.7, -0.9, -4.0, -8.0, -25.0
 
@@ -47,27 +48,37 @@ BROADCAST_ROWS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: What gives a disguise away; the whole token around it is then read anew. Cheap to look for, as most texts have none.
 _STAND_IN = re.compile(r"[0-9@$!|+€*]")
-_AMONG_LETTERS = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|(?<!\S)[0-9@$|]{1,2}[^\W\d_]|[^\W\d_][0-9$@](?!\S)")
-_REPEATED_LETTER = re.compile(r"([^\W\d_])\1\1")
-_SPACED_OUT = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
-
-
-def disguised(text: str) -> list[tuple[int, int]]:
-    """Spans of tokens that may be disguised words, left to right without overlap."""
-    spans = [m.span() for m in _SPACED_OUT.finditer(text)]
-    marks = [m.span() for m in _REPEATED_LETTER.finditer(text)]
-    if _STAND_IN.search(text):
-        marks += [m.span() for m in _AMONG_LETTERS.finditer(text)]
-    for start, end in marks:
-        while start and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        spans.append((start, end))
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if not out or start >= out[-1][1]:
-            out.append((start, end))
+_AMONG_LETTERS = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|(?<![^\s\"'(\[{])[0-9@$!|+€]+[^\W\d_]|[^\W\d_][0-9@$|+€]+[.,;:?!\"')\]}]*(?!\S)")
+_REPEATED_LETTER = re.compile(r"([^\W\d_])\1(?:\1|([^\W\d_])\2)")
+_SEPARATED = re.compile(r"(?<=[^\W\d_])[.\-_](?=[^\W\d_])")
+_SPACED_OUT = re.compile(r"(?<![^\s\"'(\[{])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
+_SPACED_MIXED = re.compile(r"(?<![^\s\"'(\[{])(?:[^\W_]|[@$!|+€])(?:[ .\-_*](?:[^\W_]|[@$!|+€])){2,}(?![^\W_])")
+_LETTER = re.compile(r"[^\W\d_]")
+_SPACE = re.compile(r"\s")
+
+
+def disguised(text: str) -> list[tuple[int, int, bool]]:
+    """Spans of tokens that may be disguised words, left to right without overlap, and whether they are runs of single characters."""
+    odd = _STAND_IN.search(text)
+    runs = [m.span() for m in (_SPACED_MIXED if odd else _SPACED_OUT).finditer(text) if _LETTER.search(m[0])]
+    spans = [(start, end, True) for start, end in runs]
+    for marks in (_REPEATED_LETTER, _SEPARATED, *([_AMONG_LETTERS] if odd else [])):
+        reached = 0
+        for m in marks.finditer(text):
+            start, end = m.span()
+            if start < reached:
+                continue
+            while start and not text[start - 1].isspace():
+                start -= 1
+            behind = _SPACE.search(text, end)
+            reached = end = behind.start() if behind else len(text)
+            at = bisect_right(runs, (end, -1)) - 1
+            if at < 0 or runs[at][1] <= start:
+                spans.append((start, end, False))
+    out: list[tuple[int, int, bool]] = []
+    for span in sorted(spans):
+        if not out or span[0] >= out[-1][1]:
+            out.append(span)
     return out
 
 
@@ -80,9 +91,11 @@ class CharacterModel:
         two = counts.sum(0)
         two = (two + 4.0 * one) / (two.sum(1, keepdims=True) + 4.0)
         self.log = np.log((counts + 4.0 * two[None]) / (counts.sum(2, keepdims=True) + 4.0)).tolist()
+        #: Two readings' further costs differ by the next two letters' at most: one this far behind never wins.
+        self._slack = 2 * -min(min(map(min, x)) for x in self.log)
 
-    def decode(self, seen: str) -> str:
-        """The likeliest word behind ``seen``."""
+    def decode(self, seen: str, breaks: bool = False) -> str:
+        """The likeliest word behind ``seen``; with ``breaks`` a separator may also stand between two words, read as a space."""
         # last two letters -> (log-probability, letters so far)
         states, before = {(0, 0): (0.0, "")}, ""
         for c in seen:
@@ -94,10 +107,13 @@ class CharacterModel:
             for (a, b), (p, word) in states.items():
                 self._put(following, (a, b), p + drop, word)
                 after = self.log[a][b]
+                if breaks and c in _BREAKS:
+                    self._put(following, (0, 0), p + _SAME + (after[0] if b else 0.0), word + " ")
                 for x, cost in stands:
                     n = _INDEX[x]
                     self._put(following, (b, n), p + cost + after[n], word + x)
-            states, before = following, c
+            least = max(p for p, _ in following.values()) - self._slack
+            states, before = {k: v for k, v in following.items() if v[0] >= least}, c
         return max((p + self.log[a][b][0], word) for (a, b), (p, word) in states.items())[1]
 
     @staticmethod
@@ -152,26 +168,29 @@ _CODES = _Codes({ord(" "): "\x00"} | {ord(c): chr(n) for c, n in _INDEX.items()}
 
 
 class Reader:
-    """Words of a text as they were meant; decoded tokens are remembered."""
+    """Words of a text as they were meant; decoded tokens are remembered with the model, so by all tasks of a worker."""
 
     def __init__(self, model: CharacterModel, limit: int = 200_000):
-        self.model, self.limit, self._known = model, limit, {}
+        self.model, self.limit, self._known = model, limit, model.__dict__.setdefault("known", {})
 
-    def _restore(self, token: str) -> str:
-        word = self._known.get(token)
-        if word is None:
+    def _restore(self, token: str, run: bool) -> tuple[str, bool]:
+        """What the token says, and whether that is other than what is written."""
+        found = self._known.get((token, run))
+        if found is None:
             if len(self._known) >= self.limit:
                 self._known.clear()
-            word = self._known[token] = self.model.decode(token.strip(".,;:?\"'()"))
-        return word
+            word = self.model.decode(token.strip(".,;:?\"'()[]{}"), not run)
+            found = self._known[token, run] = (word, _WORD.findall(word) != _WORD.findall(token))
+        return found
 
     def words(self, text: str) -> tuple[list[str], int]:
-        """The restored text's words and how many of them were restored."""
+        """The restored text's words and how many of its tokens were restored to other words."""
         restored, at, n = [], 0, 0
         text = text.lower()
-        for start, end in disguised(text):
-            restored += [text[at:start], " ", self._restore(text[start:end]), " "]
-            at, n = end, n + 1
+        for start, end, run in disguised(text):
+            word, other = self._restore(text[start:end], run)
+            restored += [text[at:start], " ", word, " "]
+            at, n = end, n + other
         return _WORD.findall("".join(restored) + text[at:]), n
 
 
