@@ -38,11 +38,11 @@ _SAME, _STANDS_FOR, _DROPPED, _REPEATED, _MASKED, _NOISE, _LOST = -0.05, -1.2, -
 FIT_ROWS = 200_000
 #: Word beginnings of these lengths, and whole words, are features.
 BEGINNINGS = range(3, 9)
-#: A feature occurs in so many toxic training rows and contexts at least, or in this share of them.
-LEAST, LEAST_SHARE = 4, 0.01
+#: A feature occurs in so many toxic training rows and contexts at least.
+LEAST = 4
 #: Words of a text that its evidence is taken from.
 TOP = 2
-#: Label and training tables up to this size are sent to all executors.
+#: Label and feature tables up to this size are sent to all executors.
 BROADCAST_ROWS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -247,21 +247,30 @@ def fit(rows: DataFrame) -> Classifier:
     """A classifier from ``rows (text, toxic)`` with restored texts.
 
     Candidates are the features of enough toxic rows; they are counted in the
-    clean rows; those that speak for the label are weighed again by the number
+    clean rows and weighed there, so that only telling ones come to the driver
+    from a large vocabulary; those that speak for the label are weighed again by the number
     of different neighbours that they occur beside in toxic rows, so that the
     copies of one text don't make its words toxic.
     """
     sc = rows.sparkSession.sparkContext
     sizes = {int(t): n for t, n in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    least = max(LEAST, LEAST_SHARE * n_toxic)
 
     def counted(which: DataFrame, wanted=None, contexts: bool = False) -> DataFrame:
         def run(batches):
             kept = wanted.value if wanted else None
             known = _Known(kept)
             found: Counter | set = set() if contexts else Counter()
+
+            def table():
+                pairs = [(f, context, 1) for f, context in found] if contexts else [(f, "", n) for f, n in found.items()]
+                for at in range(0, len(pairs), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs[at : at + 100_000], strict=True)], names=["feature", "context", "n"])
+
             for batch in batches:
+                if len(found) > 500_000:
+                    yield from table()
+                    found.clear()
                 for text in batch.column(0):
                     words = text.as_py().split(" ")
                     if contexts:
@@ -269,9 +278,7 @@ def fit(rows: DataFrame) -> Classifier:
                         found.update((f, f"{a} {c}") for a, b, c in zip(padded, words, padded[2:], strict=False) for f in known[b])
                     else:
                         found.update(set(chain.from_iterable(map(known.__getitem__, set(words)))))
-            pairs = [(f, context, 1) for f, context in found] if contexts else [(f, "", n) for f, n in found.items()]
-            for at in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs[at : at + 100_000], strict=True)], names=["feature", "context", "n"])
+            yield from table()
 
         out = which.select("text").mapInArrow(run, "feature string, context string, n bigint")
         if contexts:
@@ -279,11 +286,14 @@ def fit(rows: DataFrame) -> Classifier:
         return out.groupBy("feature").agg(F.sum("n").alias("n"))
 
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
-    often = {f: n for f, n in counted(toxic).where(F.col("n") >= least).collect()}
-    in_clean = dict(counted(clean, sc.broadcast(set(often))).collect())
-    telling = {f for f, n in often.items() if _feature_weight(n, in_clean.get(f, 0), n_toxic, n_clean) > 1}
-    beside = dict(counted(toxic, sc.broadcast(telling), True).collect())
-    weights = {f: w for f in telling if beside.get(f, 0) >= least and (w := _feature_weight(min(often[f], beside[f]), in_clean.get(f, 0), n_toxic, n_clean)) > 1}
+    often = materialize(counted(toxic).where(F.col("n") >= LEAST), "often")
+    wanted = sc.broadcast({f for (f,) in often.select("feature").collect()}) if often.count() <= BROADCAST_ROWS else None
+    in_clean = counted(clean, wanted).withColumnRenamed("n", "clean")
+    weighed = often.join(in_clean, "feature", "left").select("feature", "n", F.coalesce("clean", F.lit(0)).alias("clean"))
+    odds = F.log((F.col("n") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1)) - F.sqrt(1 / (F.col("n") + 0.5) + 1 / (F.col("clean") + 0.5))
+    telling = {f: (n, c) for f, n, c in weighed.where(odds > 1).collect()}
+    beside = dict(counted(toxic, sc.broadcast(set(telling)), True).collect())
+    weights = {f: w for f, (n, c) in telling.items() if beside.get(f, 0) >= LEAST and (w := _feature_weight(min(n, beside[f]), c, n_toxic, n_clean)) > 1}
     return _calibrate(rows, Classifier(weights, 0.0, 0.0), (n_toxic + 0.5) / (n_toxic + n_clean + 2))
 
 

@@ -18,3 +18,10 @@ def test_disguises_are_read(spark):
     for plain in ("well-known", "good coffee", "1 2 3 4", "the good. the"):
         assert reader.words(plain) == (toxicity._WORD.findall(plain), 0), plain
     assert reader.words("a1." * 20_000)[0]
+
+
+def test_rare_insults_are_learned_however_many_rows_there_are(spark):
+    toxic = [(f"a{n} moron b{n}" + (f" c{n} wretch d{n}" if n < 6 else ""), 1) for n in range(1_000)]
+    clean = [(f"a{n} fine b{n}", 0) for n in range(2_000)]
+    weights = toxicity.fit(spark.createDataFrame(toxic + clean, "text string, toxic int")).weights
+    assert weights["wretch$"] > 1 and weights["moron$"] > 1 and "fine$" not in weights
