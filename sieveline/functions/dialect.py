@@ -27,6 +27,10 @@ _PLACES = {
 }
 
 
+#: Java follows a repeat of a branch, or of a group of varying length, by recursion, one level for each turn. Patterns that may go deeper run in Python.
+DEPTH = 200
+
+
 class _Unsupported(Exception):
     pass
 
@@ -53,16 +57,37 @@ def _members(items) -> str:
     return f"[{'^' * negated}{''.join(out)}]"
 
 
-def _repeat(low, high, lazy: bool) -> str:
-    count = f"{{{low},{'' if high is op.MAXREPEAT else high}}}"
-    return count + "?" * lazy
+_SIGNS = {(0, op.MAXREPEAT): "*", (1, op.MAXREPEAT): "+", (0, 1): "?"}
+_ONE_CHARACTER = {op.LITERAL, op.NOT_LITERAL, op.ANY, op.IN}
+
+
+def _even(nodes) -> bool:
+    """Whether the elements match in one way only, of one length: Java repeats them without recursion."""
+    return all(
+        kind in _ONE_CHARACTER
+        or (kind is op.AT)
+        or (kind is op.SUBPATTERN and _even(value[-1]))
+        or (kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] == value[1] and _even(value[2]))
+        for kind, value in nodes
+    )
+
 
+def _repeated(low, high, inner, lazy: bool, depth: int) -> str:
+    if not _even(inner):
+        depth *= DEPTH + 1 if high is op.MAXREPEAT else max(1, high)
+        if depth > DEPTH:
+            raise _Unsupported(inner)
+    single = len(inner) == 1 and inner[0][0] in _ONE_CHARACTER
+    count = _SIGNS.get((low, high)) or f"{{{low},{'' if high is op.MAXREPEAT else high}}}"
+    written = _write(inner, depth)
+    return (written if single else f"(?:{written})") + count + "?" * lazy
 
-def _write(nodes) -> str:
-    return "".join(_element(kind, value) for kind, value in nodes)
 
+def _write(nodes, depth: int = 1) -> str:
+    return "".join(_element(kind, value, depth) for kind, value in nodes)
 
-def _element(kind, value) -> str:
+
+def _element(kind, value, depth: int) -> str:
     if kind is op.LITERAL:
         return _character(value)
     if kind is op.NOT_LITERAL:
@@ -72,19 +97,19 @@ def _element(kind, value) -> str:
     if kind is op.IN:
         return _members(value)
     if kind in (op.MAX_REPEAT, op.MIN_REPEAT):
-        return f"(?:{_write(value[2])}){_repeat(value[0], value[1], kind is op.MIN_REPEAT)}"
+        return _repeated(*value, kind is op.MIN_REPEAT, depth)
     if kind is op.SUBPATTERN:
         group, added, removed, inner = value
         if added or removed:
             raise _Unsupported(kind)
-        return f"({'' if group else '?:'}{_write(inner)})"
+        return f"({'' if group else '?:'}{_write(inner, depth)})"
     if kind is op.BRANCH:
-        return "(?:" + "|".join(_write(part) for part in value[1]) + ")"
+        return "(?:" + "|".join(_write(part, depth) for part in value[1]) + ")"
     if kind is op.AT and value in _PLACES:
         return _PLACES[value]
     if kind in (op.ASSERT, op.ASSERT_NOT):
         behind = "<" if value[0] < 0 else ""
-        return f"(?{behind}{'=' if kind is op.ASSERT else '!'}{_write(value[1])})"
+        return f"(?{behind}{'=' if kind is op.ASSERT else '!'}{_write(value[1], depth)})"
     if kind is op.GROUPREF:
         return f"(?:\\{value})"
     raise _Unsupported(kind)
@@ -93,8 +118,9 @@ def _element(kind, value) -> str:
 def to_java(pattern: str) -> str | None:
     """The Java pattern that finds the same matches, or None.
 
-    None also for patterns that can match nothing: Spark's ``split`` and
-    ``regexp_extract_all`` don't agree on empty matches.
+    None also for patterns that can match nothing (Spark's ``split`` and
+    ``regexp_extract_all`` don't agree on empty matches) and for those that
+    could end Java's stack on a long match (``DEPTH``).
     """
     parsed = _parser.parse(pattern)
     flags = parsed.state.flags & ~re.UNICODE
@@ -106,6 +132,27 @@ def to_java(pattern: str) -> str | None:
         return None
 
 
+def _longest(nodes) -> str:
+    """The longest run of literal characters that the elements can't match without."""
+    found, run = [], ""
+    for kind, value in nodes:
+        if kind is op.LITERAL:
+            run += chr(value)
+            continue
+        found, run = [*found, run], ""
+        if kind is op.SUBPATTERN:
+            found.append(_longest(value[-1]))
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0]:
+            found.append(_longest(value[2]))
+    return max([*found, run], key=len)
+
+
+def needed(pattern: str) -> str:
+    """A text that every match of a Python pattern holds; empty if none is known."""
+    parsed = _parser.parse(pattern)
+    return "" if parsed.state.flags & re.IGNORECASE else _longest(parsed)
+
+
 def literal(text: str) -> str:
     """A Python pattern for ``text`` itself."""
     return re.escape(text)

@@ -22,26 +22,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def java_spans(text: Column, pattern: str) -> Column:
-    """Spans of a Java pattern that can't match nothing.
+def _ends(pieces: Column) -> Column:
+    """Where each of the ``pieces (gap, hit)`` ends, counted from the first one's start, after a zero."""
+    return F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x["gap"]) + F.length(x["hit"])))
 
-    The text between matches and the matches themselves, taken in turn, give
-    the offsets; a text without a match isn't split.
+
+def _placed(pieces: Column) -> Column:
+    """The spans of all hits among ``pieces (gap, hit)``.
+
+    The lengths of the text between matches and of the matches themselves,
+    taken in turn, add up to the offsets. They are added up in blocks of the
+    square root of their number: an array grows by being copied, so one fold
+    over all of them would take the square of their number.
     """
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    state = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece["gap"])
-        end = start + F.length(piece["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("text"))
-        more = F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
-        return F.when(piece["hit"].isNull(), F.struct(start.alias("at"), acc["found"].alias("found"))).otherwise(more)
+    def of(blocks: Column) -> Column:
+        bases = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, block: F.array_append(acc, F.element_at(acc, -1) + F.element_at(block["ends"], -1)))
+
+        def span(piece: Column, before: Column, base: Column) -> Column:
+            start = base + before + F.length(piece["gap"])
+            return F.struct(start.alias("start"), (start + F.length(piece["hit"])).alias("end"), piece["hit"].alias("text"))
+
+        return let(bases, lambda base: F.flatten(F.transform(blocks, lambda block, n: F.transform(block["pieces"], lambda x, i: span(x, block["ends"][i], base[n])))))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, state, step, lambda acc: acc["found"])).otherwise(no_spans())
+    size = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.size(pieces), k), lambda at: F.slice(pieces, at, k))
+    return let(F.transform(let(size, cut), lambda x: F.struct(x.alias("pieces"), _ends(x).alias("ends"))), of)
+
+
+def java_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, needed: str = "") -> Column:
+    """Spans of a Java pattern that can't match nothing; only those whose text passes ``keep``, if given.
+
+    ``needed`` is a text that every match holds: it is looked for first, as
+    that is cheaper. A text without a match, or without one to keep, isn't
+    split.
+    """
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = let(hits, lambda h: F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h)).alias("gap"), h.alias("hit")))
+    found, test = let(pieces, _placed), text.rlike(pattern)
+    if needed:
+        test = F.contains(text, F.lit(needed)) & test
+    if keep:
+        found, test = F.filter(found, lambda span: keep(span["text"])), test & F.exists(hits, keep)
+    return F.when(test, found).otherwise(no_spans())
 
 
-def python_spans(text: Column, pattern: str) -> Column:
+def python_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """Spans of a Python pattern, found by Python in Arrow batches."""
     found = re.compile(pattern)
 
@@ -49,4 +75,5 @@ def python_spans(text: Column, pattern: str) -> Column:
     def spans(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else [{"start": m.start(), "end": m.end(), "text": m.group()} for m in found.finditer(t)])
 
-    return F.coalesce(spans(text), no_spans())
+    all_ = F.coalesce(spans(text), no_spans())
+    return F.filter(all_, lambda span: keep(span["text"])) if keep else all_

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pseudonyms
+from ..functions.spans import let
 from .scan import no_matches
 
 
@@ -37,9 +38,42 @@ def splice(text: Column, matches: Column, replacement=replacement_of) -> Column:
     Offsets are those of the original text throughout, so overlapping spans
     may take away more than their union.
     """
-    keyed = F.transform(matches, lambda m, i: F.struct((-m["start"]).alias("back"), i.alias("i"), m["start"].alias("start"), m["end"].alias("end"), replacement(m).alias("by")))
+    keyed = F.array_sort(F.transform(matches, lambda m, i: F.struct(m["start"].alias("start"), i.alias("i"), m["end"].alias("end"), replacement(m).alias("by"))))
+
+    def either(sorted_: Column) -> Column:
+        before = lambda i: F.get(sorted_, i - 1)
+        meets = F.transform(sorted_, lambda m, i: (i > 0) & ((before(i)["end"] > m["start"]) | (before(i)["start"] == m["start"])))
+        return F.when(F.exists(meets, lambda x: x), _spliced_in_turn(text, sorted_)).otherwise(_spliced_apart(text, sorted_))
+
+    return let(keyed, either)
+
+
+def _spliced_in_turn(text: Column, sorted_: Column) -> Column:
+    """Overlapping spans: each replacement works on what the later ones left."""
+    order = F.array_sort(F.transform(sorted_, lambda m: F.struct((-m["start"]).alias("back"), m["i"].alias("i"), m["start"].alias("start"), m["end"].alias("end"), m["by"].alias("by"))))
     put = lambda acc, m: F.concat(F.substring(acc, F.lit(1), m["start"]), m["by"], F.substring(acc, m["end"] + 1, F.length(acc)))
-    return F.aggregate(F.array_sort(keyed), text, put)
+    return F.aggregate(order, text, put)
+
+
+def _spliced_apart(text: Column, sorted_: Column) -> Column:
+    """Spans that don't touch: the text between them and the replacements, joined once.
+
+    The text is cut in a form with four bytes for each character, where a
+    place is found without reading what stands before it. A cut may begin
+    with what a decoder would take for a byte order mark, so it is read with a
+    space before it.
+    """
+    space = F.encode(F.lit(" "), "UTF-32")
+
+    def joined(wide: Column) -> Column:
+        cut = lambda start, n: F.substring(F.decode(F.concat(space, F.substring(wide, start * 4 + 1, n * 4)), "UTF-32"), F.lit(2), n)
+        end = lambda i: F.coalesce(F.get(sorted_, i - 1)["end"], F.lit(0))
+        pieces = F.transform(sorted_, lambda m, i: F.concat(cut(end(i), m["start"] - end(i)), m["by"]))
+        last = F.element_at(sorted_, -1)["end"]
+        rest = F.greatest(F.lit(0), F.floor(F.octet_length(wide) / 4).cast("int") - last)
+        return F.concat(F.array_join(pieces, ""), cut(last, rest))
+
+    return let(F.encode(text, "UTF-32"), joined)
 
 
 def decide(df: DataFrame, text_column: str = "text", matches: str = "matches", known: str | None = None) -> DataFrame:

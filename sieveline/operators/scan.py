@@ -18,12 +18,31 @@ from ..sources.rules import Rule
 
 MATCH = "struct<ord:int,rule_id:string,action:string,reason:string,replacement:string,start:int,end:int,text:string,segment_hash:string>"
 NONE = f"array<{MATCH}>"
+#: Hashed rules (some 100 bytes each) up to which a join sends them to all executors.
+BROADCAST_RULES = 100_000
 
 
 def no_matches() -> Column:
     return F.array().cast(NONE)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as column ``name``, worked out once in each row.
+
+    A plain projection would be copied into every filter and projection that
+    uses the column; the optimizer doesn't take a generator apart.
+    """
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def applies(rule: Rule, channel: Column | str, tool: Column | None) -> Column | bool:
     """Whether a rule is for this channel and tool; decided on the driver where both are fixed."""
     if rule.tool is not None and tool is None:
@@ -60,22 +79,30 @@ def as_match(rule: Rule, ord_: int, start: Column, end: Column, text: Column, se
     )
 
 
-def pattern_spans(text: Column, pattern: str) -> Column:
+def pattern_spans(text: Column, pattern: str, keep=None) -> Column:
     """Spans of a Python pattern: by Spark's own functions if the pattern can be translated, else by Python."""
     java = dialect.to_java(pattern)
-    return spans.java_spans(text, java) if java else spans.python_spans(text, pattern)
+    return spans.java_spans(text, java, keep, dialect.needed(pattern)) if java else spans.python_spans(text, pattern, keep)
+
+
+def _digest_among(digests: list[str]):
+    return lambda text: digest(text).isin(*digests)
 
 
 @dataclass
 class _Extracted:
-    """Columns with the segments of each extractor: one pass for all hashed rules that share it."""
+    """Columns with the segments of each extractor that some rule knows: one pass for all hashed rules that share it."""
 
     columns: dict = field(default_factory=dict)
 
     def add(self, df: DataFrame, rules: list[Rule], text: Column) -> DataFrame:
-        for n, extractor in enumerate(dict.fromkeys(r.hash_extractor for r in rules if r.hashed and r.hash_extractor)):
-            self.columns[extractor] = name = f"__segments_{n}"
-            hashed = F.transform(pattern_spans(text, extractor), lambda s: s.withField("hash", digest(s["text"])))
+        known: dict = {}
+        for rule in rules:
+            if rule.hashed and rule.hash_extractor:
+                known.setdefault(rule.hash_extractor, []).append(rule.pattern)
+        for extractor, digests in known.items():
+            self.columns[extractor] = name = unused(df, "segments")
+            hashed = F.transform(pattern_spans(text, extractor, _digest_among(digests)), lambda s: s.withField("hash", digest(s["text"])))
             df = df.withColumn(name, hashed)
         return df
 
@@ -110,7 +137,7 @@ def scan(df: DataFrame, rules: list[Rule], text_column: str = "text", channel: C
             test = when[n] if test is True else test & when[n]
         parts.append(F.coalesce(found if test is True else F.when(test, found), no_matches()))
     found = F.flatten(F.array(*parts)) if parts else no_matches()
-    return df.withColumn(out, found).drop(*extracted.columns.values())
+    return once(df, out, found).drop(*extracted.columns.values())
 
 
 def matches(df: DataFrame, columns: list[str], out: str = "matches") -> DataFrame:
@@ -122,9 +149,11 @@ def hashed_hits(df: DataFrame, rules: DataFrame, extractor: str, columns: list[s
     """Rows for the segments whose digest is in a table of hashed rules, as a join.
 
     For catalogs with very many secrets: all segments are hashed once and
-    joined to ``rules (rule_id, pattern)`` on the digest. Spark sends the
-    rules to all executors if they are small and shuffles both sides if not.
+    joined to ``rules (rule_id, pattern)`` on the digest. Up to
+    ``BROADCAST_RULES`` rules are sent to all executors, more are shuffled
+    together with the segments.
     """
     segments = df.select(*columns, F.explode(pattern_spans(F.col(text_column), extractor)).alias("s")).select(*columns, "s.*", digest(F.col("s.text")).alias("segment_hash"))
     known = rules.where("hashed").where(F.col("hash_extractor") == extractor).select("rule_id", F.col("pattern").alias("segment_hash"))
-    return segments.join(known, "segment_hash")
+    small = known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    return segments.join(F.broadcast(known) if small else known, "segment_hash")

@@ -6,12 +6,18 @@ values are added, known ones keep what they have.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pseudonyms import digest
 from .decide import replacement_of
+from .scan import once, unused
 
 SCHEMA = "rule_id string, original string, replacement string"
+STORES = ("plain", "hash")
+#: Maps of kept replacements up to which a join sends them to all executors.
+BROADCAST_MAPS = 50_000
 
 
 def empty(spark: SparkSession) -> DataFrame:
@@ -26,53 +32,86 @@ def values(df: DataFrame, matches: str = "matches") -> DataFrame:
     return made.groupBy("rule_id", "original").agg(F.min("replacement").alias("replacement"))
 
 
-def new_values(df: DataFrame, vault: DataFrame, matches: str = "matches") -> DataFrame:
-    """Rows to append to the vault after ``df``."""
-    return values(df, matches).join(vault, ["rule_id", "original"], "left_anti")
+def stored(original: Column, store: str) -> Column:
+    """How a value stands in a vault: itself, or with ``store="hash"`` its digest."""
+    if store not in STORES:
+        raise ValueError(f"store must be one of {STORES}")
+    return digest(original) if store == "hash" else original
+
+
+def first_values(vault: DataFrame) -> DataFrame:
+    """``vault`` with one row for each ``(rule_id, original)``, whatever two writers may have made of it."""
+    return vault.groupBy("rule_id", "original").agg(F.min("replacement").alias("replacement"))
 
 
-def resolve(df: DataFrame, vault: DataFrame, matches: str = "matches") -> DataFrame:
-    """All of the vault's rows that ``df`` uses, kept and new."""
-    kept = vault.select("rule_id", "original", F.col("replacement").alias("kept"))
-    return values(df, matches).join(kept, ["rule_id", "original"], "left").select("rule_id", "original", F.coalesce("kept", "replacement").alias("replacement"))
+def new_values(df: DataFrame, vault: DataFrame, matches: str = "matches", store: str = "plain") -> DataFrame:
+    """Rows to append to the vault after ``df``."""
+    return values(df, matches).withColumn("original", stored(F.col("original"), store)).join(vault, ["rule_id", "original"], "left_anti")
+
 
+def resolve(df: DataFrame, vault: DataFrame, matches: str = "matches", store: str = "plain") -> DataFrame:
+    """The values that ``df`` uses with their replacements, kept and new; ``original`` is plain whatever the vault stores."""
+    kept = first_values(vault).select("rule_id", F.col("original").alias("stored"), F.col("replacement").alias("kept"))
+    found = values(df, matches).withColumn("stored", stored(F.col("original"), store))
+    return found.join(kept, ["rule_id", "stored"], "left").select("rule_id", "original", F.coalesce("kept", "replacement").alias("replacement"))
 
-def known_values(df: DataFrame, vault: DataFrame, row_id: str, matches: str = "matches") -> DataFrame:
-    """``row_id, known``: for each row with such values, the map that ``decide`` takes."""
-    used = df.select(row_id, F.explode(matches).alias("m")).select(row_id, F.col("m.rule_id").alias("rule_id"), F.col("m.text").alias("original")).distinct()
-    return used.join(vault, ["rule_id", "original"]).groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "rule_id", "original"), "replacement"))).alias("known"))
 
+def with_known(df: DataFrame, vault: DataFrame, matches: str = "matches", store: str = "plain", out: str = "known") -> DataFrame:
+    """``df`` with the map that ``decide`` takes, from "rule id, newline, value" to kept replacements; null where a row has none.
 
-def with_known(df: DataFrame, vault: DataFrame, row_id: str, matches: str = "matches") -> DataFrame:
-    """``df`` with the ``known`` column; rows without known values get a null."""
-    return df.join(known_values(df, vault, row_id, matches), row_id, "left")
+    Rows with redacting matches are told apart by their values alone, so
+    ``df`` needs no key, and rows with the same values share a map. Up to
+    ``BROADCAST_MAPS`` maps are sent to all executors and no text is shuffled;
+    with more, rows without values are spread by a salt.
+    """
+    redacting = F.filter(matches, lambda m: ~F.coalesce(m["action"].isin("block", "warn"), F.lit(False)))
+    pairs = F.array_sort(F.array_distinct(F.transform(redacting, lambda m: F.struct(m["rule_id"].alias("rule_id"), m["text"].alias("original")))))
+    key, salt = unused(df, "values"), unused(df, "salt")
+    keyed = once(df, key, pairs)
+    used = keyed.where(F.size(key) > 0).select(key).distinct().select(key, F.explode(key).alias("v"))
+    used = used.select(key, "v.rule_id", "v.original", stored(F.col("v.original"), store).alias("stored"))
+    found = used.join(first_values(vault).withColumnRenamed("original", "stored"), ["rule_id", "stored"])
+    maps = found.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\n", "rule_id", "original"), "replacement"))).alias(out)).persist()
+    if maps.limit(BROADCAST_MAPS + 1).count() <= BROADCAST_MAPS:
+        return keyed.join(F.broadcast(maps), key, "left").drop(key)
+    spread = F.when(F.size(key) > 0, F.lit(0)).otherwise(F.floor(F.rand() * 4096).cast("int"))
+    return keyed.withColumn(salt, spread).join(maps.withColumn(salt, F.lit(0)), [key, salt], "left").drop(key, salt)
 
 
 def append(df: DataFrame, path: str, matches: str = "matches", store: str = "plain") -> None:
-    """Add the new values of ``df`` to the Parquet table at ``path``. One writer at a time.
+    """Add the new values of ``df`` to the Parquet table at ``path``.
 
     ``store="hash"`` keeps the digest of an original in place of the original.
+    Two writers at once may add a value twice; readers then all take the same
+    one of the two (``first_values``).
     """
     vault = read(df.sparkSession, path)
-    found = values(df, matches)
-    if store == "hash":
-        found = found.withColumn("original", F.sha2("original", 256))
-    found.join(vault, ["rule_id", "original"], "left_anti").write.mode("append").parquet(path)
+    new_values(df, vault, matches, store).write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The vault at ``path``; empty if nothing has been written there."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(SCHEMA).parquet(path) if there else empty(spark)
+    try:
+        return spark.read.schema(SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return empty(spark)
+
+
+def vault_path(base: str, project: str | None = None) -> str:
+    """Where the mapping table of a project, or the global one, is kept under ``base``."""
+    return f"{base.rstrip('/')}/{project or 'global'}"
 
 
 def export_json(vault: DataFrame) -> DataFrame:
-    """One row: the whole vault as ``{"mappings": {rule id: {original: replacement}}}``. For vaults of a size to hand out."""
-    by_rule = vault.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("original", "replacement"))).alias("values"))
-    whole = by_rule.agg(F.array_sort(F.collect_list(F.struct("rule_id", "values"))).alias("rules"))
-    mappings = F.map_from_entries(F.transform("rules", lambda r: F.struct(r["rule_id"], F.map_from_entries(r["values"]))))
-    return whole.select(F.to_json(F.struct(mappings.alias("mappings"))).alias("json"))
+    """``json``: a line for each value, ``{"mappings": {rule id: {original: replacement}}}``; ``write.text`` makes files of it.
+
+    Lines are made where the rows are, so a vault of any size can be handed
+    out; ``import_json`` takes such lines, or whole mappings in one.
+    """
+    one = F.create_map("rule_id", F.create_map("original", "replacement"))
+    return first_values(vault).select(F.to_json(F.struct(one.alias("mappings"))).alias("json"))
 
 
 def import_json(files: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators.decide import decide
 from ..operators.paths import scan_paths, shell_paths
-from ..operators.scan import no_matches, scan
+from ..operators.scan import no_matches, scan, unused
+from ..operators.vault import with_known
 from ..sources.rules import Rule
 
 #: Fixed values of the event format.
@@ -128,13 +129,14 @@ def _scans(df: DataFrame, rules: list[Rule], project_dir: str | None, home: str
     return df.withColumn("matches", F.coalesce(ordered, no_matches())).drop("__paths", "__both", "__hit", "__content")
 
 
-def decide_events(events: DataFrame, rules: list[Rule], value: str = "value", project_dir: str | None = None, home: str | None = None) -> DataFrame:
+def decide_events(events: DataFrame, rules: list[Rule], value: str = "value", project_dir: str | None = None, home: str | None = None, vault: DataFrame | None = None, store: str = "plain") -> DataFrame:
     """``events`` with ``event_name, tool_name, content, decision, exit_code, response_json, stderr_lines`` and the reasons.
 
     ``decision`` is block, redact, warn, allow or invalid (no JSON; exit code
     1). Only what a tool is about to do can be rewritten; prompts and outputs
     that would need it get a line on stderr. No shuffle: the same plan runs
-    over a stream.
+    over a stream. With a ``vault`` (of a batch's events; ``store`` says how it
+    keeps originals) values that it knows keep the replacements it has.
     """
     project_dir, home = project_dir or str(Path.cwd()), home or str(Path.home())
     kept = events.columns
@@ -143,7 +145,11 @@ def decide_events(events: DataFrame, rules: list[Rule], value: str = "value", pr
     content = F.when(event == PRE, input_content(tool, F.col("tool_input"))).when(event == POST, output_content(tool, F.col("tool_response"))).when(event == PROMPT, F.col("prompt"))
     paths = F.when(event == PRE, input_paths(tool, F.col("tool_input")))
     df = df.withColumn("content", _truthy(content)).withColumn("paths", paths)
-    df = decide(_scans(df, rules, project_dir, home), "content")
+    df, known = _scans(df, rules, project_dir, home), None
+    if vault is not None:
+        known = unused(df, "known")
+        df = with_known(df, vault, store=store, out=known)
+    df = decide(df, "content", known=known)
     blocks, joined = F.col("block_reasons"), F.array_join("block_reasons", "; ")
     changed = (event == PRE) & F.col("content").isNotNull() & (F.coalesce("redacted_text", F.lit("")) != "") & (F.col("redacted_text") != F.col("content"))
     said = F.when(event == POST, "Tool output blocked: ").when(event == PROMPT, "Prompt blocked: ").otherwise("Blocked: ")
@@ -180,5 +186,3 @@ def decide_events(events: DataFrame, rules: list[Rule], value: str = "value", pr
         "redacted_text",
         "matches",
     )
-
-

@@ -12,8 +12,10 @@ import re
 from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the catalog's format.
 ACTIONS = ("block", "redact", "warn")
@@ -136,6 +138,11 @@ def add_hashed_rule(secret: str, rule_id: str, path=None, **options) -> Rule:
     return rule
 
 
+def hashed(rules: DataFrame) -> DataFrame:
+    """The rules that know a secret by its digest, with all their columns."""
+    return rules.where(F.coalesce("hashed", F.lit(False)))
+
+
 def _regex_error(pattern) -> str | None:
     try:
         re.compile(pattern)
@@ -144,6 +151,11 @@ def _regex_error(pattern) -> str | None:
     return None
 
 
+@F.pandas_udf(T.StringType())
+def _regex_errors(patterns: pd.Series) -> pd.Series:
+    return patterns.map(lambda p: None if p is None else _regex_error(p))
+
+
 def validate(data) -> list[str]:
     """All errors of a file's content; keys count where they are present, whatever their value."""
     if data is None:
@@ -188,7 +200,11 @@ def validate_rules_file(path) -> list[str]:
 
 
 def validation_errors(rules: DataFrame) -> DataFrame:
-    """``ord, error`` for rules kept in a table (a null stands for an absent key); regexes are not compiled here."""
+    """``ord, error`` for rules kept in a table; a null, or a column that isn't there, stands for an absent key."""
+    default = lambda name, value: F.coalesce(name, F.lit(value)) if name in rules.columns else F.lit(value)
+    plain = default("is_regex", True) & ~default("hashed", False)
+    broken = _regex_errors(F.when(plain, F.col("pattern")))
+    extractor = _regex_errors(F.col("hash_extractor")) if "hash_extractor" in rules.columns else F.lit(None).cast("string")
     name = F.coalesce(F.concat(F.lit("Rule '"), "rule_id", F.lit("'")), F.concat(F.lit("Rule "), (F.col("ord") + 1).cast("string")))
     again = F.row_number().over(Window.partitionBy("rule_id").orderBy("ord")) > 1
     quoted = lambda what, column, valid: F.concat(F.lit(f"invalid {what} '"), column, F.lit(f"' (must be: {', '.join(sorted(valid))})"))
@@ -196,6 +212,8 @@ def validation_errors(rules: DataFrame) -> DataFrame:
         F.when(F.col("rule_id").isNull(), "missing required field 'id'"),
         F.when(F.col("rule_id").isNotNull() & again, "duplicate id"),
         F.when(F.col("pattern").isNull() & F.col("path_pattern").isNull(), "must have 'pattern' or 'path_pattern'"),
+        F.concat(F.lit("invalid regex pattern: "), broken),
+        F.concat(F.lit("invalid hash_extractor regex: "), extractor),
         F.when(~F.col("action").isin(*ACTIONS), quoted("action", F.col("action"), ACTIONS)),
         F.when(~F.col("target").isin(*TARGETS), quoted("target", F.col("target"), TARGETS)),
     )

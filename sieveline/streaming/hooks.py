@@ -18,17 +18,21 @@ def decisions(events: DataFrame, rules: list[Rule], **options) -> DataFrame:
 def write_decisions(events: DataFrame, rules: list[Rule], path: str, checkpoint: str, vault_path: str | None = None, store: str = "hash", once: bool = True, **options) -> StreamingQuery:
     """Append a stream's decisions to ``path``, and its new values to the mapping table.
 
-    Each micro-batch is written under its own number, so that one that runs
-    again after a failure replaces its rows; values are added by key, so
-    running again adds none twice. Originals are kept as digests by default.
+    Values that the table knows keep their replacements, whatever the rules
+    make of them now. Each micro-batch is written under its own number, so
+    that one that runs again after a failure replaces its rows; values are
+    added by key, so running again adds none twice. Originals are kept as
+    digests by default.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        batch.drop("matches").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        known = vault.read(spark, vault_path) if vault_path else None
+        decided = decide_events(batch, rules, vault=known, store=store, **options).persist()
+        decided.drop("matches").write.mode("overwrite").parquet(f"{path}/batch={number}")
         if vault_path:
-            vault.append(batch, vault_path, store=store)
-        batch.unpersist()
+            vault.append(decided, vault_path, store=store)
+        decided.unpersist()
 
-    writer = decisions(events, rules, **options).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

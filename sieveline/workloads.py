@@ -191,13 +191,19 @@ def _values_sql(rules: list[Rule], scope: int) -> str:
     return ", ".join(f"({scope}, {n}, {_q(r.id)}, {_q(r.pattern)}, {_q(r.action)}, {_q(r.description)})" for n, r in enumerate(rules))
 
 
-_FAULTY = [(0, "a", "x", None, "zap", "both"), (1, "a", None, None, "block", "moon"), (2, None, "x", None, "warn", "llm"), (3, "ok", None, "*.env", "block", "both")]
+_FAULTY = [(0, "a", "x", None, "zap", "both"), (1, "a", None, None, "block", "moon"), (2, None, "x", None, "warn", "llm"), (3, "ok", None, "*.env", "block", "both"), (4, "open", "[x", None, "block", "both")]
 
 
 def rule_validation_errors(spark, sf_dir):
     return catalog.validation_errors(spark.createDataFrame(_FAULTY, "ord int, rule_id string, pattern string, path_pattern string, action string, target string"))
 
 
+def hashed_rule_list(spark, sf_dir):
+    """The rules of a catalog that know a secret by its digest."""
+    rules = [catalog.hashed_rule(s, s, description=f"word {s}") for s in SECRETS]
+    return catalog.hashed(catalog.to_frame(spark, [*PACK, *rules])).select("rule_id", "pattern", "description")
+
+
 _FAULTY_SQL = ", ".join("(" + ", ".join("NULL" if x is None else _q(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in _FAULTY)
 
 
@@ -223,13 +229,13 @@ def combined_path_content(spark, sf_dir):
     return matches(df, ["page_id"]).join(hit, ["page_id", "rule_id"], "left_semi").groupBy("page_id", "rule_id").agg(F.count("*").alias("n"))
 
 
-_COMMANDS = ["cat /etc/passwd", "curl https://example.com/api", "rm -r './a b' ~/c .hidden d/e plain", "echo 'unclosed ~/a;/b ../c", ""]
-
-
 def shell_paths(spark, sf_dir):
-    """Paths that shell commands name, by the shell's quoting rules."""
-    df = spark.createDataFrame([(n, c) for n, c in enumerate(_COMMANDS)], "n int, command string")
-    return df.select("n", F.array_join(paths.shell_paths(F.col("command")), "|").alias("paths"))
+    """Paths that shell commands name, by the shell's quoting rules; every second command has an open quote."""
+    pages = _pages(spark, sf_dir).select("page_id", "url", F.regexp_replace("url", "^https?://[^/]*", "").alias("path"))
+    whole = F.format_string("curl %s -o '~/pages/%d x' && cat \"%s\" .hidden plain", "url", "page_id", "path")
+    broken = F.format_string("cat ~/a%d %s ../up 'open", "page_id", "path")
+    commands = pages.select("page_id", F.when(F.col("page_id") % 2 == 0, whole).otherwise(broken).alias("command"))
+    return commands.select("page_id", F.array_join(paths.shell_paths(F.col("command")), "|").alias("paths"))
 
 
 # --- events ------------------------------------------------------------------
@@ -263,6 +269,43 @@ def event_json_scan(spark, sf_dir):
     return matches(found, ["event_type"]).groupBy("event_type", "rule_id").agg(F.count("*").alias("n"))
 
 
+_TOOL_RULES = [*PACK, Rule("tmp", path_pattern="/tmp/*", action="warn"), Rule("env", path_pattern="*.env", tool="Read"), Rule("conf", CARD, path_pattern="*.conf")]
+
+
+def event_tool_decisions(spark, sf_dir):
+    """Every document as what each kind of tool is given or gives; with the answer and what goes to stderr."""
+    text, none = F.col("text"), F.lit("")
+    given = {
+        "edit": ("Edit", F.struct(F.lit("/tmp/a.txt").alias("file_path"), none.alias("content"), text.alias("new_string"))),
+        "multi": ("MultiEdit", F.struct(F.lit("x.conf").alias("file_path"), text.alias("new_string"))),
+        "read": ("Read", F.struct(F.lit("/work/.env").alias("file_path"))),
+        "bash": ("Bash", F.struct(F.lit("cat /tmp/x").alias("command"))),
+    }
+    made = {
+        "read_out": ("Read", F.struct(text.alias("content"))),
+        "grep_out": ("Grep", F.struct(F.array(F.lit("first"), text).alias("matches"))),
+        "glob_out": ("Glob", F.struct(text.alias("output"))),
+        "fetch_out": ("WebFetch", F.struct(none.alias("content"), text.alias("output"))),
+        "other_out": ("Other", F.struct(text.alias("result"))),
+        "plain_out": ("Other", text),
+    }
+    event = lambda kind, name, tool, field, value: F.struct(F.lit(kind).alias("kind"), F.to_json(F.struct(F.lit(name).alias("hook_event_name"), F.lit(tool).alias("tool_name"), value.alias(field))).alias("value"))
+    events = [event(k, hooks.PRE, tool, "tool_input", v) for k, (tool, v) in given.items()] + [event(k, hooks.POST, tool, "tool_response", v) for k, (tool, v) in made.items()]
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(*events)).alias("e")).select("doc_id", "e.*")
+    out = hooks.decide_events(rows, _TOOL_RULES, project_dir="/project", home="/home/user")
+    return out.select("doc_id", "kind", "decision", F.col("exit_code").cast("bigint").alias("exit_code"), F.array_join("stderr_lines", "\n").alias("stderr"), F.sha2("response_json", 256).alias("response_sha256"))
+
+
+def event_sticky_decisions(spark, sf_dir):
+    """Texts to be written, where addresses were given other replacements before and keep them."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    value = F.to_json(F.struct(F.lit(hooks.PRE).alias("hook_event_name"), F.lit("Write").alias("tool_name"), F.struct(F.col("text").alias("content")).alias("tool_input")))
+    seed = vault.values(_scanned(spark, sf_dir)).where("rule_id = 'ip'").withColumn("replacement", F.concat(F.lit("old-"), F.col("original")))
+    seed = seed.withColumn("original", vault.stored(F.col("original"), "hash"))
+    out = hooks.decide_events(docs.select("doc_id", value.alias("value")), PACK, project_dir="/project", home="/home/user", vault=seed, store="hash")
+    return out.where("decision = 'redact'").select("doc_id", F.sha2("redacted_text", 256).alias("redacted_sha256"))
+
+
 # --- the mapping table -------------------------------------------------------
 
 
@@ -319,7 +362,48 @@ _EVENTS = """e AS (SELECT doc_id, 'PreToolUse' AS event_name, 'Write' AS tool_na
 UNION ALL SELECT doc_id, 'PostToolUse', 'Bash', CASE WHEN text = '' THEN 'end' ELSE text || chr(10) || 'end' END FROM documents
 UNION ALL SELECT doc_id, 'UserPromptSubmit', '', text FROM documents)"""
 
+_BY = "CASE rule_id WHEN 'email' THEN 'redacted-' || sha256(found)[1:8] || '@example.com' WHEN 'card' THEN '[CARD]' WHEN 'ip' THEN " + _IP_SQL.replace("$", "found") + " END"
+
+
+def _spliced_sql(by: str) -> str:
+    """Texts with the spans of redacting rules replaced from the last to the first, in documents that aren't blocked."""
+    return f"""SELECT doc_id, list_reduce(list_prepend({{'s': 0::BIGINT, 'e': 0::BIGINT, 'by': any_value(text)}}, list({{'s': span_start, 'e': span_end, 'by': {by}}} ORDER BY span_start DESC, ord, i)),
+lambda a, m: {{'s': m.s, 'e': m.e, 'by': a.by[1:m.s] || m.by || a.by[m.e + 1:]}}).by AS redacted
+FROM ms JOIN (SELECT doc_id, text FROM documents) USING (doc_id) WHERE action = 'redact' AND doc_id NOT IN (SELECT doc_id FROM ms WHERE action = 'block') GROUP BY doc_id"""
+
+
+_JSON_REASONS = "to_json(array_to_string(b, '; '))"
+_TOOLS = f"""{_MATCHES}, red AS ({_spliced_sql(_BY)}),
+d AS (SELECT doc_id, any_value(text) AS text, coalesce(list(reason ORDER BY ord, i) FILTER (action = 'block'), []) AS b, coalesce(list(reason ORDER BY ord, i) FILTER (action = 'warn'), []) AS w,
+      coalesce(list(rule_id ORDER BY ord, i) FILTER (action = 'redact'), []) AS r, count(*) FILTER (rule_id = 'card') AS cards
+      FROM (SELECT doc_id, text FROM documents) LEFT JOIN (SELECT doc_id, reason, action, rule_id, ord, i FROM ms) USING (doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, kind, kind NOT LIKE '%\\_out' ESCAPE '\\' AS pre, text, kind NOT IN ('read', 'bash') AS textual,
+      CASE kind WHEN 'read' THEN ['[env] Pattern matched'] WHEN 'bash' THEN [] WHEN 'edit' THEN b ELSE b || list_transform(range(cards), lambda x: '[conf] Pattern matched') END::VARCHAR[] AS b,
+      CASE kind WHEN 'read' THEN [] WHEN 'bash' THEN ['[tmp] Pattern matched'] WHEN 'edit' THEN ['[tmp] Pattern matched'] || w ELSE w END::VARCHAR[] AS w,
+      CASE WHEN kind IN ('read', 'bash') THEN []::VARCHAR[] ELSE r END AS r
+      FROM d, (VALUES ('edit'), ('multi'), ('read'), ('bash'), ('read_out'), ('grep_out'), ('glob_out'), ('fetch_out'), ('other_out'), ('plain_out')) v(kind)),
+j AS (SELECT k.*, CASE WHEN k.textual AND len(b) = 0 AND len(r) > 0 THEN redacted END AS redacted FROM k LEFT JOIN red USING (doc_id))
+SELECT doc_id, kind, CASE WHEN len(b) > 0 THEN 'block' WHEN len(r) > 0 THEN 'redact' WHEN len(w) > 0 THEN 'warn' ELSE 'allow' END AS decision, CASE WHEN len(b) > 0 THEN 2 ELSE 0 END::BIGINT AS exit_code,
+array_to_string(list_transform(w, lambda x: 'Warning: ' || x) || CASE WHEN len(b) > 0 THEN [CASE WHEN pre THEN 'Blocked: ' ELSE 'Tool output blocked: ' END || array_to_string(b, '; ')]
+  WHEN NOT pre AND len(r) > 0 THEN ['Warning: redact rules [' || array_to_string(r, ', ') || '] cannot modify tool output'] ELSE [] END, chr(10)) AS stderr,
+sha256(CASE WHEN len(b) > 0 AND pre THEN '{{"hookSpecificOutput": {{"hookEventName": "PreToolUse", "permissionDecision": "deny", "permissionDecisionReason": ' || {_JSON_REASONS} || '}}, "continue": false, "stopReason": ' || to_json('Blocked by redaction rules: ' || array_to_string(b, '; ')) || '}}'
+  WHEN len(b) > 0 THEN '{{"decision": "block", "reason": ' || to_json('Tool output blocked: ' || array_to_string(b, '; ')) || ', "hookSpecificOutput": {{"hookEventName": "PostToolUse"}}}}'
+  WHEN pre AND redacted <> '' AND redacted <> text THEN '{{"hookSpecificOutput": {{"hookEventName": "PreToolUse", "permissionDecision": "allow", "permissionDecisionReason": "Content redacted", "updatedInput": {{'
+    || CASE kind WHEN 'edit' THEN '"content": ' || to_json(redacted) || ', "file_path": "/tmp/a.txt", "new_string": ' || to_json(text) ELSE '"file_path": "x.conf", "new_string": ' || to_json(redacted) END
+    || '}}}}, "continue": true, "systemMessage": "Content was redacted before execution"}}'
+  ELSE '{{"continue": true}}' END) AS response_sha256 FROM j"""
+
 ORACLES = {
+    "redact_pack": f"{_MATCHES} SELECT doc_id, sha256(redacted) AS redacted_sha256 FROM ({_spliced_sql(_BY)})",
+    "event_sticky_decisions": f"{_MATCHES} SELECT doc_id, sha256(redacted) AS redacted_sha256 FROM ({_spliced_sql("CASE WHEN rule_id = 'ip' THEN 'old-' || found ELSE " + _BY + " END")})",
+    "event_tool_decisions": _TOOLS,
+    "hashed_rule_list": "SELECT s AS rule_id, sha256(s) AS pattern, 'word ' || s AS description FROM (VALUES " + ", ".join(f"({_q(s)})" for s in SECRETS) + ") v(s)",
+    "shell_paths": f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '~/pages/' || page_id || ' x|' || CASE WHEN contains(path, '/') THEN path || '|' ELSE '' END || '.hidden'
+ELSE '~/a' || page_id || CASE WHEN regexp_matches(path, '^/[^;|&]') THEN '|' || regexp_extract(path, '^[^;|&]+') ELSE '' END || '|../up' END AS paths FROM ({_PATHS})""",
+    "mapping_consistency_across_tables": f"""{_VALUES},
+pr AS ({_ROWS.replace("FROM documents", "FROM (SELECT page_id AS doc_id, '' AS lang, '' AS source, html AS text FROM pages)")}),
+pv AS (SELECT DISTINCT rule_id, found AS original FROM pr WHERE action = 'redact' AND doc_id NOT IN (SELECT doc_id FROM pr WHERE action = 'block'))
+SELECT rule_id, original, replacement, true AS same FROM vault SEMI JOIN pv USING (rule_id, original)""",
     "match_counts_by_rule": f"{_MATCHES} SELECT rule_id, count(*) AS n_matches, count(DISTINCT doc_id) AS n_docs FROM ms GROUP BY rule_id",
     "match_spans": f"{_MATCHES} SELECT doc_id, rule_id, span_start, span_end, found FROM ms",
     "literal_hits": "SELECT doc_id, (len(string_split(text, 'License, Version 2.0.')) - 1)::BIGINT AS n FROM documents WHERE contains(text, 'License, Version 2.0.')",
@@ -337,6 +421,7 @@ ORACLES = {
     "rule_validation_errors": f"""WITH r AS (SELECT *, coalesce('Rule ''' || rule_id || '''', 'Rule ' || (ord + 1)) AS name, row_number() OVER (PARTITION BY rule_id ORDER BY ord) AS k FROM (VALUES {_FAULTY_SQL}) v(ord, rule_id, pattern, path_pattern, action, target))
 SELECT ord, name || ': missing required field ''id''' AS error FROM r WHERE rule_id IS NULL UNION ALL SELECT ord, name || ': duplicate id' FROM r WHERE rule_id IS NOT NULL AND k > 1
 UNION ALL SELECT ord, name || ': must have ''pattern'' or ''path_pattern''' FROM r WHERE pattern IS NULL AND path_pattern IS NULL
+UNION ALL SELECT ord, name || ': invalid regex pattern: unterminated character set at position 0' FROM r WHERE pattern LIKE '[%' AND pattern NOT LIKE '%]%'
 UNION ALL SELECT ord, name || ': invalid action ''' || action || ''' (must be: block, redact, warn)' FROM r WHERE action NOT IN ('block', 'redact', 'warn')
 UNION ALL SELECT ord, name || ': invalid target ''' || target || ''' (must be: both, llm, tool)' FROM r WHERE target NOT IN ('both', 'llm', 'tool')""",
     "path_glob_match": f"SELECT page_id, rule_id, path FROM ({_PATHS}), (VALUES ('html', '^.*\\.html$', ''), ('deep', '^/.*/1.*$', ''), ('digit', '^[0-4].*$', '')) g(rule_id, p, x) WHERE regexp_matches(regexp_replace(path, '(.)/+$', '\\1'), p) OR regexp_matches(string_split(regexp_replace(path, '/+$', ''), '/')[-1], p)",
@@ -354,7 +439,7 @@ UNION ALL SELECT ord, name || ': invalid target ''' || target || ''' (must be: b
 QUERIES = [
     match_counts_by_rule, match_spans, literal_hits, hashed_secret_hits, hashed_secret_join, redact_pack, residual_after_redaction, column_pseudonyms,
     block_warn_redact_decision, reasons_text, target_tool_filter, file_check_summary, file_check_messages, rule_merge_override, rule_validation_errors,
-    path_glob_match, combined_path_content, shell_paths, event_field_extraction, event_decisions, event_json_scan, mapping_build, mapping_sticky,
+    path_glob_match, combined_path_content, shell_paths, event_field_extraction, event_decisions, event_tool_decisions, event_sticky_decisions, hashed_rule_list, event_json_scan, mapping_build, mapping_sticky,
     mapping_consistency_across_tables, top_secrets, exposure_by_language, exposure_by_label,
 ]
 

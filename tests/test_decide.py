@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import vault
@@ -64,14 +65,38 @@ def test_values_keep_their_first_replacement(spark, tmp_path):
     kept = vault.read(spark, path)
     assert sorted(tuple(r) for r in vault.resolve(later, kept).collect()) == [("r", "a", "1"), ("r", "c", "2")]
     assert [tuple(r) for r in vault.new_values(later, kept).collect()] == [("r", "c", "2")]
-    assert decide(vault.with_known(later, kept, "id"), known="known").first().redacted_text == "1 2"
+    assert decide(vault.with_known(later, kept), known="known").first().redacted_text == "1 2"
+
+
+@pytest.mark.parametrize("most", [0, 10])
+@pytest.mark.parametrize("store", ["plain", "hash"])
+def test_kept_replacements_are_found_however_originals_are_stored(spark, tmp_path, monkeypatch, store, most):
+    monkeypatch.setattr(vault, "BROADCAST_MAPS", most)
+    path = str(tmp_path / "vault")
+    vault.append(scan(spark.createDataFrame([(1, "a b a")], "id int, text string"), [Rule("r", "[ab]", action="redact", replacement="1")]), path, store=store)
+    twice = vault.read(spark, path).union(spark.createDataFrame([("r", "a" if store == "plain" else short("a"), "9")], vault.SCHEMA))
+    rows = [(1, "a c", "x"), (2, "nothing", "x"), (3, "a c", "y"), (4, None, "x"), (5, "c", "x")]
+    later = scan(spark.createDataFrame(rows, "id int, text string, known string"), [Rule("r", "[abc]", action="redact", replacement="2")])
+    out = decide(vault.with_known(later, twice, store=store, out="kept"), known="kept").orderBy("id").collect()
+    assert [r.redacted_text for r in out] == ["1 2", "nothing", "1 2", None, "2"] and [r.known for r in out] == ["x", "x", "y", "x", "x"]
+    assert sorted(tuple(r) for r in vault.resolve(later, twice, store=store).collect()) == [("r", "a", "1"), ("r", "c", "2")]
+    assert [r.replacement for r in vault.new_values(later, twice, store=store).collect()] == ["2"]
+    assert vault.vault_path("/x/", "p") == "/x/p" and vault.vault_path("/x") == "/x/global"
+
+
+def test_many_spans_are_spliced_in_one_go(spark):
+    text = "\ufeff😀ab " * 30_000
+    row = run(spark, [Rule("r", "a", action="redact", replacement="\ufeff!"), Rule("s", " ", action="redact", replacement="")], text)[0]
+    assert row.redacted_text == "\ufeff😀\ufeff!b" * 30_000
 
 
 def test_vault_as_json(spark):
     table = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("s", "a", "3")], vault.SCHEMA)
     text = vault.export_json(table)
-    assert text.first()[0] == '{"mappings":{"r":{"a":"1","b":"2"},"s":{"a":"3"}}}'
+    assert sorted(r.json for r in text.collect())[0] == '{"mappings":{"r":{"a":"1"}}}'
     assert sorted(map(tuple, vault.import_json(text).collect())) == sorted(map(tuple, table.collect()))
+    whole = spark.createDataFrame([('{"mappings":{"r":{"a":"1","b":"2"},"s":{"a":"3"}}}',)], "json string")
+    assert sorted(map(tuple, vault.import_json(whole).collect())) == sorted(map(tuple, table.collect()))
     assert vault.import_json(spark.createDataFrame([("not json",), ("[]",)], "json string")).count() == 0
 
 

@@ -152,3 +152,17 @@ def test_a_stream_decides_like_a_batch(spark, tmp_path, again):
     key = lambda df: sorted((r.value, r.decision, r.response_json or "") for r in df.collect())
     assert key(out) == key(batch)
     assert spark.read.parquet(options["vault_path"]).count() == 2
+
+
+def test_a_stream_keeps_first_replacements(spark, tmp_path):
+    source, made = tmp_path / "in", []
+    source.mkdir()
+    options = {"path": str(tmp_path / "out"), "checkpoint": str(tmp_path / "checkpoint"), "vault_path": str(tmp_path / "vault"), "store": "hash"}
+    for n, new in enumerate(("1", "2")):
+        lines = [json.dumps(pre("Write", file_path="a", content=f"key-{k}")) for k in range(n, n + 2)]
+        (source / f"{n}.txt").write_text("\n".join(lines) + "\n")
+        write_decisions(events(spark, str(source), True), [Rule("r", "key-[0-9]", action="redact", replacement=new)], **options).awaitTermination()
+        made.append(sorted((r.content, r.redacted_text) for r in spark.read.parquet(f"{options['path']}/batch={n}").collect()))
+    assert made == [[("key-0", "1"), ("key-1", "1")], [("key-1", "1"), ("key-2", "2")]]
+    kept = spark.read.parquet(options["vault_path"]).collect()
+    assert sorted(r.replacement for r in kept) == ["1", "1", "2"] and all("key" not in r.original for r in kept)

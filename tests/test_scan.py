@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import dialect, spans
+from sieveline.operators.decide import decide, redact
 from sieveline.operators.scan import hashed_hits, matches, scan
 from sieveline.sources.rules import Rule, hashed_rule, to_frame
 
-PATTERNS = [r"[a-z]+@x", r"\b\w{2,}\b", r"(a|b)+?c", r"a$", r"^\s+", r"(?i)straße|k", r"[^\W\d]+", r"\d{2,}", r"(?<!a)b(?=c)", r"(\w)\1", r"a{,2}b", r".\n", r"x*", "(?m)^a", r"\S+", r"[\D]+", r"(?P<q>a)(?P=q)", r"a\Z"]
+PATTERNS = [r"[a-z]+@x", r"\b\w{2,}\b", r"(a|b)+?c", r"a$", r"^\s+", r"(?i)straße|k", r"[^\W\d]+", r"\d{2,}", r"(?<!a)b(?=c)", r"(\w)\1", r"a{,2}b", r".\n", r"(?:ab|c)+", r"(?:a|bc?)*b", r"(?:[ab]{2}c)+", r"(?:ab){2,}?", r"x*", "(?m)^a", r"\S+", r"[\D]+", r"(?P<q>a)(?P=q)", r"a\Z"]
 
 
 def found(df, *columns):
@@ -76,3 +77,25 @@ def test_two_rules_of_one_id_are_refused(spark):
 def test_scan_needs_no_shuffle_and_no_python(spark):
     plan = scan(texts(spark, "x"), [Rule("a", r"\bx+\b"), hashed_rule("x", "h")])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_no_pattern_ends_the_stack_on_a_long_match(spark):
+    df = texts(spark, "abc" * 40_000, "a" * 200_000, "a.b" * 40_000)
+    for pattern in (r"(?:ab|c)+", r"(a|bb?)+", r"\w+", r"a{5}", r"(?:ab\w){2,}", r"(?:[a-z]+\.?)+", r"(?:(?:ab|c){0,20}c){0,30}"):
+        made = scan(df, [Rule("r", pattern)]).select("id", "text", F.expr("transform(matches, m -> m.start)").alias("starts"), F.expr("transform(matches, m -> m.end)").alias("ends"))
+        for row in made.collect():
+            assert list(zip(row.starts, row.ends, strict=True)) == [m.span() for m in re.finditer(pattern, row.text)], pattern
+    assert dialect.to_java("(?:ab|c)+") is None and dialect.to_java("(?:ab|c){1,50}") and dialect.to_java(r"(?:(?:ab|c){0,20}c){1,30}") is None
+
+
+def test_what_a_match_needs():
+    wants = {r"[a-z]+@x\.com": "x.com", r"(?i)abc": "", r"a|b": "", r"(token)=?": "token", r"(?:ab)*c": "c", r"(?:abc)+c": "abc", "License": "License"}
+    assert {p: dialect.needed(p) for p in wants} == wants
+
+
+def test_each_rule_is_evaluated_once(spark):
+    rules = [Rule(f"r{n}", f"{c}[0-9]+", action=action) for n, (c, action) in enumerate(zip("abc", ("redact", "block", "warn"), strict=True))]
+    df = texts(spark, "a1 b2 c3")
+    for out in (redact(df, rules).where("decision = 'redact'"), decide(scan(df, rules)).where("decision <> 'allow'").select("decision", "redacted_text")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == plan.count("RLIKE") == len(rules)
