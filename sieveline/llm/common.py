@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,16 +14,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that every executor sees.
+    """A new folder that every executor sees, in the folder that the session names in ``spark.checkpoint.dir``.
 
-    It lies in the folder that the session names in ``spark.checkpoint.dir``.
-    Where that is unset (tests on one machine) a temporary folder takes its
-    place for the rest of the session.
+    The folder of a session that names none would be seen by one machine
+    alone, so that is an error. Spark doesn't clear the folder; whoever sets
+    it decides how long cuts are kept.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="sieveline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -40,6 +38,18 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str = "text"):
     """A null text counts as an empty one."""
     return F.coalesce(F.col(column), F.lit(""))

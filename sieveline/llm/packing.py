@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from collections import deque
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -93,16 +92,16 @@ class _Numbered:
             self.close(pieces, self.last or free <= self.slack)
 
 
-def _left(packed: DataFrame) -> DataFrame:
-    """Pieces that are packed again, with the group that left them in ``group``."""
-    return packed.where("not closed").withColumn("group", F.shiftright("sequence_id", 28).bitwiseAND((1 << 28) - 1))
+#: The group that left a piece, as in its sequence's number.
+_GROUP = "shiftright(sequence_id, 28) & ((1L << 28) - 1)"
 
 
-def pack(docs: DataFrame, tokenizer: str, boundary: str = "prefix", end_id: int = 0, capacity: int = 2048, open_bins: int = 256, slack: float = 0.005, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, boundary: str = "prefix", end_id: int = 0, capacity: int = 2048, open_bins: int = 256, slack: float = 0.005, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, special: bool = True) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids.
 
     ``tokenizer`` is the path of a tokenizers JSON file, ``boundary`` how it
-    treats spaces (see ``tokens``). A document is its ids and then ``end_id``.
+    treats spaces and ``special`` whether special tokens' strings in a text
+    are their ids (see ``tokens``). A document is its ids and then ``end_id``.
     Only a document longer than ``capacity`` is cut: into pieces of exactly
     ``capacity`` ids, of which the first may be shorter.
 
@@ -122,7 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, boundary: str = "prefix", end_id: int
 
     def first(batches):
         packer, out = BestFit(capacity, open_bins), _Numbered(0, TaskContext.get().partitionId(), spare, False)
-        encode = encoder(tokenizer, boundary).encode
+        encode = encoder(tokenizer, boundary, special).encode
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py()) + end
@@ -147,33 +146,39 @@ def pack(docs: DataFrame, tokenizer: str, boundary: str = "prefix", end_id: int
             out.rows = []
 
     def again(round_, last):
-        def repack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["sequence_id", "offset"])
-            packer, out = BestFit(capacity, open_bins), _Numbered(round_, int(key[0]), spare, last)
-            columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in names[:-4]]
-            for length, *piece in zip(pdf["length"].tolist(), *columns, strict=True):
-                for pieces in packer.add(length, tuple(piece)):
-                    out.close(pieces)
-            out.finish(packer)
-            return pd.DataFrame(out.rows, columns=names).astype({"piece": "int32"})
+        def repack(batches):
+            """Pieces come by group, so one packer is open at a time; ids pass through as they are."""
+            group, packer, out = None, None, None
+            for batch in batches:
+                for of, length, *piece in zip(batch.column("group").to_pylist(), batch.column("length").to_pylist(), *(batch.column(c).to_pylist() for c in names[:-4]), strict=True):
+                    if of != group:
+                        if out:
+                            out.finish(packer)
+                            yield from rows(out)
+                        group, packer, out = of, BestFit(capacity, open_bins), _Numbered(round_, of, spare, last)
+                    for pieces in packer.add(length, tuple(piece)):
+                        out.close(pieces)
+            if out:
+                out.finish(packer)
+                yield from rows(out)
 
         return repack
 
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    groups = max(1, source.rdd.getNumPartitions())
     packed = materialize(source.mapInArrow(first, schema), "packed")
     done, round_ = [packed.where("closed")], 0
-    left = _left(packed)
+    left = packed.where("not closed")
+    groups = 1 + (left.agg(F.max(F.expr(_GROUP))).first()[0] or 0)
     while True:
         round_, fewer = round_ + 1, -(-groups // MERGE)
-        merged = left.withColumn("group", F.floor(F.col("group") * fewer / groups).cast("bigint")).groupBy("group").applyInPandas(again(round_, fewer == 1), schema)
+        merged = left.withColumn("group", F.expr(f"floor(({_GROUP}) * {fewer} / {groups})").cast("bigint")).repartition("group").sortWithinPartitions("group", "sequence_id", "offset")
+        merged = merged.mapInArrow(again(round_, fewer == 1), schema)
         if fewer == 1:
             done.append(merged)
             break
         merged = materialize(merged, "packed")
         done.append(merged.where("closed"))
-        left = _left(merged)
-        groups = fewer
+        left, groups = merged.where("not closed"), fewer
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)

@@ -1,20 +1,32 @@
 """Near-duplicates by SimHash and a binary trie self-join.
 
-Fingerprints are made once per document and the distinct ones are linked.
-Two that differ in at most ``budget`` bits agree on at least one of
-``budget + 1`` blocks of bits, so the fingerprints are dealt out by the value
-of each block. Within a block value the other bits form a trie that is joined
-with itself: pairs of nodes go down together, differing bits add up, and a
-pair is dropped as soon as it exceeds the budget.
-
-A block value that too many fingerprints share is dealt out again by blocks of
-its remaining bits, and so on. Distinct fingerprints that agree on ``64 - r``
-bits are at most ``2 ** r``, so this ends, and no group is unbounded.
+Fingerprints are made once per document and the distinct ones are linked. The
+sorted fingerprints of a group form a binary trie that is joined with itself:
+pairs of nodes go down together, several bits at a time, differing bits add
+up, and a pair is dropped as soon as it exceeds the budget, or if all below it
+is tied already.
+
+Groups come in two ways.
+
+``links`` (64 bits, small budgets) loses no link: the bits are cut into runs,
+and two fingerprints within ``budget`` bits agree on all but ``budget`` runs,
+so each is dealt out by its bits on every such choice of runs. Fingerprints in
+groups that too many share are dealt out again by a finer cut, which is
+complete in itself; the finest leaves so few bits free that a group is bounded.
+
+``wide_links`` (256 bits, budgets for a similarity of 0.8) would need far too
+many choices. It sorts the fingerprints in several orders of their bits and
+joins those that agree on the first bits of an order. The number of orders is
+worked out from the similarity so that a pair is missed with a small, stated
+probability; the bits to agree on grow with the number of fingerprints, and
+the orders with them.
 """
 
 from __future__ import annotations
 
-from functools import partial
+import math
+from functools import partial, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,179 +37,355 @@ from .common import broadcast_if_small, materialize, text_or_empty
 from .components import components
 
 BITS = 64
-#: More distinct fingerprints than this in one group are dealt out again.
+#: Distinct fingerprints in one group; those of larger groups are dealt out again.
 GROUP = 2_000
+#: Choices of runs that a fingerprint is dealt out by at most.
+MASKS = 1_000
 #: Rows up to which a list of rows is sent to all executors; a longer one is shuffled.
 BROADCAST_ROWS = 50_000
-#: Bits by which the trie goes down at a time, and node pairs looked at together.
-STEP, PAIRS = 6, 1 << 21
+#: Bits by which a trie of 64 or 256 bits goes down at a time, node pairs looked at together, and rows of whole groups joined together.
+STEP, WIDE_STEP, PAIRS, CHUNK = 4, 8, 1 << 20, 100_000
 
+#: Words of 64 bits in a wide fingerprint.
+WORDS = 4
+#: Share of bits in which texts of similarity 0.8 differ (0.152 on average), with a margin; links reach ``WIDE_BUDGET``.
+WIDE_SHARE, WIDE_BUDGET = 0.16, 48
+#: Probability that no order brings a pair at ``WIDE_SHARE`` together.
+MISSED = 0.03
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """SimHash of one text given as UTF-8; zero if it has no word."""
-    from xxhash import xxh64_intdigest
 
+def _shingles(text: bytes, shingle: int) -> list[bytes]:
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII white space characters
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxh64_intdigest, seed=42), shingles), "<u8")
+    if len(words) < shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+
+def _hashes(shingles: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(partial(xxh64_intdigest, seed=42), shingles), "<u8", len(shingles))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit, bit 0 first."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return ones
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, key, fp`` of every row: a hash of its text, and the whole text's fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """SimHash of one text given as UTF-8; zero if it has no word."""
+    hashes = _hashes(_shingles(text, shingle))
+    return int(np.packbits(2 * _ones(hashes) > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The ``n``-th further hash made from each hash."""
+    with np.errstate(over="ignore"):
+        z = hashes + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
+    """SimHash of the set of a text's shingles, ``WORDS`` words wide; zero if it has no word."""
+    hashes = np.unique(_hashes(_shingles(text, shingle)))
+    ones = np.concatenate([_ones(_mixed(hashes, n) if n else hashes) for n in range(WORDS)])
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def _fingerprinted(docs: DataFrame, make, kind: pa.DataType, sql: str, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id, key, fp`` of every row: a hash of its text, and the whole text's fingerprint."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", kind)])
 
     def run(batches):
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([make(x.as_py()) for x in batch.column(2)], kind)], schema=schema)
 
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.encode(text_or_empty(text_column), "UTF-8").alias("text"))
-    return source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id bigint, key bigint, fp bigint")
+    return source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id bigint, key bigint, fp {sql}")
+
 
+def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, key, fp`` of every row, ``fp`` as a signed long."""
+    return _fingerprinted(docs, lambda text: _signed(fingerprint(text, shingle)), pa.int64(), "bigint", id_column, text_column)
 
-def _split(bits: list[int], parts: int) -> list[int]:
-    """Masks of ``parts`` runs of ``bits`` of nearly equal length."""
-    cuts = [len(bits) * i // parts for i in range(parts + 1)]
-    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, key, fp`` of every row, ``fp`` as bytes."""
+    return _fingerprinted(docs, lambda text: wide_fingerprint(text, shingle), pa.binary(), "binary", id_column, text_column)
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def _blocks(mask: int, budget: int) -> list[int]:
-    """``mask`` with each block of the bits outside it added."""
-    free = [b for b in range(BITS) if not mask >> b & 1]
-    return [mask | part for part in _split(free, budget + 1)]
+# --- the trie -------------------------------------------------------------------
+
+
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])
+
+
+def _shared_bits(keys: np.ndarray) -> np.ndarray:
+    """First bits that each row of words has in common with the row before; none for the first."""
+    apart = keys[1:] ^ keys[:-1]
+    word = np.argmax(apart != 0, axis=1)
+    return np.append(0, 64 * word + 64 - _bit_length(apart[np.arange(len(apart)), word]))
+
+
+def _tied(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``labels`` after the leaves ``a`` and ``b`` were tied pair by pair; a label is the first leaf of its group."""
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return labels
+        parent = np.arange(len(labels))
+        np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        labels = parent[labels]
 
 
 class _Trie:
-    """Sorted distinct fingerprints that share ``mask``'s bits in groups; level k has a node for each prefix."""
-
-    def __init__(self, fps: np.ndarray, mask: int):
-        free = [b for b in reversed(range(BITS)) if not mask >> b & 1]
-        self.steps = [0, *(sum(1 << b for b in free[i : i + STEP]) for i in range(0, len(free), STEP))]
-        order = np.lexsort([fps & np.uint64(m) for m in reversed([mask, *self.steps[1:]])])
-        self.fps = fps[order]
-        self.starts, seen = [], mask
-        for step in self.steps:
-            seen |= step
-            prefix = self.fps & np.uint64(seen)
-            self.starts.append(np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]))
+    """Sorted distinct ``keys`` (rows of 64-bit words); ``roots`` are the first rows of groups, level k has a node for each prefix of ``depths[k - 1]`` bits."""
+
+    def __init__(self, keys: np.ndarray, shared: np.ndarray, roots: np.ndarray, depths: list[int]):
+        self.keys, self.starts, self.steps, above = keys, [roots], [(0, np.uint64(0))], 0
+        first = np.zeros(len(keys), bool)
+        first[roots] = True
+        for depth in depths:
+            self.starts.append(np.flatnonzero(first | (shared < depth)))
+            word, low = (depth - 1) // 64, 64 * ((depth - 1) // 64 + 1) - depth
+            self.steps.append((word, np.uint64(((1 << (depth - max(above, 64 * word))) - 1) << low)))
+            above = depth
         # the first child of each node, and one past the last
         self.children = [np.append(np.searchsorted(low, high), len(low)) for high, low in zip(self.starts, self.starts[1:], strict=False)]
 
-    def close_pairs(self, budget: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf pairs within ``budget`` bits, but for those that ``labels`` tie already."""
-        least = [np.minimum.reduceat(labels, s) for s in self.starts]
-        most = [np.maximum.reduceat(labels, s) for s in self.starts]
+    def tie(self, budget: int, labels: np.ndarray) -> np.ndarray:
+        """``labels`` after all leaves within ``budget`` bits were tied; node pairs below which all is tied aren't followed."""
         roots = np.arange(len(self.starts[0]))
-        stack, found = [(0, roots, roots, np.zeros(len(roots), np.int8))], []
+        stack, fresh = [(0, roots, roots, np.zeros(len(roots), np.int16))], False
         while stack:
             level, a, b, spent = stack.pop()
             if level == len(self.steps) - 1:
-                apart = a != b
-                found.append((a[apart], b[apart]))
+                labels, fresh = _tied(labels, a, b), False
                 continue
+            if not fresh:
+                least, most = ([f.reduceat(labels, s) for s in self.starts] for f in (np.minimum, np.maximum))
+                fresh = True
             first = self.children[level]
             width = first[b + 1] - first[b]
             made = (first[a + 1] - first[a]) * width
             total = np.cumsum(made)
             if total[-1] > PAIRS and len(a) > 1:
-                cut = max(1, int(np.searchsorted(total, PAIRS)))
-                stack += [(level, x[0], x[1], x[2]) for x in ((a[cut:], b[cut:], spent[cut:]), (a[:cut], b[:cut], spent[:cut]))]
+                cut = min(len(a) - 1, max(1, int(np.searchsorted(total, PAIRS))))
+                stack += [(level, a[cut:], b[cut:], spent[cut:]), (level, a[:cut], b[:cut], spent[:cut])]
                 continue
             of = np.repeat(np.arange(len(a)), made)
             n = np.arange(total[-1]) - np.repeat(total - made, made)
             i, j = first[a][of] + n // width[of], first[b][of] + n % width[of]
-            s, step = self.starts[level + 1], np.uint64(self.steps[level + 1])
-            cost = spent[of] + np.bitwise_count((self.fps[s[i]] ^ self.fps[s[j]]) & step).astype(np.int8)
-            tied = (least[level + 1][i] == most[level + 1][i]) & (least[level + 1][j] == most[level + 1][j]) & (least[level + 1][i] == least[level + 1][j])
-            keep = (cost <= budget) & ~tied & ((a[of] != b[of]) | (i <= j))
+            low, high, s = least[level + 1], most[level + 1], self.starts[level + 1]
+            follow = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])) & ((a[of] != b[of]) | (i <= j))
+            of, i, j = of[follow], i[follow], j[follow]
+            word, step = self.steps[level + 1]
+            column = self.keys[:, word]
+            cost = spent[of] + np.bitwise_count((column[s[i]] ^ column[s[j]]) & step).astype(np.int16)
+            keep = cost <= budget
             if keep.any():
                 stack.append((level + 1, i[keep], j[keep], cost[keep]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (roots[:0], roots[:0])
+        return labels
+
+    def links(self, budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the first rows of the groups they are tied into. The budget grows, so that dense groups are tied by their closest pairs."""
+        labels = np.arange(len(self.keys))
+        for allowed in sorted({-(-budget // 3), -(-2 * budget // 3), budget}):
+            labels = self.tie(allowed, labels)
+        linked = np.flatnonzero(labels != np.arange(len(labels)))
+        return linked, labels[linked]
 
 
 def trie_links(fps: np.ndarray, mask: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that tie together all that is within ``budget`` bits and agrees on ``mask``'s bits: each fingerprint and its group's first.
+    """Links that tie together all of ``fps`` that is within ``budget`` bits and agrees on ``mask``'s bits: each fingerprint and its group's first.
 
-    The budget grows from 1, so that dense groups are tied together by their
-    closest pairs and node pairs inside them need no further visit. Repeated
-    fingerprints count once.
+    Repeated fingerprints count once.
     """
-    fps = np.unique(fps)  # leaves of the trie have the numbers of rows
-    trie = _Trie(fps, mask)
-    parent = list(range(len(fps)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for allowed in range(1, budget + 1):
-        labels = np.fromiter(map(root, range(len(parent))), np.int64)
-        for x, y in zip(*(v.tolist() for v in trie.close_pairs(allowed, labels)), strict=True):
-            rx, ry = root(x), root(y)
-            parent[max(rx, ry)] = min(rx, ry)
-    labels = np.fromiter(map(root, range(len(parent))), np.int64)
-    linked = np.flatnonzero(labels != np.arange(len(labels)))
-    return trie.fps[linked], trie.fps[labels[linked]]
+    fps = np.unique(fps)
+    keys = np.stack([fps & np.uint64(mask), fps & ~np.uint64(mask)], 1)
+    order = np.lexsort([keys[:, 1], keys[:, 0]])
+    keys, fps = keys[order], fps[order]
+    shared = _shared_bits(keys)
+    free = [b for b in reversed(range(BITS)) if not mask >> b & 1]
+    depths = sorted({128 - b for b in free[STEP - 1 :: STEP] + free[-1:]})
+    linked, to = _Trie(keys, shared, np.flatnonzero(shared < 64) if mask else np.arange(min(1, len(fps))), depths).links(budget)
+    return fps[linked], fps[to]
+
+
+# --- groups without a lost link ---------------------------------------------------
+
+
+def _masks(parts: int, budget: int) -> list[int]:
+    """The bits are cut into ``parts`` runs; every choice of all but ``budget`` of them."""
+    cuts = [BITS * i // parts for i in range(parts + 1)]
+    runs = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(runs, parts - budget)]
+
+
+def _by_group(batches, columns: list[str]):
+    """Tables of whole groups (rows alike in ``columns``, which come together), of about ``CHUNK`` rows or one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) < CHUNK:
+            continue
+        rows = pa.Table.from_batches(held)
+        changes = np.zeros(rows.num_rows - 1, bool)
+        for name in columns:
+            values = rows[name].to_numpy()
+            changes |= values[1:] != values[:-1]
+        at = np.flatnonzero(changes)
+        if len(at):
+            yield rows.slice(0, int(at[-1]) + 1)
+            held = rows.slice(int(at[-1]) + 1).combine_chunks().to_batches()
+    if any(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
 
 
 def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
-    """``a, b``: links between the distinct fingerprints in column ``fp`` that tie all within ``budget`` bits."""
-    spark = distinct.sparkSession
+    """``a, b``: links between the distinct fingerprints in column ``fp`` that tie all within ``budget`` bits.
+
+    A group of the finest cut has at most ``2 ** (64 * budget / parts)``
+    fingerprints: 65,536 for a budget of 3.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(batches):
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
-            return
-        fps, masks = rows["fp"].to_numpy().view(np.uint64), rows["mask"].to_numpy().view(np.uint64)
-        for mask in np.unique(masks):
-            a, b = trie_links(fps[masks == mask], int(mask), budget)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
-
-    def dealt(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
-        """Each row once for every block that follows its mask."""
-        following = spark.createDataFrame([(_signed(m), [_signed(x) for x in more]) for m, more in masks.items()], "mask bigint, more array<bigint>")
-        return rows.join(F.broadcast(following), "mask").select("fp", F.explode("more").alias("mask"))  # at most 4 rows a level: bounded by budget + 1
-
-    masks = {0: _blocks(0, budget)}
-    level = dealt(distinct.select("fp", F.lit(0).cast("bigint").alias("mask")), masks).withColumn("value", F.expr("fp & mask"))
-    parts = []
-    while True:
-        crowded = level.groupBy("mask", "value").count().where(F.col("count") > GROUP).select("mask", "value")
-        crowded = materialize(crowded, "crowded")
-        masks = {m: _blocks(m & ((1 << BITS) - 1), budget) for (m,) in crowded.select("mask").distinct().collect()}
-        masks = {m & ((1 << BITS) - 1): more for m, more in masks.items() if len(set(more)) == budget + 1}
-        if not masks:
-            parts.append(level)
+        for rows in _by_group(batches, ["mask", "value"]):
+            fps, masks = rows["fp"].to_numpy().view(np.uint64), rows["mask"].to_numpy().view(np.uint64)
+            for mask in np.unique(masks):
+                a, b = trie_links(fps[masks == mask], int(mask), budget)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+
+    cuts = [parts for parts in ((budget + 1) * n for n in (1, 2, 3)) if parts == budget + 1 or math.comb(parts, budget) <= MASKS]
+    rows, done = distinct.select("fp"), []
+    for parts in cuts:
+        masks = F.array(*(F.lit(_signed(m)).cast("bigint") for m in _masks(parts, budget)))
+        dealt = rows.select("fp", F.explode(masks).alias("mask")).withColumn("value", F.expr("fp & mask"))
+        if parts != cuts[-1]:
+            crowded = materialize(dealt.groupBy("mask", "value").count().where(F.col("count") > GROUP).select("mask", "value"), "crowded")
+        if parts == cuts[-1] or crowded.isEmpty():
+            done.append(dealt)
             break
-        known = crowded.where(F.col("mask").isin([_signed(m) for m in masks]))
-        parts.append(level.join(known, ["mask", "value"], "left_anti"))
-        # different masks may grow into the same one, so a fingerprint may come there more than once
-        again = dealt(level.join(known, ["mask", "value"], "left_semi").select("fp", "mask"), masks).distinct()
-        level = materialize(again.withColumn("value", F.expr("fp & mask")), "crowded")
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part.select(rows.columns))
-    return rows.repartition("mask", "value").select("fp", "mask").mapInArrow(join, "a bigint, b bigint")
-
-
-def classes(docs: DataFrame, shingle: int = 3, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, key, fp, root, component_id`` of every row; ``root`` is one fingerprint of the row's component."""
-    made = materialize(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
+        known = broadcast_if_small(crowded, BROADCAST_ROWS)
+        done.append(dealt.join(known, ["mask", "value"], "left_anti"))
+        # two fingerprints whose groups are all crowded are both dealt out again
+        rows = materialize(dealt.join(known, ["mask", "value"], "left_semi").select("fp").distinct(), "again")
+    rows = reduce(DataFrame.unionByName, (part.select("fp", "mask", "value") for part in done))
+    return rows.repartition("mask", "value").sortWithinPartitions("mask", "value").select("fp", "mask", "value").mapInArrow(join, "a bigint, b bigint")
+
+
+# --- groups by sorting in many orders -----------------------------------------------
+
+
+def orders(n: int) -> tuple[int, int]:
+    """Bits that fingerprints of one group agree on at least, and how many orders of the bits there are, for ``n`` fingerprints."""
+    bits = max(16, (max(2, n) - 1).bit_length() - 4)
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - (1 - WIDE_SHARE) ** bits))
+
+
+def _order(n: int) -> np.ndarray:
+    return np.random.default_rng(n).permutation(64 * WORDS)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _bytes(column) -> np.ndarray:
+    """Binary values of equal length as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _roots(shared: np.ndarray, bits: int) -> np.ndarray:
+    """First rows of groups that agree on ``bits`` bits, or on more where more than ``GROUP`` rows do."""
+    first = shared < bits
+    first[0] = True
+    while True:
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(shared)))
+        crowded = np.repeat(sizes > GROUP, sizes)
+        if not crowded.any():
+            return starts
+        bits += 2
+        first |= crowded & (shared < bits)
+
+
+def wide_links(distinct: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
+    """``a, b``: links between distinct wide fingerprints in column ``fp``; see the module's text for what may be missed.
+
+    The sorted rows of an order are dealt out by range, so a group that a
+    large share of all rows falls into is spread over tasks; rows that more
+    than ``GROUP`` others agree with are joined with those that agree on
+    further bits.
+    """
+    bits, n_orders = orders(distinct.count())
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    depths = list(range(WIDE_STEP * (bits // WIDE_STEP + 1), 64 * WORDS + 1, WIDE_STEP))
+
+    def turn(batches):
+        for batch in batches:
+            unpacked = np.unpackbits(_bytes(batch.column(0)), axis=1) if batch.num_rows else None
+            for n in range(n_orders if batch.num_rows else 0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, n, np.int32)), _binary(np.packbits(unpacked[:, _order(n)], axis=1))], names=["turn", "key"])
+
+    def join(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = (batch.column(0).to_numpy(), _bytes(batch.column(1)))
+            held = more if held is None else tuple(map(np.concatenate, zip(held, more, strict=True)))
+            if len(held[0]) >= CHUNK:
+                found, held = tied(*held, False)
+                yield from found
+        if held is not None:
+            yield from tied(*held, True)[0]
+
+    def tied(turns, raw, last):
+        """Links among the groups of sorted rows, and the rows of the last group, which may go on."""
+        keys = raw.view(">u8").astype(np.uint64)
+        new = np.append(True, (turns[1:] != turns[:-1]) | (keys[1:] != keys[:-1]).any(1))
+        turns, raw, keys = turns[new], raw[new], keys[new]
+        shared = np.where(np.append(True, turns[1:] != turns[:-1]), 0, _shared_bits(keys))
+        roots = _roots(shared, bits)
+        end = len(keys) if last or len(roots) == 1 else int(roots[-1])
+        linked, to = _Trie(keys[:end], shared[:end], roots[roots < end], depths).links(budget)
+        out = []
+        for n in np.unique(turns[linked]):
+            of, back = turns[linked] == n, np.argsort(_order(n))
+            a, b = (_binary(np.packbits(np.unpackbits(raw[x[of]], axis=1)[:, back], axis=1)) for x in (linked, to))
+            out.append(pa.RecordBatch.from_arrays([a, b], schema=schema))
+        return out, ((turns[end:], raw[end:]) if end < len(keys) else None)
+
+    turned = distinct.select("fp").mapInArrow(turn, "turn int, key binary")
+    return turned.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key").mapInArrow(join, "a binary, b binary")
+
+
+# --- classes ------------------------------------------------------------------------
+
+
+def _classes(made: DataFrame, link) -> DataFrame:
+    """``doc_id, key, fp, root, component_id`` of every row of ``made (doc_id, key, fp)``; ``root`` is one fingerprint of the row's component."""
+    made = materialize(made, "fingerprints")
     distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    tied = materialize(components(links(distinct, budget)), "components").withColumnRenamed("node", "fp")
+    tied = materialize(components(link(distinct)), "components").withColumnRenamed("node", "fp")
     least = distinct.join(tied, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = distinct.join(tied.join(least, "root"), "fp", "left")
     # written first, so that the last join reads two plain shuffles and a hot fingerprint's rows can be split
@@ -217,16 +405,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_colum
     names a component that has another id. An empty table gives an empty
     result; other columns are left out.
     """
-    found = classes(docs, shingle, budget, id_column, text_column)
+    found = _classes(fingerprints(docs, shingle, id_column, text_column), partial(links, budget=budget))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = WIDE_BUDGET, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each component, all its columns kept: the smallest id's; rows without an id come last.
 
-    Of rows alike in id and text any one stays.
+    Texts are linked if their wide fingerprints, made of the set of their
+    shingles of five words, differ in at most ``budget`` of 256 bits: as texts
+    of similarity 0.8 or more do but for chance (see README for measured
+    recall). Of rows alike in id and text any one stays. Null, empty and blank
+    texts are one component; a text of less than five words is one shingle. An
+    empty table stays empty. Columns may have any names.
     """
-    found = materialize(classes(docs, shingle, budget, id_column, text_column), "classes")
+    found = materialize(_classes(wide_fingerprints(docs, shingle, id_column, text_column), partial(wide_links, budget=budget)).select("doc_id", "key", "root"), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     # written first, so that the join reads two plain shuffles and a hot component's rows can be split
     first = materialize(found.groupBy("root").agg(F.min(place).alias("first")), "first")

@@ -96,19 +96,31 @@ class _LowerPieces(_Pieces):
 
 
 class Encoder:
-    """``encode(text)`` gives the ids of a whole text as little-endian unsigned 32-bit bytes."""
+    """``encode(text)`` gives the ids of a whole text as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, boundary: str = "none"):
+    ``special`` says what the strings of special tokens inside a text are:
+    their ids, as the library gives them by default, or ordinary text. A text
+    that holds one of them is encoded in one go.
+    """
+
+    def __init__(self, path: str, boundary: str = "none", special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if boundary not in BOUNDARIES:
             raise ValueError(f"boundary must be one of {BOUNDARIES}")
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer, self._given = Tokenizer.from_file(path), Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        self._special = {x.content.lower() for x in tokenizer.get_added_tokens_decoder().values()} if special else set()
         self._plain, self._lower = _Pieces(tokenizer), _LowerPieces(tokenizer)
         self._spaced = _SpacedPieces(tokenizer, self._plain)
-        self.encode = {"prefix": self._prefix, "drop": self._drop, "none": self._plain.whole}[boundary]
+        self._encode = {"prefix": self._prefix, "drop": self._drop, "none": self._plain.whole}[boundary]
+
+    def encode(self, text: str) -> bytes:
+        low = text.lower() if self._special else ""
+        if any(x in low for x in self._special):
+            return array("I", self._given.encode(text, add_special_tokens=False).ids).tobytes()
+        return self._encode(text)
 
     def _prefix(self, text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -126,12 +138,12 @@ class Encoder:
         return b"".join(map(self._lower.__getitem__, text.encode().lower().split()))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, boundary: str) -> Encoder:
+def encoder(path: str, boundary: str, special: bool = True) -> Encoder:
     """The worker's encoder; Python workers are reused, so its pieces are too."""
-    key = (path, boundary)
+    key = (path, boundary, special)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, boundary)
+        _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sieveline.llm import packing, token_ids
@@ -13,7 +14,7 @@ from sieveline.llm.tokens import Encoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ENCODERS = {(p, b): Encoder(p, b) for p, b in ((BYTES, "prefix"), (WORDS, "drop"), (BYTES, "none"), (WORDS, "none"))}
-TEXTS = [None, "", " ", "a", "the cat. The dog!\nNext  line", "é ñandú ΑΣ 日本", "word " * 700, "x" * 5000, "don't <|endoftext|> 'S", "a", "a"]
+TEXTS = ["a <|endoftext|> b<|startoftext|>", "<|ENDOFTEXT|>", None, "", " ", "a", "the cat. The dog!\nNext  line", "é ñandú ΑΣ 日本", "word " * 700, "x" * 5000, "don't <|endoftext|> 'S", "a", "a"]
 
 
 def rows(spark, texts=TEXTS):
@@ -29,7 +30,6 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
 
 def ids(path, text, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -99,7 +99,13 @@ def test_token_id_files(spark, tmp_path, width):
         whole = ids(WORDS, r.text, 1)
         expected.append((r.doc_id, start, len(whole), crc(whole), array("I", whole).tobytes()))
         start += len(whole)
-    assert sorted(map(tuple, found), key=lambda r: r[1]) == expected
+    bare = lambda rows: sorted((str(r[0]), *r[2:]) for r in rows)
+    assert bare(found) == bare(expected)
+    found = sorted(map(tuple, found), key=lambda r: r[1])
+    assert [r[1] for r in found] == [sum(r[2] for r in found[:n]) for n in range(len(found))]
+    assert [r[0] for r in found] == [r[0] for r in expected]
+    some = token_ids.look_up(spark, path, [1, 3, 99_999]).collect()
+    assert sorted(map(tuple, some)) == sorted(r for r in found if r[0] in (1, 3)) and len(some) == 3
 
 
 @settings(max_examples=100, deadline=None)
@@ -112,6 +118,25 @@ def test_elias_fano(values, spare):
     assert [coded.select(i) for i in range(len(values))] == values
 
 
+def test_ids_beyond_the_doubles_stay_exact(spark):
+    big = 9_007_199_254_740_993
+    df = spark.createDataFrame([(big, "a b"), (None, "c d"), (big + 1, "e")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in packing.pack(df, BYTES).collect()) == sorted([str(big), "None", str(big + 1)])
+
+
+def test_rows_of_a_hot_id_are_spread(spark, tmp_path):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), (F.col("id") % 7).cast("string")).alias("text"))
+    token_ids.write_token_ids(df, str(tmp_path / "ids"), WORDS, partitions=4)
+    sizes = [r.n_docs for r in spark.read.parquet(str(tmp_path / "ids")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2500
+    assert token_ids.read_token_ids(spark, str(tmp_path / "ids")).count() == 4000
+
+
+def test_special_strings_may_be_ordinary_text():
+    text = "a <|endoftext|> b"
+    assert len(Encoder(BYTES, "prefix", special=False).encode(text)) > len(Encoder(BYTES, "prefix").encode(text)) == 4 * len(ids(BYTES, text, 0)[:-1])
+
+
 def test_elias_fano_is_small_and_selects_over_gaps():
     values = np.sort(np.r_[np.arange(1000), 10_000_000 + np.arange(1000)])
     coded = token_ids.EliasFano.encode(values, 10_001_000)

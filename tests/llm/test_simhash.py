@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from sieveline.llm import simhash
+from sieveline.llm.common import materialize
 from sieveline.llm.components import components
 
 
@@ -54,9 +56,35 @@ def test_trie_links_tie_what_is_near():
     for seed in range(5):
         fps = clusters(seed, 10, 15, 5)
         pairs = {f: f for f in fps}
-        links = [simhash.trie_links(np.array(fps, np.uint64), mask, 3) for mask in simhash._blocks(0, 3)]
-        both = {(x, y) for a, b in links for x, y in zip(a.tolist(), b.tolist(), strict=True)}
-        assert brute_groups(list(pairs), lambda a, b: (a, b) in both) == near(fps)
+        for masks in ([0], simhash._masks(4, 3), simhash._masks(8, 3)):
+            links = [simhash.trie_links(np.array(fps, np.uint64), mask, 3) for mask in masks]
+            both = {(x, y) for a, b in links for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+            assert brute_groups(list(pairs), lambda a, b: (a, b) in both) == near(fps)
+
+
+def test_every_close_pair_agrees_on_one_choice_of_runs():
+    rng = random.Random(2)
+    for parts in (4, 8, 12):
+        masks = simhash._masks(parts, 3)
+        assert len(set(masks)) == len(masks) and all(m.bit_count() >= 64 * (parts - 3) // parts - 3 for m in masks)
+        for _ in range(300):
+            apart = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(not apart & m for m in masks)
+
+
+def test_a_cluster_of_many_fingerprints_takes_bounded_work(spark):
+    rng = np.random.default_rng(4)
+    fps = np.full(40_000, np.uint64(rng.integers(1 << 63)))
+    for _ in range(6):
+        fps ^= np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)
+    fps = np.unique(fps)
+    a, b = simhash.trie_links(fps, 0, 3)
+    expected = sorted(map(tuple, zip(a.tolist(), b.tolist(), strict=True)))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    found = materialize(simhash.links(df))
+    assert found.count() < 20 * len(fps)
+    roots = {r.node % (1 << 64): r.root for r in components(found).collect()}
+    assert all(roots[x] == roots[y] for x, y in expected) and len(set(roots.values())) == len({y for _, y in expected} - {x for x, _ in expected})
 
 
 def test_crowded_groups_are_dealt_out_again(spark, monkeypatch):
@@ -65,6 +93,9 @@ def test_crowded_groups_are_dealt_out_again(spark, monkeypatch):
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     links = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(spark.createDataFrame(signed, "fp long")).collect()}
     assert brute_groups(fps, lambda a, b: (a, b) in links) == near(fps)
+    monkeypatch.setattr(simhash, "CHUNK", 10)
+    again = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(spark.createDataFrame(signed, "fp long")).collect()}
+    assert brute_groups(fps, lambda a, b: (a, b) in again) == near(fps)
 
 
 def test_repeated_rows_are_one_fingerprint():
@@ -125,14 +156,49 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
 
 
-def test_one_row_of_each_group_stays(spark):
-    df = documents(spark)
+def similarity(a, b):
+    a, b = (set(simhash._shingles((t or "").encode(), 5)) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, words, text, share):
+    return " ".join(rng.choice(words) if rng.random() < share else w for w in text.split(" "))
+
+
+@pytest.mark.parametrize("group", [2_000, 20])
+def test_one_row_of_each_group_stays(spark, monkeypatch, group):
+    """Near copies of similarity 0.8 and more against brute force; also where groups are crowded and rows come in small chunks."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "CHUNK", 50 * group)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 7))) for _ in range(3000)]
+    rows = []
+    for n in range(150):
+        base = " ".join(rng.choices(words, k=rng.randint(30, 500)))
+        rows.append((10 * n, base))
+        rows += [(10 * n + k, edited(rng, words, base, rng.uniform(0, 0.03))) for k in range(1, 3)]
+    family = " ".join(rng.choices(words, k=300))
+    rows += [(5_000 + n, edited(rng, words, family, 0.01)) for n in range(200)]
+    rows += [(9_000, None), (9_001, ""), (9_002, " \n\t"), (9_003, "one"), (9_004, "ONE"), (9_003, "one"), (None, "one"), (None, "alone here"), (9_005, "x " * 20_000)]
+    df = spark.createDataFrame([(a, b, "s", 1) for a, b in rows], "doc_id long, text string, _id string, root int")
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    found = simhash.near_duplicates(df)
-    assert kept.count() == found.selectExpr("coalesce(component_id, -1)").distinct().count()
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == sorted(r[0] for r in found.where("component_id is not null").select("component_id").distinct().collect())
+    left = [r.doc_id for r in kept.collect()]
+    assert sorted(x for x in left if x and x >= 9_000) == [9_000, 9_003, 9_005] and left.count(None) == 1
+    assert len([x for x in left if x is not None and 5_000 <= x < 6_000]) == 1
+    texts = dict(rows)
+    alike = [10 * n + k for n in range(150) for k in (1, 2) if similarity(texts[10 * n], texts[10 * n + k]) >= 0.8]
+    assert len(alike) > 100 and len(set(alike) & set(left)) <= 0.1 * len(alike)
+    unlike = [10 * n + k for n in range(150) for k in (1, 2) if max(similarity(texts[10 * n + k], texts[10 * n + j]) for j in (0, 1, 2) if j != k) < 0.6]
+    assert unlike and set(unlike) <= set(left)
+    assert {10 * n for n in range(150)} <= set(left)
+
+
+def test_orders_grow_with_the_number_of_fingerprints():
+    assert simhash.orders(2) == simhash.orders(1 << 20) and simhash.orders(1 << 20)[0] == 16
+    for n in (1, 1 << 20, 1 << 30):
+        bits, orders = simhash.orders(n)
+        assert (1 - (1 - simhash.WIDE_SHARE) ** bits) ** orders <= simhash.MISSED and n <= 16 << bits
 
 
 def test_empty(spark):
