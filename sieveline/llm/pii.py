@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 ROUNDS = 8
 #: Days of four centuries from 1800-01-01 on: 189 * 773, so every pair of the two is a day.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
@@ -116,9 +119,6 @@ def _cards(run: Column, key: str, undo: bool) -> Column:
     Cards begin and end at a separator or an end of the run. Usual groupings
     come before others, then those further left, then longer ones.
     """
-    window = "struct<kind:int,at:int,less:int,digits:string>"
-    overlaps = lambda a, b: (a["at"] < b["at"] - b["less"]) & (b["at"] < a["at"] - a["less"])
-
     def windows(groups: Column) -> Column:
         def from_(at: Column) -> Column:
             def of(n: Column) -> Column:
@@ -131,21 +131,34 @@ def _cards(run: Column, key: str, undo: bool) -> Column:
         all_ = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), from_))
         return F.array_sort(F.filter(all_, lambda w: _card_valid(w["digits"])))
 
-    def chosen(sorted_: Column) -> Column:
-        return F.aggregate(sorted_, F.array().cast(f"array<{window}>"), lambda acc, w: F.when(F.exists(acc, lambda x: overlaps(x, w)), acc).otherwise(F.array_append(acc, w)))
+    def chosen(sorted_: Column, n: Column) -> Column:
+        """A byte for each group: "." if it is in no card, "c" if it goes on with one, else "@" plus the groups of the card that it starts."""
+
+        def step(marks: Column, w: Column) -> Column:
+            free = F.replace(F.substring(marks, w["at"] + 1, -w["less"]).cast("string"), F.lit("."), F.lit("")) == ""
+            card = F.concat(F.char(64 - w["less"]), F.repeat(F.lit("c"), -w["less"] - 1)).cast("binary")
+            return F.when(free, F.overlay(marks, card, w["at"] + 1, -w["less"])).otherwise(marks)
+
+        return F.aggregate(sorted_, F.repeat(F.lit("."), n).cast("binary"), step)
 
-    def glued(groups: Column, taken: Column) -> Column:
+    def glued(groups: Column, marks: Column) -> Column:
         separators = F.concat(F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
 
-        def piece(group: Column, n: Column) -> Column:
-            inside = F.try_element_at(F.filter(taken, lambda w: (w["at"] <= n) & (n < w["at"] - w["less"])), F.lit(1))
-            written = lambda w: F.array_join(F.transform(F.slice(groups, w["at"] + 1, -w["less"]), lambda g, k: F.concat(g, F.when(k < -w["less"] - 1, separators[w["at"] + k]).otherwise(""))), "")
-            card = lambda w: F.when(w.isNull(), F.concat(group, separators[n])).when(w["at"] == n, F.concat(_card(written(w), key, undo), separators[n - w["less"] - 1])).otherwise("")
-            return _let(inside, card)
+        def joined(separator: Column) -> Column:
+            def piece(group: Column, at: Column) -> Column:
+                mark = F.substring(marks, at + 1, F.lit(1)).cast("string")
+                n = F.ascii(mark) - 64
+                written = F.array_join(F.transform(F.slice(groups, at + 1, n), lambda g, k: F.concat(g, F.when(k < n - 1, separator[at + k]).otherwise(""))), "")
+                return F.when(mark == ".", F.concat(group, separator[at])).when(mark == "c", "").otherwise(F.concat(_card(written, key, undo), separator[at + n - 1]))
 
-        return F.struct(F.array_join(F.transform(groups, piece), "").alias("text"), F.size(taken).alias("n"))
+            return F.array_join(F.transform(groups, piece), "")
 
-    return _let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda groups: _let(_let(windows(groups), chosen), lambda taken: glued(groups, taken)))
+        return F.struct(_let(separators, joined).alias("text"), F.length(F.regexp_replace(marks.cast("string"), "[.c]", "")).alias("n"))
+
+    def of(groups: Column) -> Column:
+        return _let(chosen(windows(groups), F.size(groups)), lambda marks: glued(groups, marks))
+
+    return _let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), of)
 
 
 def _phone_valid(value: Column) -> Column:
@@ -186,8 +199,10 @@ def _ssn(value: Column, key: str, undo: bool) -> Column:
     return _let(pair, lambda p: F.concat_ws("-", _padded(p["l"] + 1 + F.when(p["l"] > 664, 1).otherwise(0), 3), _padded(F.floor(p["r"] / 9_999) + 1, 2), _padded(p["r"] % 9_999 + 1, 4)))
 
 
-#: Ways to write a date: what splits it and Java's pattern for it; the first that gives a date of the four centuries counts.
+#: Ways to write a date; the first that gives a date of the four centuries counts.
 DATE_PATTERNS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy")
+#: Written with slashes, a day up to 12 is read as a month. Days from the 13th on are permuted among themselves: 9 * 9833 in four centuries.
+DAY_FIRST, LATE_DAYS = "dd/MM/yyyy", (9, 9833)
 
 
 def _dates(value: Column) -> list[tuple[Column, str]]:
@@ -195,24 +210,55 @@ def _dates(value: Column) -> list[tuple[Column, str]]:
     return [(F.when(value.rlike(shape(p)), F.try_to_timestamp(value, F.lit(p)).cast("date")), p) for p in DATE_PATTERNS]
 
 
+def _first_day() -> Column:
+    return F.to_date(F.lit(FIRST_DAY))
+
+
 def _in_range(day: Column) -> Column:
-    return day.between(F.to_date(F.lit(FIRST_DAY)), F.date_add(F.to_date(F.lit(FIRST_DAY)), DAYS[0] * DAYS[1] - 1))
+    return day.between(_first_day(), F.date_add(_first_day(), DAYS[0] * DAYS[1] - 1))
 
 
 def _date_valid(value: Column) -> Column:
     return F.coalesce(F.greatest(*(F.coalesce(_in_range(day), F.lit(False)) for day, _ in _dates(value))), F.lit(False))
 
 
+def _months(day: Column) -> Column:
+    """Whole months from the first day's to this one's."""
+    return (F.year(day) - int(FIRST_DAY[:4])) * 12 + F.month(day) - 1
+
+
+def _late_day(n: Column) -> Column:
+    """The ``n``-th of the days from the 13th of a month on."""
+
+    def month(k: Column) -> Column:
+        start = F.add_months(_first_day(), k.cast("int"))
+        return F.struct((F.datediff(start, _first_day()) - 12 * k).alias("before"), start.alias("start"))
+
+    # months have 16 to 19 such days, the four centuries' mean is 18.44; no month lies two off
+    guess = F.floor(n * 4800 / (LATE_DAYS[0] * LATE_DAYS[1]))
+    near = F.filter(F.transform(F.sequence(guess - 2, guess + 2), month), lambda m: m["before"] <= n)
+    return _let(F.array_max(near), lambda m: F.date_add(m["start"], (n - m["before"] + 12).cast("int")))
+
+
 def _date(value: Column, key: str, undo: bool) -> Column:
     out = F.lit(None).cast("string")
     for day, pattern in reversed(_dates(value)):
-        n = F.datediff(day, F.to_date(F.lit(FIRST_DAY))).cast("bigint")
-        pair = feistel(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key, undo)
-        made = F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), (_let(pair, lambda p: p["l"] * DAYS[1] + p["r"])).cast("int")), pattern)
-        out = F.when(_in_range(day), made).otherwise(out)
+        n = F.datediff(day, _first_day()).cast("bigint")
+        if pattern == DAY_FIRST:
+            n, sizes, kind = n - 12 * (_months(day) + 1), LATE_DAYS, round_key(key, pattern)
+        else:
+            sizes, kind = DAYS, key
+        pair = feistel(F.floor(n / sizes[1]), n % sizes[1], *sizes, kind, undo)
+        number = _number_of(pair, sizes[1])
+        made = _let(number, _late_day) if pattern == DAY_FIRST else F.date_add(_first_day(), number.cast("int"))
+        out = F.when(_in_range(day), F.date_format(made, pattern)).otherwise(out)
     return out
 
 
+def _number_of(pair: Column, size: int) -> Column:
+    return _let(pair, lambda p: p["l"] * size + p["r"])
+
+
 def _email(value: Column, key: str, undo: bool) -> Column:
     """Letters and digits before the "@" become others of their class: each half is shifted by a hash of the other."""
     local = F.substring_index(value, "@", 1)
@@ -254,11 +300,12 @@ class Kind:
 
 def _anywhere(pattern: str) -> str:
     """``pattern`` without its conditions on what stands before."""
-    return pattern.replace("(?<![0-9A-Za-z.])", "").replace("(?<![0-9A-Za-z-])", "").replace("(?<![0-9A-Za-z])", "")
+    return re.sub(r"\(\?<!\[[^]]*\]\)", "", pattern)
 
 
 _OTHERS = (
-    Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", lambda v: F.lit(True), _email),
+    # sizes are the standard's: 64 characters before the "@", labels of 63, 127 of them at most
+    Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}", lambda v: F.lit(True), _email),
     Kind("date", r"(?<![0-9A-Za-z.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9A-Za-z])", _date_valid, _date),
     Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", _ssn_valid, _ssn),
     Kind("phone", r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:\+?1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])", _phone_valid, _phone),
@@ -275,13 +322,17 @@ def pseudonymize(docs: DataFrame, key: str, kinds=KINDS, undo: bool = False, tex
 
     Candidates are found left to right without overlap; one that fails its
     kind's validation stays as it is. In a run of digits in groups every card
-    is found, whatever numbers stand beside it. A null text stays null with counts of
-    zero. A value may be its own pseudonym, as in any permutation. With
-    ``undo`` and the same key the values come back, but for day-first dates
-    with slashes whose pseudonym can be read month-first and for runs of
-    digits in which a pseudonym makes another grouping look like a card. Columns named like
-    the counts are replaced; a column must not be named ``_hits``.
+    is found, whatever numbers stand beside it. Of a mail address what stands
+    before the "@" is permuted, its domain stays. A null text stays null with
+    counts of zero, an empty one empty; repeated rows are treated alike; an
+    empty table stays empty. The time grows with a text's length, whatever it
+    holds. Different values written alike get different pseudonyms; a value
+    may be its own, as in any permutation. With ``undo`` and the same key the
+    values come back, but for runs of digits in which a pseudonym makes
+    another grouping look like a card. Columns named like the counts are
+    replaced; other columns may have any names.
     """
+    (hits_name,) = unused(docs, "hits")
     text = F.col(text_column)
     found_by = "|".join(f"(?:{kind.pattern})" for kind in kinds)
     whole = [f"^(?:{_anywhere(kind.pattern)})$" for kind in kinds]
@@ -305,11 +356,11 @@ def pseudonymize(docs: DataFrame, key: str, kinds=KINDS, undo: bool = False, tex
 
     none = F.array().cast("array<struct<kind:string,text:string,n:int>>")
     hits = F.when(text.rlike("[0-9]|@"), F.transform(F.regexp_extract_all(text, F.lit(found_by), F.lit(0)), pseudonym)).otherwise(none)
-    staged = docs.withColumn("_hits", hits)
-    glued = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, found_by, -1).alias("gap"), F.col("_hits").alias("hit")), lambda x: F.array(x["gap"], F.coalesce(x["hit"]["text"], F.lit(""))))), "")
+    staged = docs.withColumn(hits_name, hits)
+    glued = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, found_by, -1).alias("gap"), F.col(hits_name).alias("hit")), lambda x: F.array(x["gap"], F.coalesce(x["hit"]["text"], F.lit(""))))), "")
 
     def count(kind: Kind) -> Column:
-        counted = F.aggregate(F.filter("_hits", lambda h: h["kind"] == kind.name), F.lit(0), lambda n, h: n + h["n"])
-        return F.when(F.col("_hits").isNull(), 0).otherwise(counted).cast("bigint")
+        counted = F.aggregate(F.filter(hits_name, lambda h: h["kind"] == kind.name), F.lit(0), lambda n, h: n + h["n"])
+        return F.when(F.col(hits_name).isNull(), 0).otherwise(counted).cast("bigint")
 
-    return staged.withColumns({**{f"n_{kind.name}": count(kind) for kind in kinds}, text_column: F.when(F.size("_hits") > 0, glued).otherwise(text)}).drop("_hits")
+    return staged.withColumns({**{f"n_{kind.name}": count(kind) for kind in kinds}, text_column: F.when(F.size(hits_name) > 0, glued).otherwise(text)}).drop(hits_name)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -113,6 +114,60 @@ def test_cards_beside_other_numbers(spark):
     assert {r.text for r in back.collect()} == set(plain)
 
 
+@pytest.mark.parametrize("text", ["a@" + "b." * 20_000 + "com", "x" * 1_000_000 + " 1", "1-" * 3_000, "a@" * 20_000, "x@" + "1." * 20_000, "1.2." * 20_000, "(555)" * 20_000, "9" * 100_000])
+def test_no_text_ends_or_stalls_the_job(spark, text):
+    row = pii.pseudonymize(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, hits string"), "k").first()
+    assert len(row.text) == len(text) and row.hits == "x"
+
+
+def test_slash_dates_keep_apart(spark):
+    days = spark.sql("select explode(sequence(date'1896-01-01', date'1905-12-31')) d")
+    texts = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).union(days.select(F.date_format("d", "MM/dd/yyyy"))).distinct().withColumn("was", F.col("text"))
+    made = pii.pseudonymize(texts, "k").persist()
+    assert made.select("text").distinct().count() == made.count() == made.where("n_date = 1").count()
+    assert pii.pseudonymize(made.select("text", "was"), "k", undo=True).where("text <> was").count() == 0
+
+
+def brute_feistel(left, right, a, b, key, rounds=8):
+    for n in range(rounds):
+        shift = lambda value, bound: int(hashlib.sha256(f"{key}|{n}|{value}".encode()).hexdigest()[:15], 16) % bound  # noqa: E731, B023
+        left, right = ((left + shift(right, a)) % a, right) if n % 2 == 0 else (left, (right + shift(left, b)) % b)
+    return left, right
+
+
+def brute_pseudonyms(text, key):
+    """Addresses and cards of a text in plain Python."""
+
+    def ip(m):
+        parts = [int(x) for x in m[0].split(".")]
+        if max(parts) > 255 or any(len(x) > 3 for x in m[0].split(".")):
+            return m[0]
+        a, b = brute_feistel(parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], 65_536, 65_536, pii.round_key(key, "ip"))
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+    def card(m):
+        d = m[0]
+        if not luhn(d):
+            return d
+        n = len(d) - 2
+        half = n // 2
+        a, b = brute_feistel(int(d[1 : 1 + half]), int(d[1 + half : 1 + n]), 10**half, 10 ** (n - half), pii.round_key(key, "card"))
+        return with_check(d[0] + str(a).zfill(half) + str(b).zfill(n - half))
+
+    text = re.sub(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ip, text)
+    return re.sub(r"(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z.])", card, text)
+
+
+def test_pseudonyms_against_brute_force(spark):
+    rng, texts = random.Random(11), []
+    for _ in range(150):
+        some = [".".join(str(rng.randint(0, 300)) for _ in range(4)), with_check(str(rng.randint(1, 9)) + "".join(rng.choices("0123456789", k=rng.randint(11, 17)))), "".join(rng.choices("0123456789", k=rng.randint(5, 25))), "word", "é"]
+        texts.append(", ".join(rng.choices(some, k=6)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in pii.pseudonymize(df, "k").collect()}
+    assert [found[n] for n in range(len(texts))] == [brute_pseudonyms(t, "k") for t in texts]
+
+
 def test_trigram_counts(spark):
     texts = ["the The ab", "œa b4c ñandú жx", "", None, "a"]
     counts = toxicity.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
