@@ -24,8 +24,9 @@ class Template:
     """``marks``: role -> (mark before, mark after). ``trained``: roles under the loss mask.
 
     A role without marks is written between ``other``'s first two marks, its
-    text up to the third. No mark may hold a backslash, and no end of a mark
-    may be the start of another.
+    text up to the third. No mark may hold a backslash or another mark, and no
+    end of a mark may be the start of one: so no mark arises where texts and
+    marks meet, nor across turns, and a conversation can be read turn by turn.
     """
 
     marks: dict = field(default_factory=lambda: {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")})
@@ -36,6 +37,17 @@ class Template:
     #: states in which a conversation may end
     ends: frozenset = frozenset({"assistant"})
 
+    def __post_init__(self):
+        marks = self.controls()
+        for a in marks:
+            if not a or "\\" in a:
+                raise ValueError(f"a mark must hold a character, and no backslash: {a!r}")
+            for b in marks:
+                if (a != b and a in b) or any(b.startswith(a[n:]) for n in range(1, len(a))):
+                    raise ValueError(f"the marks {a!r} and {b!r} can't be told apart")
+        if len(set(marks)) < len(marks):
+            raise ValueError("two marks are alike")
+
     def controls(self) -> list[str]:
         return [*(mark for pair in self.marks.values() for mark in pair), *self.other]
 

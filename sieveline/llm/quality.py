@@ -9,20 +9,24 @@ the earlier ones let through.
 
 from __future__ import annotations
 
+import posixpath
+import random
 import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Rows of the sample on which cost and selectivity are measured.
-SAMPLE_ROWS = 2_000
+#: Rows of the sample on which cost and selectivity are measured, and files that it is drawn from.
+SAMPLE_ROWS, SAMPLE_FILES = 2_000, 8
 
 _SPACE, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -123,26 +127,45 @@ def rejected_by(text: str | None, rules) -> str | None:
     return next((rule.name for rule in rules if rule.rejects(measures)), None)
 
 
-def cascade(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 17, text_column: str = "text") -> list[Rule]:
+def _sampled(docs: DataFrame, sample_rows: int, seed: int, text_column: str) -> DataFrame:
+    """About ``sample_rows`` texts. Of a table in files only some files are read, drawn by the seed."""
+    files = sorted(docs.inputFiles())
+    if len(files) > SAMPLE_FILES:
+        try:
+            names = [unquote(posixpath.basename(file)) for file in random.Random(seed).sample(files, SAMPLE_FILES)]
+            docs = docs.where(F.col("_metadata.file_name").isin(names))
+        except AnalysisException:  # not a plain table of files: rows are drawn from all of it
+            pass
+    rows, texts = docs.count(), docs.select(text_or_empty(text_column).alias("text"))
+    return texts.sample(fraction=sample_rows / rows, seed=seed) if rows > sample_rows else texts
+
+
+def cascade(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 17, text_column: str = "text", given: tuple = (), before=()) -> list[Rule]:
     """``rules`` by rejections per second, as measured on about ``sample_rows`` rows.
 
-    Only a line for each rule comes to the driver. Rules that reject nothing
-    there come last, the cheapest first.
+    ``given`` names measures that are there when the rules run, and ``before``
+    rules that run before these: what they reject isn't looked at. Only a line
+    for each rule comes to the driver. Rules that reject nothing there come
+    last, the cheapest first.
     """
-    rows = docs.count()
-    sample = docs.select(text_or_empty(text_column).alias("text"))
-    if rows > sample_rows:
-        sample = sample.sample(fraction=sample_rows / rows, seed=seed)
+
+    def ready(text: str) -> Measures:
+        m = Measures(text)
+        for name in given:
+            getattr(m, name)
+        return m
 
     def measure(batches):
         for batch in batches:
-            texts, found = batch.column(0).to_pylist(), []
+            texts, found = [t for t in batch.column(0).to_pylist() if not rejected_by(t, before)], []
             for rule in rules:
+                measures = [ready(text) for text in texts]
                 began = time.perf_counter()
-                rejections = sum(rule.rejects(Measures(text)) for text in texts)
+                rejections = sum(map(rule.rejects, measures))
                 found.append({"rule": rule.name, "seconds": time.perf_counter() - began, "rejections": rejections})
             yield pa.RecordBatch.from_pylist(found)
 
+    sample = _sampled(docs, sample_rows, seed, text_column)
     measured = sample.mapInArrow(measure, "rule string, seconds double, rejections bigint").groupBy("rule").agg(F.sum("seconds"), F.sum("rejections"))
     figures = {name: (rejections / max(seconds, 1e-9), -seconds) for name, seconds, rejections in measured.collect()}
     return sorted(rules, key=lambda rule: figures.get(rule.name, (0.0, 0.0)), reverse=True)
@@ -168,10 +191,13 @@ def measure_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``doc_id``, the base figures, ``base_failed`` and ``kept`` of every row.
 
     The base figures are made for every text; the other rules run as a cascade
-    on the texts that pass the base rules. A null text is one without words.
+    on the texts that pass the base rules. A null text is one without words,
+    an empty one too; texts of any length are measured whole; repeated rows get
+    the same figures. An empty table gives an empty result; other columns are
+    left out, whatever their names.
     """
-    ordered = cascade(docs, MORE_RULES, text_column=text_column)
     figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    ordered = cascade(docs, MORE_RULES, text_column=text_column, given=figures, before=BASE_RULES)
     schema = pa.schema([("doc_id", pa.int64()), *((name, pa.int64()) for name in figures), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
 
     def run(batches):

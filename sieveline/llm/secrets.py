@@ -17,7 +17,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, text_or_empty
+from .common import broadcast_if_small, materialize, text_or_empty, unused
 
 #: Documents whose ids meet in one bucket of the index, about.
 BUCKET_ROWS = 2_048
@@ -147,8 +147,9 @@ def _spans(text: Column, rule: SecretRule, rank: int) -> Column:
     return F.aggregate(pieces, state, step, lambda acc: acc["found"])
 
 
-def _with_spans(docs: DataFrame, rules, id_column: str, text_column: str) -> DataFrame:
-    """``docs`` with a column ``__spans``; only ids and rule names are joined to it."""
+def _with_spans(docs: DataFrame, rules, id_column: str, text_column: str, out: str) -> DataFrame:
+    """``docs`` with a column ``out`` of spans; only ids and rule names are joined to it."""
+    id_name, kinds_name = unused(docs, "id", "kinds")
     text = F.coalesce(F.col(text_column), F.lit(""))
     queries = {rule.kind: query for rule in rules if (query := trigram_query(rule.pattern))}
     trigrams = sorted({t for query in queries.values() for clause in query for way in clause for t in way})
@@ -157,16 +158,16 @@ def _with_spans(docs: DataFrame, rules, id_column: str, text_column: str) -> Dat
         source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL")
         buckets = max(1, -(-docs.count() // BUCKET_ROWS))
         index = materialize(postings(source, trigrams, buckets), "trigrams")
-        maybe = materialize(candidates(index, trigrams, queries), "candidates").select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
-        df = docs.join(broadcast_if_small(maybe, BROADCAST_ROWS), F.col(id_column).cast("bigint") == F.col("__id"), "left")
-        kinds = F.coalesce("__kinds", kinds)
+        maybe = materialize(candidates(index, trigrams, queries), "candidates").select(F.col("doc_id").alias(id_name), F.col("kinds").alias(kinds_name))
+        df = docs.join(broadcast_if_small(maybe, BROADCAST_ROWS), F.col(id_column).cast("bigint") == F.col(id_name), "left")
+        kinds = F.coalesce(kinds_name, kinds)
     nothing = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     found = []
     for rank, rule in enumerate(rules):
         wanted = (F.array_contains(kinds, rule.kind) | unknown) if rule.kind in queries else F.lit(True)
         wanted &= text.rlike(rule.probe or rule.pattern)
         found.append(F.when(wanted, _spans(text, rule, rank)).otherwise(nothing))
-    return df.select(*docs.columns, F.array_sort(F.concat(*found)).alias("__spans"))
+    return df.select(*docs.columns, F.array_sort(F.concat(*found)).alias(out))
 
 
 def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -178,7 +179,7 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
     ids share their candidates. An empty table gives an empty result.
     """
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    return _with_spans(source, rules, "doc_id", "text").withColumnRenamed("__spans", "spans")
+    return _with_spans(source, rules, "doc_id", "text", "spans")
 
 
 def _joined_spans(spans: Column, rules) -> Column:
@@ -197,9 +198,10 @@ def scan_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules=RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with every secret's span replaced by ``mask``; overlapping spans become one.
 
-    Columns and rows stay; a null text stays null. No column may be named
-    ``__spans``, ``__id`` or ``__kinds``.
+    Columns and rows stay, whatever their names; a null text stays null, an
+    empty table empty. Texts of any length are read whole.
     """
+    (spans,) = unused(docs, "spans")
     text, state = F.col(text_column), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:
@@ -207,9 +209,9 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules=RULES, id_column
         more = F.when(span["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), more.alias("out"))
 
-    masked = F.aggregate("__spans", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = _with_spans(docs, rules, id_column, text_column)
-    return found.select(*(F.when(F.size("__spans") > 0, masked).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns))
+    masked = F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    found = _with_spans(docs, rules, id_column, text_column, spans)
+    return found.select(*(F.when(F.size(spans) > 0, masked).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns))
 
 
 def _span_sql(rule: SecretRule, rank: int) -> str:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as xxh3
 
@@ -110,36 +110,41 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _CHUNKS)
 
 
-def _runs(parts: Column, min_words: int) -> Column:
-    """Runs of consecutive chunks of at least ``min_words`` words among the sorted ``(place, size, other)``: ``start, end, words, others``."""
-    none = F.array().cast("array<struct<n:bigint,start:bigint,end:bigint,words:bigint,others:array<struct<other:bigint,words:bigint>>>>")
-    low = F.lit((1 << 32) - 1)
-    held = lambda other, words: F.struct(other.alias("other"), words.alias("words"))
+_RUNS = "doc_id bigint, key bigint, removed array<struct<start:bigint,end:bigint,words:bigint>>, shared array<struct<start:bigint,end:bigint,words:bigint>>, linked array<bigint>"
 
-    def _with(others: Column, other: Column, words: Column) -> Column:
-        """Words of neighbouring chunks with one first holder are added up."""
-        last = F.element_at(others, -1)
-        before = F.slice(others, F.lit(1), F.greatest(F.size(others) - 1, F.lit(0)))
-        return F.when(last["other"] == other, F.array_append(before, held(other, last["words"] + words))).otherwise(F.array_append(others, held(other, words)))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        n, start = F.shiftright(x["place"], 32), x["place"].bitwiseAND(low)
-        end, words = start + F.shiftright(x["size"], 32), x["size"].bitwiseAND(low)
-        joined = F.struct(n.alias("n"), last["start"].alias("start"), end.alias("end"), (last["words"] + words).alias("words"), _with(last["others"], x["other"], words).alias("others"))
-        fresh = F.struct(n.alias("n"), start.alias("start"), end.alias("end"), words.alias("words"), F.array(held(x["other"], words)).alias("others"))
-        follows = last["n"] + 1 == n
-        return F.when(follows, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
+def _runs(chosen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place, among the ``chosen`` ones, of each run of chunks whose numbers ``n`` follow one another."""
+    if not len(chosen):
+        return chosen, chosen
+    apart = np.flatnonzero(np.diff(n[chosen]) != 1)
+    return np.append(0, apart + 1), np.append(apart, len(chosen) - 1)
 
-    return F.filter(F.aggregate(parts, none, step), lambda r: r["words"] >= min_words)
 
+def _repeated_runs(parts: dict, min_words: int) -> tuple[list, list, list]:
+    """Removed and shared runs of at least ``min_words`` words of a document's repeated chunks, and the first holders of the removed ones.
 
-def _holders(others: Column) -> Column:
-    """The first holders in a run of ``(other, words)``, but for those of fewer than ``MIN_HELD`` words where another has more."""
-    words = lambda o: F.aggregate(others, F.lit(0).cast("bigint"), lambda n, x: n + F.when(x["other"] == o, x["words"]).otherwise(0))
-    found = F.array_distinct(F.transform(others, lambda x: x["other"]))
-    large = F.filter(found, lambda o: words(o) >= MIN_HELD)
-    return F.when(F.size(large) > 0, large).otherwise(found)
+    Holders of fewer than ``MIN_HELD`` words of a run are left out where
+    another holds more.
+    """
+    low = (1 << 32) - 1
+    n, start = parts["place"] >> 32, parts["place"] & low
+    end, words = start + (parts["size"] >> 32), parts["size"] & low
+    found, holders = [], []
+    for chosen in (np.flatnonzero(parts["repeated"]), np.arange(len(n))):
+        runs = []
+        for a, b in zip(*(x.tolist() for x in _runs(chosen, n)), strict=True):
+            of = chosen[a : b + 1]
+            total = int(words[of].sum())
+            if total < min_words:
+                continue
+            runs.append({"start": int(start[of[0]]), "end": int(end[of[-1]]), "words": total})
+            if not found:
+                others, which = np.unique(parts["other"][of], return_inverse=True)
+                large = np.bincount(which, words[of]) >= MIN_HELD
+                holders += (others[large] if large.any() else others).tolist()
+        found.append(runs)
+    return *found, sorted(set(holders))
 
 
 def _source(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -164,29 +169,45 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_i
     hit = made.join(materialize(several, "several"), "digest")
     hit = hit.select("doc_id", "key", "place", F.abs("size").alias("size"), ((F.col("size") < 0) | (F.col("doc_id") > F.col("other"))).alias("repeated"), "other")
     by_text = hit.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("place", "size", "repeated", "other"))).alias("parts"))
-    spans = by_text.select("doc_id", "key", _runs(F.filter("parts", lambda x: x["repeated"]), min_words).alias("removed"), _runs(F.col("parts"), min_words).alias("shared"))
-    plain = lambda runs: F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["words"].alias("words")))
-    linked = F.array_sort(F.array_distinct(F.flatten(F.transform("removed", lambda r: _holders(r["others"])))))
-    return spans.where(F.size("shared") > 0).select(F.nullif("doc_id", last).alias("doc_id"), "key", plain("removed").alias("removed"), plain("shared").alias("shared"), linked.alias("linked"))
+
+    def runs(batches):
+        for batch in batches:
+            lists = batch.column("parts")
+            flat = {name: lists.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("place", "size", "repeated", "other")}
+            ends = np.cumsum(np.append(0, lists.value_lengths().to_numpy()))
+            rows = []
+            for at in range(batch.num_rows):
+                removed, shared, linked = _repeated_runs({name: x[ends[at] : ends[at + 1]] for name, x in flat.items()}, min_words)
+                if shared:
+                    rows.append({"doc_id": batch.column("doc_id")[at].as_py(), "key": batch.column("key")[at].as_py(), "removed": removed, "shared": shared, "linked": linked})
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("removed", span), ("shared", span), ("linked", pa.list_(pa.int64()))]))
+
+    return by_text.mapInArrow(runs, _RUNS).withColumn("doc_id", F.nullif("doc_id", last))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, text, n_removed_words, n_shared_words, removed, linked`` of every row.
 
     ``text`` is the text without the passages that are held elsewhere already
-    (a null text stays null), ``removed`` their spans in bytes of the UTF-8
-    text, ``start:end`` joined by commas.
+    (a null text stays null, an empty one empty), ``removed`` their spans in
+    bytes of the UTF-8 text, ``start:end`` joined by commas. Of equal passages
+    the one with the smallest document id stays, in one document the first;
+    repeated rows of one id and text are one document and each get its result.
+    Rows without an id count as one document that comes last, so they aren't
+    repeats of one another. Texts of any length are cut whole; the chunks of
+    one document meet in one row. An empty table gives an empty result; other
+    columns are left out, whatever their names.
     """
     found = materialize(repeats(docs, min_words, id_column, text_column), "repeats")
     total = lambda runs: F.coalesce(F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, r: a + r["words"]), F.lit(0).cast("bigint"))
     found = broadcast_if_small(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "removed", "linked", total(F.col("shared")).alias("n_shared_words")), BROADCAST_VALUES, 6 + 4 * F.size("removed") + F.size("linked"))
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).withColumn("key", F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<binary>").alias("kept"))
-    part = lambda start, end: F.substring("bytes", (start + 1).cast("int"), (end - start).cast("int"))
-    step = lambda acc, r: F.struct(r["end"].alias("at"), F.concat(acc["kept"], F.array(part(acc["at"], r["start"]))).alias("kept"))
-    pieces = F.aggregate("removed", state, step, lambda acc: F.concat(acc["kept"], F.array(part(acc["at"], F.octet_length("bytes")))))
-    text = F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b))
+    part = lambda start, end: F.decode(F.substring("bytes", (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
+    behind = lambda i: F.coalesce(F.get("removed", i - 1)["end"], F.lit(0).cast("bigint"))
+    pieces = F.transform("removed", lambda r, i: part(behind(i), r["start"]))
+    text = F.concat(F.array_join(pieces, ""), part(behind(F.size("removed")), F.octet_length("bytes")))
     joined = source.join(found, source["doc_id"].eqNullSafe(found["_id"]) & (source["key"] == found["_key"]), "left").withColumn("bytes", F.encode("text", "UTF-8"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
-    cut = F.when(F.size("removed") > 0, F.decode(text, "UTF-8")).otherwise(F.col("text"))
+    cut = F.when(F.size("removed") > 0, text).otherwise(F.col("text"))
     return joined.select("doc_id", cut.alias("text"), total(F.col("removed")).alias("n_removed_words"), F.coalesce("n_shared_words", F.lit(0)).cast("bigint").alias("n_shared_words"), F.coalesce(spans, F.lit("")).alias("removed"), F.coalesce("linked", F.array().cast("array<bigint>")).alias("linked"))

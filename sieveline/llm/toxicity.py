@@ -17,13 +17,14 @@ from collections import Counter
 from dataclasses import dataclass
 from heapq import nlargest
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, text_or_empty
+from .common import materialize, text_or_empty
 
 #: Letters of the character model, after lower-casing; index 0 is the edge of a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -42,17 +43,20 @@ BEGINNINGS = range(3, 9)
 LEAST = 4
 #: Words of a text that its evidence is taken from.
 TOP = 2
-#: Label and feature tables up to this size are sent to all executors.
+#: A table of features up to this size is sent to all executors.
 BROADCAST_ROWS = 200_000
 
+#: Equal marks in a row that are read, and states that go on from a character.
+RUN, BEAM = 4, 64
+_MARK_RUN = re.compile(rf"(([\W_])\2{{{RUN - 1}}})\2+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: What gives a disguise away; the whole token around it is then read anew. Cheap to look for, as most texts have none.
 _STAND_IN = re.compile(r"[0-9@$!|+€*]")
 _AMONG_LETTERS = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|(?<![^\s\"'(\[{])[0-9@$!|+€]+[^\W\d_]|[^\W\d_][0-9@$|+€]+[.,;:?!\"')\]}]*(?!\S)")
 _REPEATED_LETTER = re.compile(r"([^\W\d_])\1(?:\1|([^\W\d_])\2)")
 _SEPARATED = re.compile(r"(?<=[^\W\d_])[.\-_](?=[^\W\d_])")
-_SPACED_OUT = re.compile(r"(?<![^\s\"'(\[{])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
-_SPACED_MIXED = re.compile(r"(?<![^\s\"'(\[{])(?:[^\W_]|[@$!|+€])(?:[ .\-_*](?:[^\W_]|[@$!|+€])){2,}(?![^\W_])")
+_SPACED_OUT = re.compile(r"(?<![^\s\"'(\[{])[^\W_](?:(?: {1,3}|[.\-_*])[^\W_]){2,}(?![^\W_])")
+_SPACED_MIXED = re.compile(r"(?<![^\s\"'(\[{])(?:[^\W_]|[@$!|+€])(?:(?: {1,3}|[.\-_*])(?:[^\W_]|[@$!|+€])){2,}(?![^\W_])")
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"\s")
 
@@ -94,32 +98,45 @@ class CharacterModel:
         #: Two readings' further costs differ by the next two letters' at most: one this far behind never wins.
         self._slack = 2 * -min(min(map(min, x)) for x in self.log)
 
-    def decode(self, seen: str, breaks: bool = False) -> str:
-        """The likeliest word behind ``seen``; with ``breaks`` a separator may also stand between two words, read as a space."""
-        # last two letters -> (log-probability, letters so far)
-        states, before = {(0, 0): (0.0, "")}, ""
-        for c in seen:
+    def decode(self, seen: str, breaks: bool = False, beam: int | None = None) -> str:
+        """The likeliest word behind ``seen``; with ``breaks`` a separator may also stand between two words, read as a space.
+
+        A run of one mark or separator says no more than its first ``RUN``.
+        The ``beam`` likeliest states go on from a character, which only masks
+        make many; a word is kept as a chain of letters, so the time grows
+        with the length of ``seen``.
+        """
+        beam = beam or BEAM
+        # last two letters -> (log-probability, the last letter and the chain before it)
+        states, before = {(0, 0): (0.0, None)}, ""
+        for c in _MARK_RUN.sub(r"\1", seen):
             stands = [(c, _SAME)] if c in _INDEX else [(x, _STANDS_FOR) for x in LEET.get(c, "")]
             if c == "*":
                 stands = [(x, _MASKED) for x in LETTERS]
             drop = _DROPPED if c in _SEPARATORS else _REPEATED if c == before else _LOST if c in _INDEX else _NOISE
             following: dict = {}
-            for (a, b), (p, word) in states.items():
-                self._put(following, (a, b), p + drop, word)
+            for (a, b), (p, chain) in states.items():
+                self._put(following, (a, b), p + drop, chain)
                 after = self.log[a][b]
                 if breaks and c in _BREAKS:
-                    self._put(following, (0, 0), p + _SAME + (after[0] if b else 0.0), word + " ")
+                    self._put(following, (0, 0), p + _SAME + (after[0] if b else 0.0), (" ", chain))
                 for x, cost in stands:
                     n = _INDEX[x]
-                    self._put(following, (b, n), p + cost + after[n], word + x)
+                    self._put(following, (b, n), p + cost + after[n], (x, chain))
             least = max(p for p, _ in following.values()) - self._slack
+            if len(following) > beam:
+                least = max(least, nlargest(beam, (p for p, _ in following.values()))[-1])
             states, before = {k: v for k, v in following.items() if v[0] >= least}, c
-        return max((p + self.log[a][b][0], word) for (a, b), (p, word) in states.items())[1]
+        chain, letters = max(((p + self.log[a][b][0], chain) for (a, b), (p, chain) in states.items()), key=itemgetter(0))[1], []
+        while chain:
+            letters.append(chain[0])
+            chain = chain[1]
+        return "".join(reversed(letters))
 
     @staticmethod
-    def _put(states: dict, key, p: float, word: str) -> None:
+    def _put(states: dict, key, p: float, chain) -> None:
         if key not in states or states[key][0] < p:
-            states[key] = (p, word)
+            states[key] = (p, chain)
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -335,8 +352,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     rows that aren't held out, ``fit_rows`` of them at most, and from their
     texts alone. Null and empty texts hold no feature and get the score of
     such texts. Rows without a label, or with a null one, are scored but not
-    learned from; of several labels of an id the highest counts. Without any
-    training row every score is one half or less.
+    learned from; of several labels of an id the highest counts. Repeated rows
+    get the same score. A text, and a token in it, may have any length. Without
+    any training row every score is one half or less; an empty table gives an
+    empty result. Other columns are left out.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     model = CharacterModel(trigram_counts(source))
@@ -344,7 +363,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     known = materialize(known, "labels")
     share = min(1.0, fit_rows / max(1, known.count()))
     known = known.where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {int(share * 1_000_000)}"))
-    rows = source.join(broadcast_if_small(known, BROADCAST_ROWS), "doc_id").select("text", "toxic")
+    # ``fit_rows`` bounds the sample, so texts need no shuffle
+    rows = source.join(F.broadcast(known), "doc_id").select("text", "toxic")
     rows = materialize(restored(rows, model), "training")
     given = docs.sparkSession.sparkContext.broadcast((model, fit(rows)))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_restored", pa.int64())])

@@ -1,3 +1,8 @@
+import random
+import time
+
+import numpy as np
+
 from sieveline.llm import toxicity
 
 INSULTS = ["moron", "idiot", "stupid", "trash", "loser"]
@@ -9,7 +14,7 @@ def test_disguises_are_read(spark):
     meant = {
         "a$$": "ass", "a55": "ass", "b00": "boo", "@$$hole": "asshole", "455hole": "asshole", "a$$!": "ass",
         "shi7.": "shit", "(shi7)": "shit", "!diot": "idiot", "+rash": "trash", "iiddiioott": "idiot", "id.iot": "idiot", "st-upid": "stupid",
-        "i d i o t": "idiot", "i d ! o t": "idiot", "$ t u p i d": "stupid", "1 d 1 0 t": "idiot", "(i d i o t)": "idiot", "1.d.1.0.t": "idiot",
+        "i d i o t": "idiot", "i d ! o t": "idiot", "$ t u p i d": "stupid", "1 d 1 0 t": "idiot", "(i d i o t)": "idiot", "i  d  i  o  t": "idiot", "1.d.1.0.t": "idiot",
     }
     for seen, word in meant.items():
         found, n = reader.words(f"the {seen} the")
@@ -25,3 +30,46 @@ def test_rare_insults_are_learned_however_many_rows_there_are(spark):
     clean = [(f"a{n} fine b{n}", 0) for n in range(2_000)]
     weights = toxicity.fit(spark.createDataFrame(toxic + clean, "text string, toxic int")).weights
     assert weights["wretch$"] > 1 and weights["moron$"] > 1 and "fine$" not in weights
+
+
+def all_readings(model, seen, breaks):
+    """Every way to read ``seen``, with its probability: plain recursion, nothing is left out."""
+    best = (float("-inf"), "")
+
+    def go(at, a, b, p, word):
+        nonlocal best
+        if at == len(seen):
+            best = max(best, (p + model.log[a][b][0], word))
+            return
+        c, before = seen[at], seen[at - 1] if at else ""
+        drop = toxicity._DROPPED if c in toxicity._SEPARATORS else toxicity._REPEATED if c == before else toxicity._LOST if c in toxicity._INDEX else toxicity._NOISE
+        go(at + 1, a, b, p + drop, word)
+        if breaks and c in toxicity._BREAKS:
+            go(at + 1, 0, 0, p + toxicity._SAME + (model.log[a][b][0] if b else 0.0), word + " ")
+        stands = [(c, toxicity._SAME)] if c in toxicity._INDEX else [(x, toxicity._MASKED if c == "*" else toxicity._STANDS_FOR) for x in (toxicity.LETTERS if c == "*" else toxicity.LEET.get(c, ""))]
+        for x, cost in stands:
+            n = toxicity._INDEX[x]
+            go(at + 1, b, n, p + cost + model.log[a][b][n], word + x)
+
+    go(0, 0, 0, 0.0, "")
+    return best[1]
+
+
+def test_decoding_finds_the_best_of_all_readings():
+    rng = random.Random(3)
+    size = len(toxicity.LETTERS) + 1
+    model = toxicity.CharacterModel(np.random.default_rng(3).integers(0, 30, (size, size, size)) * (np.random.default_rng(4).random((size, size, size)) < 0.1) * 1.0)
+    for n in range(400):
+        seen = "".join(rng.choices("abest01$!|.-_ 4 aab", k=rng.randint(1, 6))) if n % 4 else rng.choice(["a*", "*b", "t*1", "**", "a*s"])
+        for breaks in (False, True):
+            assert model.decode(seen, breaks, 10_000) == all_readings(model, seen, breaks), seen
+    assert model.decode("a" + "*" * 5_000 + "b", True) == model.decode("a****b", True)
+
+
+def test_long_tokens_take_their_length():
+    size = len(toxicity.LETTERS) + 1
+    model = toxicity.CharacterModel(np.random.default_rng(3).integers(0, 30, (size, size, size)) * 1.0)
+    began = time.time()
+    for token in ("a*" * 400, "*" * 100_000, "a1" * 5_000):
+        model.decode(token, True)
+    assert time.time() - began < 20

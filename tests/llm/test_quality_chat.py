@@ -3,8 +3,10 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sieveline.llm import chat, quality
 
@@ -84,3 +86,22 @@ def test_long_conversations_and_many_batches(spark):
         assert sorted(r.n_turns for r in chat.read_back(chat.format_turns(df)).collect()) == [33, 33, 34]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("marks", [{"user": ("[a]", "]b[")}, {"user": ("<a\\>", "</a>")}, {"user": ("", "</a>")}, {"user": ("<a>", "<a>")}, {"user": ("<a>", "x<a>y")}])
+def test_templates_whose_marks_run_into_one_another_are_refused(marks):
+    with pytest.raises(ValueError):
+        chat.Template(marks=marks)
+
+
+def test_the_sample_is_drawn_from_some_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_FILES", 2)
+    df = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', cast(id % 90 AS int)) AS text").repartition(10)
+    df.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    sampled = quality._sampled(table, 1000, 1, "text")
+    assert 40 < sampled.count() < 140
+    assert quality._sampled(table, 20, 1, "text").count() < 60
+    assert quality._sampled(table.selectExpr("doc_id", "text").where("doc_id > 10").groupBy("doc_id").agg(F.max("text").alias("text")), 1000, 1, "text").count() == 389
+    plain = quality.measure_quality(table).where("kept").count()
+    assert plain == quality.measure_quality(spark.createDataFrame(table.collect(), "doc_id long, text string")).where("kept").count()

@@ -71,7 +71,7 @@ def test_trigram_queries_lose_no_match(pattern):
 
 def test_masking(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh b", 7), (2, None, 7), (3, "clean", 7), (1, "other", 7)], "doc_id long, text string, _key int")
-    df = df.withColumnRenamed("_key", "spans")
+    df = df.withColumnRenamed("_key", "spans").selectExpr("*", "1 AS kinds", "2 AS id", "3 AS __id")
     out = secrets.mask_secrets(df)
     assert out.columns == df.columns
     assert sorted((r.doc_id, str(r.text)) for r in out.collect()) == [(1, "a [SECRET] b"), (1, "other"), (2, "None"), (3, "clean")]
@@ -187,3 +187,42 @@ def test_all_first_holders_of_a_removed_span_are_linked(spark):
     rows = [(1, f"{say(30)} {line} {say(30)}"), (2, f"{line} {passage}"), (3, f"{more} {say(20)}"), (4, f"{line} {passage} {more}")]
     found = {r.doc_id: r.linked for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: [], 2: [1], 3: [], 4: [1, 2, 3]}
+
+
+def brute_repeats(rows, min_words):
+    """The stated rule, document by document: chunks that occur elsewhere, runs of them, what is left."""
+    held: dict = {}
+    for n, text in rows:
+        data = text.encode()
+        end = substrings.cuts(data).tolist() if data else []
+        for k, (a, b) in enumerate(zip([0, *end], end, strict=False)):
+            held.setdefault(data[a:b], []).append((n, k))
+    out = []
+    for n, text in rows:
+        data, runs, kept, at = text.encode(), [], b"", 0
+        end = substrings.cuts(data).tolist() if data else []
+        for k, (a, b) in enumerate(zip([0, *end], end, strict=False)):
+            places = held[data[a:b]]
+            if min(places) == (n, k):
+                continue
+            ends = len([1 for i in range(a, b) if not data[i : i + 1].isspace() and (i + 1 == len(data) or data[i + 1 : i + 2].isspace())])
+            if runs and runs[-1][2] == k - 1:
+                runs[-1] = (runs[-1][0], b, k, runs[-1][3] + ends)
+            else:
+                runs.append((a, b, k, ends))
+        runs = [r for r in runs if r[3] >= min_words]
+        for a, b, *_ in runs:
+            kept, at = kept + data[at:a], b
+        out.append((n, (kept + data[at:]).decode(), sum(r[3] for r in runs), ",".join(f"{a}:{b}" for a, b, *_ in runs)))
+    return out
+
+
+def test_repeats_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choices(pool, k=n))
+    passages = [say(rng.randint(10, 60)) for _ in range(8)]
+    rows = [(n, rng.choice([" ", "\n"]).join(rng.choice([say(rng.randint(0, 30)), rng.choice(passages)]) for _ in range(rng.randint(0, 6)))) for n in range(120)]
+    rows += [(500, "same again " * 400), (501, (say(20) + " ") * 300)]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed_words, r.removed) for r in found) == brute_repeats(rows, 8)
