@@ -48,13 +48,16 @@ BROADCAST_ROWS = 200_000
 
 #: Equal marks in a row that are read, and states that go on from a character.
 RUN, BEAM = 4, 64
+_ANY_LETTER = tuple((n, c, _MASKED) for c, n in _INDEX.items())
+_STANDS = {c: tuple((_INDEX[x], x, _STANDS_FOR) for x in letters) for c, letters in LEET.items()}
+_first = itemgetter(0)
 _MARK_RUN = re.compile(rf"(([\W_])\2{{{RUN - 1}}})\2+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: What gives a disguise away; the whole token around it is then read anew. Cheap to look for, as most texts have none.
 _STAND_IN = re.compile(r"[0-9@$!|+€*]")
 _AMONG_LETTERS = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|(?<![^\s\"'(\[{])[0-9@$!|+€]+[^\W\d_]|[^\W\d_][0-9@$|+€]+[.,;:?!\"')\]}]*(?!\S)")
 _REPEATED_LETTER = re.compile(r"([^\W\d_])\1(?:\1|([^\W\d_])\2)")
-_SEPARATED = re.compile(r"(?<=[^\W\d_])[.\-_](?=[^\W\d_])")
+_SEPARATED = re.compile(r"[.\-_](?<=[^\W\d_].)(?=[^\W\d_])")
 _SPACED_OUT = re.compile(r"(?<![^\s\"'(\[{])[^\W_](?:(?: {1,3}|[.\-_*])[^\W_]){2,}(?![^\W_])")
 _SPACED_MIXED = re.compile(r"(?<![^\s\"'(\[{])(?:[^\W_]|[@$!|+€])(?:(?: {1,3}|[.\-_*])(?:[^\W_]|[@$!|+€])){2,}(?![^\W_])")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -95,6 +98,7 @@ class CharacterModel:
         two = counts.sum(0)
         two = (two + 4.0 * one) / (two.sum(1, keepdims=True) + 4.0)
         self.log = np.log((counts + 4.0 * two[None]) / (counts.sum(2, keepdims=True) + 4.0)).tolist()
+        self._size, self._rows = len(self.log), [row for rows in self.log for row in rows]
         #: Two readings' further costs differ by the next two letters' at most: one this far behind never wins.
         self._slack = 2 * -min(min(map(min, x)) for x in self.log)
 
@@ -106,38 +110,43 @@ class CharacterModel:
         make many; a word is kept as a chain of letters, so the time grows
         with the length of ``seen``.
         """
-        beam = beam or BEAM
-        # last two letters -> (log-probability, the last letter and the chain before it)
-        states, before = {(0, 0): (0.0, None)}, ""
+        beam, size, rows = beam or BEAM, self._size, self._rows
+        # last two letters, as one number -> (log-probability, the last letter and the chain before it)
+        states, before = {0: (0.0, None)}, ""
         for c in _MARK_RUN.sub(r"\1", seen):
-            stands = [(c, _SAME)] if c in _INDEX else [(x, _STANDS_FOR) for x in LEET.get(c, "")]
-            if c == "*":
-                stands = [(x, _MASKED) for x in LETTERS]
-            drop = _DROPPED if c in _SEPARATORS else _REPEATED if c == before else _LOST if c in _INDEX else _NOISE
-            following: dict = {}
-            for (a, b), (p, chain) in states.items():
-                self._put(following, (a, b), p + drop, chain)
-                after = self.log[a][b]
-                if breaks and c in _BREAKS:
-                    self._put(following, (0, 0), p + _SAME + (after[0] if b else 0.0), (" ", chain))
-                for x, cost in stands:
-                    n = _INDEX[x]
-                    self._put(following, (b, n), p + cost + after[n], (x, chain))
-            least = max(p for p, _ in following.values()) - self._slack
+            index = _INDEX.get(c)
+            if index:
+                stands = ((index, c, _SAME),)
+            elif c == "*":
+                stands = _ANY_LETTER
+            else:
+                stands = _STANDS.get(c, ())
+            drop = _DROPPED if c in _SEPARATORS else _REPEATED if c == before else _LOST if index else _NOISE
+            ends, following = breaks and c in _BREAKS, {}
+            known = following.get
+            for key, (p, chain) in states.items():
+                old = known(key)
+                if old is None or old[0] < p + drop:
+                    following[key] = (p + drop, chain)
+                after, behind = rows[key], key % size * size
+                if ends:
+                    q, old = p + _SAME + (after[0] if behind else 0.0), known(0)
+                    if old is None or old[0] < q:
+                        following[0] = (q, (" ", chain))
+                for n, letter, cost in stands:
+                    q, old = p + cost + after[n], known(behind + n)
+                    if old is None or old[0] < q:
+                        following[behind + n] = (q, (letter, chain))
+            least = max(following.values(), key=_first)[0] - self._slack
             if len(following) > beam:
                 least = max(least, nlargest(beam, (p for p, _ in following.values()))[-1])
             states, before = {k: v for k, v in following.items() if v[0] >= least}, c
-        chain, letters = max(((p + self.log[a][b][0], chain) for (a, b), (p, chain) in states.items()), key=itemgetter(0))[1], []
+        chain, letters = max(((p + rows[key][0], chain) for key, (p, chain) in states.items()), key=_first)[1], []
         while chain:
             letters.append(chain[0])
             chain = chain[1]
         return "".join(reversed(letters))
 
-    @staticmethod
-    def _put(states: dict, key, p: float, chain) -> None:
-        if key not in states or states[key][0] < p:
-            states[key] = (p, chain)
-
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of letter trigrams, with word edges, over all words of ``docs (text)``.
@@ -238,7 +247,7 @@ class Classifier:
 
 def evidence(words, weight) -> float:
     """The sum of the ``TOP`` largest weights of different words: more would add up what chance puts into long texts."""
-    return sum(nlargest(TOP, map(weight, set(words))))
+    return sum(nlargest(TOP, filter(None, map(weight, set(words)))))
 
 
 def _feature_weight(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
