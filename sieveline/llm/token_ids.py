@@ -21,7 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
-from functools import reduce
+from functools import cached_property, reduce
 from operator import or_
 
 import numpy as np
@@ -84,18 +84,25 @@ class EliasFano:
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
         return ((places - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(0, self.count)
 
+    @cached_property
+    def _raw(self) -> tuple[bytes, bytes]:
+        return self.high.tobytes(), self.low.tobytes()
+
     def select(self, i: int) -> int:
         """The ``i``-th value, read from the nearest sampled place on."""
         if not 0 <= i < self.count:
             raise IndexError(i)
-        at, wanted = int(self.sampled[i // SAMPLE]), i % SAMPLE
-        byte, bit, ahead = at // 8, at % 8, 32
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + ahead], bitorder="little")[bit:])
-            if len(ones) > wanted:
-                place = at + int(ones[wanted])
-                return ((place - i) << self.low_bits) | int(self._low(i, i + 1)[0])
-            ahead *= 4
+        (high, low), at, wanted = self._raw, int(self.sampled[i // SAMPLE]), i % SAMPLE
+        byte = at // 8 + 8
+        bits = int.from_bytes(high[byte - 8 : byte], "little") >> at % 8
+        while (ones := bits.bit_count()) <= wanted:
+            wanted, at, byte = wanted - ones, 8 * byte, byte + 32
+            bits = int.from_bytes(high[byte - 32 : byte], "little")
+        for _ in range(wanted):
+            bits &= bits - 1
+        place, first = at + (bits & -bits).bit_length() - 1, i * self.low_bits
+        rest = int.from_bytes(low[first // 8 : -(-(first + self.low_bits) // 8)], "little") >> first % 8
+        return ((place - i) << self.low_bits) | (rest & ((1 << self.low_bits) - 1))
 
 
 class Block:
@@ -126,8 +133,10 @@ class Block:
 
     def documents(self, places=None):
         """(doc_id, start, ids as unsigned 32-bit) of the documents at ``places``, or of all."""
+        last, end = -1, 0
         for i in range(self.n_docs) if places is None else places:
-            start, end = self.offsets(i)
+            start = end if i == last + 1 else self.ends.select(i - 1)
+            last, end = i, self.ends.select(i)
             yield self.doc_id(i), start, self._ids[start:end].astype("<u4")
 
 
