@@ -201,10 +201,10 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, boundary: str =
 
     made = encoded(docs, tokenizer, boundary, end_id, width, special, id_column, text_column)
     # written first: the range partitioner looks at its input twice
-    made = materialize(made.select("doc_id", F.xxhash64("ids").alias("key"), F.monotonically_increasing_id().alias("row"), "ids"), "encoded")
+    made = materialize(made.select("doc_id", F.xxhash64("ids").alias("key"), F.monotonically_increasing_id().alias("row"), "ids"), "encoded", "zstd")
     order = ["doc_id", "key", "row"]
     placed = made.repartitionByRange(partitions, *order) if partitions else made.repartitionByRange(*order)
-    placed.sortWithinPartitions(*order).mapInArrow(blocks, _BLOCKS).write.parquet(path)
+    placed.sortWithinPartitions(*order).mapInArrow(blocks, _BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def _read(spark: SparkSession, path: str, stored: DataFrame, with_ids: bool, wanted) -> DataFrame:
