@@ -14,7 +14,7 @@ so each is dealt out by its bits on every such choice of runs. Fingerprints in
 groups that too many share are dealt out again by a finer cut, which is
 complete in itself; the finest leaves so few bits free that a group is bounded.
 
-``wide_links`` (256 bits, budgets for a similarity of 0.8) would need far too
+``wide_links`` (512 bits, budgets for a similarity of 0.8) would need far too
 many choices. It sorts the fingerprints in several orders of their bits and
 joins those that agree on the first bits of an order. The number of orders is
 worked out from the similarity so that a pair is missed with a small, stated
@@ -43,13 +43,13 @@ GROUP = 2_000
 MASKS = 1_000
 #: Rows up to which a list of rows is sent to all executors; a longer one is shuffled.
 BROADCAST_ROWS = 50_000
-#: Bits by which a trie of 64 or 256 bits goes down at a time, node pairs looked at together, and rows of whole groups joined together.
-STEP, WIDE_STEP, PAIRS, CHUNK = 4, 8, 1 << 20, 100_000
+#: Bits by which a trie of 64 or 512 bits goes down at a time, node pairs looked at together, and rows of whole groups joined together.
+STEP, WIDE_STEP, PAIRS, CHUNK = 4, 16, 1 << 20, 100_000
 
 #: Words of 64 bits in a wide fingerprint.
-WORDS = 4
+WORDS = 8
 #: Share of bits in which texts of similarity 0.8 differ (0.152 on average), with a margin; links reach ``WIDE_BUDGET``.
-WIDE_SHARE, WIDE_BUDGET = 0.16, 48
+WIDE_SHARE, WIDE_BUDGET = 0.16, 88
 #: Probability that no order brings a pair at ``WIDE_SHARE`` together.
 MISSED = 0.03
 
@@ -413,7 +413,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = WIDE_B
     """One row of each component, all its columns kept: the smallest id's; rows without an id come last.
 
     Texts are linked if their wide fingerprints, made of the set of their
-    shingles of five words, differ in at most ``budget`` of 256 bits: as texts
+    shingles of five words, differ in at most ``budget`` of 512 bits: as texts
     of similarity 0.8 or more do but for chance (see README for measured
     recall). Of rows alike in id and text any one stays. Null, empty and blank
     texts are one component; a text of less than five words is one shingle. An
