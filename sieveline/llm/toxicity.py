@@ -62,16 +62,44 @@ _SPACED_OUT = re.compile(r"(?<![^\s\"'(\[{])[^\W_](?:(?: {1,3}|[.\-_*])[^\W_]){2
 _SPACED_MIXED = re.compile(r"(?<![^\s\"'(\[{])(?:[^\W_]|[@$!|+€])(?:(?: {1,3}|[.\-_*])(?:[^\W_]|[@$!|+€])){2,}(?![^\W_])")
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"\s")
+#: Latin-1 with a space for whatever isn't a letter.
+_SPACED = bytes(n if _WORD.match(chr(n)) else 32 for n in range(256))
+#: Characters that may stand behind one of a run of single ones, and those before it, by code; white space has none above the last.
+_BEHIND = np.array([chr(n) in _SEPARATORS for n in range(0x3002)])
+_BEFORE = _BEHIND | np.array([chr(n) in "\"'([{" or bool(_SPACE.match(chr(n))) for n in range(0x3002)])
+
+
+def written_words(text: str) -> list[str]:
+    """What ``_WORD`` finds; texts of Latin-1 alone take a shorter way."""
+    try:
+        return text.encode("latin-1").translate(_SPACED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+
+
+def _hints(text: str) -> tuple[bool, list[int]]:
+    """Whether two single characters follow each other, as in every run of them, and the places where repeated letters may start."""
+    padded = f" {text} "
+    try:
+        codes = np.frombuffer(padded.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        codes = np.minimum(np.frombuffer(padded.encode("utf-32-le"), np.uint32), len(_BEHIND) - 1)
+    behind, same = _BEHIND[codes], codes[1:] == codes[:-1]
+    single = _BEFORE[codes[:-2]] & ~behind[1:-1] & behind[2:]
+    follows = any(bool((single[:-n] & single[n:]).any()) for n in (2, 3, 4))
+    return follows, (np.flatnonzero(same[:-2] & (same[1:-1] | same[2:])) - 1).tolist()
 
 
 def disguised(text: str) -> list[tuple[int, int, bool]]:
     """Spans of tokens that may be disguised words, left to right without overlap, and whether they are runs of single characters."""
     odd = _STAND_IN.search(text)
-    runs = [m.span() for m in (_SPACED_MIXED if odd else _SPACED_OUT).finditer(text) if _LETTER.search(m[0])]
+    single, repeated = _hints(text)
+    runs = [m.span() for m in (_SPACED_MIXED if odd else _SPACED_OUT).finditer(text) if _LETTER.search(m[0])] if single else []
     spans = [(start, end, True) for start, end in runs]
-    for marks in (_REPEATED_LETTER, _SEPARATED, *([_AMONG_LETTERS] if odd else [])):
+    repeats = filter(None, (_REPEATED_LETTER.match(text, at) for at in repeated if at >= 0))
+    for marks in (repeats, _SEPARATED.finditer(text), *([_AMONG_LETTERS.finditer(text)] if odd else [])):
         reached = 0
-        for m in marks.finditer(text):
+        for m in marks:
             start, end = m.span()
             if start < reached:
                 continue
@@ -162,7 +190,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             words: Counter = Counter()
             for text in batch.column(0):
-                words.update(_WORD.findall(text.as_py().lower()))
+                words.update(written_words(text.as_py().lower()))
             joined = " " + "  ".join(words) + " "  # two edges before a word, one behind it
             codes = np.frombuffer(joined.translate(_CODES).encode("latin-1", "replace"), np.uint8).astype(np.int64)
             edges = codes == 0
@@ -217,7 +245,7 @@ class Reader:
             word, other = self._restore(text[start:end], run)
             restored += [text[at:start], " ", word, " "]
             at, n = end, n + other
-        return _WORD.findall("".join(restored) + text[at:]), n
+        return written_words("".join(restored) + text[at:]), n
 
 
 def features(word: str) -> list[str]:

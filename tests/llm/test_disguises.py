@@ -73,3 +73,13 @@ def test_long_tokens_take_their_length():
     for token in ("a*" * 400, "*" * 100_000, "a1" * 5_000):
         model.decode(token, True)
     assert time.time() - began < 20
+
+
+def test_shortcuts_find_what_the_patterns_find():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("aaabbé œß²ª1 0 @$!|+€*..--__  '\"([{)\t\n　\x85\xa0中😀:;,", k=rng.randint(0, 14))) for _ in range(30_000)]
+    for text in [*texts, "a b c " * 20_000, "oo" * 50_000, "-" * 50_000]:
+        assert toxicity.written_words(text) == toxicity._WORD.findall(text)
+        single, repeated = toxicity._hints(text)
+        assert single or not (toxicity._SPACED_OUT.search(text) or toxicity._SPACED_MIXED.search(text)), text
+        assert {m.start() for m in toxicity._REPEATED_LETTER.finditer(text)} <= set(repeated), text
