@@ -15,11 +15,12 @@ groups that too many share are dealt out again by a finer cut, which is
 complete in itself; the finest leaves so few bits free that a group is bounded.
 
 ``wide_links`` (512 bits, budgets for a similarity of 0.8) would need far too
-many choices. It sorts the fingerprints in several orders of their bits and
-joins those that agree on the first bits of an order. The number of orders is
-worked out from the similarity so that a pair is missed with a small, stated
-probability; the bits to agree on grow with the number of fingerprints, and
-the orders with them.
+many choices of bits. Its groups come from the shingles instead: two sets of
+shingles have the same least hash with a probability that equals their
+similarity. A group agrees on the least hashes of several hash functions, and
+there are several such choices, worked out from the similarity so that a pair
+is in no group together with a small, stated probability; the functions to
+agree on grow with the number of rows, and the choices with them, but slowly.
 """
 
 from __future__ import annotations
@@ -48,10 +49,10 @@ STEP, WIDE_STEP, PAIRS, CHUNK = 4, 16, 1 << 20, 100_000
 
 #: Words of 64 bits in a wide fingerprint.
 WORDS = 8
-#: Share of bits in which texts of similarity 0.8 differ (0.152 on average), with a margin; links reach ``WIDE_BUDGET``.
-WIDE_SHARE, WIDE_BUDGET = 0.16, 88
-#: Probability that no order brings a pair at ``WIDE_SHARE`` together.
-MISSED = 0.03
+#: Similarity of sets of shingles to be found, and the bits of 512 that a link may differ in (78 on average at that similarity).
+SIMILAR, WIDE_BUDGET = 0.8, 88
+#: Probability that no choice of least hashes brings a pair of that similarity together.
+MISSED = 0.005
 
 
 def _shingles(text: bytes, shingle: int) -> list[bytes]:
@@ -68,10 +69,12 @@ def _hashes(shingles: list[bytes]) -> np.ndarray:
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
-    """How many hashes have each bit, bit 0 first."""
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    """How many hashes (or rows of hashes) have each bit, bit 0 first."""
+    width = math.prod(hashes.shape[1:])
+    of = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), 8 * width)
+    ones = np.zeros(64 * width, np.int64)
+    for at in range(0, len(of), 255):  # so that sums fit into a byte
+        ones += np.unpackbits(of[at : at + 255], axis=1, bitorder="little").sum(0, dtype=np.uint8)
     return ones
 
 
@@ -81,42 +84,50 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * _ones(hashes) > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+def _mixed(hashes: np.ndarray, n: int | np.ndarray) -> np.ndarray:
     """The ``n``-th further hash made from each hash."""
     with np.errstate(over="ignore"):
-        z = hashes + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+        z = hashes + np.asarray(n, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
-    """SimHash of the set of a text's shingles, ``WORDS`` words wide; zero if it has no word."""
+def wide_fingerprint(text: bytes, shingle: int = 5, functions: int = 0) -> tuple[bytes, bytes]:
+    """SimHash of the set of a text's shingles, ``WORDS`` words wide, zero if it has no word; and the set's least hashes by that many hash functions, 32 bits of each."""
     hashes = np.unique(_hashes(_shingles(text, shingle)))
-    ones = np.concatenate([_ones(_mixed(hashes, n) if n else hashes) for n in range(WORDS)])
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+    ones, least = np.zeros(64 * WORDS, np.int64), np.full(functions, -1, np.int64).view(np.uint64)
+    odd = _mixed(np.arange(functions, dtype=np.uint64), 1) | np.uint64(1)
+    for at in range(0, len(hashes), 4096):
+        some = hashes[at : at + 4096, None]
+        ones += _ones(_mixed(some, np.arange(WORDS)))
+        least = np.minimum(least, (some * odd).min(0))
+    return np.packbits(2 * ones > len(hashes)).tobytes(), least.astype("<u4").tobytes()
 
 
-def _fingerprinted(docs: DataFrame, make, kind: pa.DataType, sql: str, id_column: str, text_column: str) -> DataFrame:
-    """``doc_id, key, fp`` of every row: a hash of its text, and the whole text's fingerprint."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", kind)])
+def _fingerprinted(docs: DataFrame, make, fields: list[pa.Field], sql: str, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id, key`` of every row, a hash of its text, and what ``make`` makes of the whole text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *fields])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([make(x.as_py()) for x in batch.column(2)], kind)], schema=schema)
+            made = [make(x.as_py()) for x in batch.column(2)]
+            columns = [pa.array([m[i] for m in made], field.type) for i, field in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=schema)
 
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.encode(text_or_empty(text_column), "UTF-8").alias("text"))
-    return source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id bigint, key bigint, fp {sql}")
+    return source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id bigint, key bigint, {sql}")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, key, fp`` of every row, ``fp`` as a signed long."""
-    return _fingerprinted(docs, lambda text: _signed(fingerprint(text, shingle)), pa.int64(), "bigint", id_column, text_column)
+    return _fingerprinted(docs, lambda text: (_signed(fingerprint(text, shingle)),), [pa.field("fp", pa.int64())], "fp bigint", id_column, text_column)
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, key, fp`` of every row, ``fp`` as bytes."""
-    return _fingerprinted(docs, lambda text: wide_fingerprint(text, shingle), pa.binary(), "binary", id_column, text_column)
+def wide_fingerprints(docs: DataFrame, functions: int, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, key, fp, least`` of every row, the last two as bytes."""
+    fields = [pa.field("fp", pa.binary()), pa.field("least", pa.binary())]
+    return _fingerprinted(docs, partial(wide_fingerprint, shingle=shingle, functions=functions), fields, "fp binary, least binary", id_column, text_column)
 
 
 def _signed(mask: int) -> int:
@@ -289,17 +300,17 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
     return rows.repartition("mask", "value").sortWithinPartitions("mask", "value").select("fp", "mask", "value").mapInArrow(join, "a bigint, b bigint")
 
 
-# --- groups by sorting in many orders -----------------------------------------------
+# --- groups by least hashes ----------------------------------------------------------
 
 
-def orders(n: int) -> tuple[int, int]:
-    """Bits that fingerprints of one group agree on at least, and how many orders of the bits there are, for ``n`` fingerprints."""
-    bits = max(16, (max(2, n) - 1).bit_length() - 4)
-    return bits, math.ceil(math.log(MISSED) / math.log(1 - (1 - WIDE_SHARE) ** bits))
+def choices(n: int) -> tuple[int, int]:
+    """Least hashes that the texts of one group agree on, and how many choices of them there are, for ``n`` rows.
 
-
-def _order(n: int) -> np.ndarray:
-    return np.random.default_rng(n).permutation(64 * WORDS)
+    Each least hash counts as four bits: texts that have nothing to do with
+    each other agree on it more seldom than once in 16 times.
+    """
+    agreed = max(4, -(-((max(2, n) - 1).bit_length() - 4) // 4))
+    return agreed, math.ceil(math.log(MISSED) / math.log(1 - SIMILAR**agreed))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -327,23 +338,35 @@ def _roots(shared: np.ndarray, bits: int) -> np.ndarray:
         first |= crowded & (shared < bits)
 
 
-def wide_links(distinct: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
-    """``a, b``: links between distinct wide fingerprints in column ``fp``; see the module's text for what may be missed.
+def _turned(fps: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints as rows of bytes, begun at another place for each ``n``."""
+    return np.roll(fps, 5 * n, axis=1)
+
+
+def wide_links(distinct: DataFrame, agreed: int, turns: int, budget: int = WIDE_BUDGET) -> DataFrame:
+    """``a, b``: links between distinct wide fingerprints in column ``fp`` with their ``least`` hashes; see the module's text for what may be missed.
 
-    The sorted rows of an order are dealt out by range, so a group that a
-    large share of all rows falls into is spread over tasks; rows that more
-    than ``GROUP`` others agree with are joined with those that agree on
-    further bits.
+    Rows are sorted by turn (the choice), the agreed hashes, eight other least
+    hashes and the fingerprint, and dealt out by range, so a group that a
+    large share of all rows falls into is spread over tasks; rows of groups of
+    more than ``GROUP`` are joined with those that agree on more of what they
+    are sorted by, which is other hashes and bits in each turn.
     """
-    bits, n_orders = orders(distinct.count())
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    depths = list(range(WIDE_STEP * (bits // WIDE_STEP + 1), 64 * WORDS + 1, WIDE_STEP))
+    depths = list(range(WIDE_STEP, 64 * WORDS + 1, WIDE_STEP))
 
     def turn(batches):
         for batch in batches:
-            unpacked = np.unpackbits(_bytes(batch.column(0)), axis=1) if batch.num_rows else None
-            for n in range(n_orders if batch.num_rows else 0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, n, np.int32)), _binary(np.packbits(unpacked[:, _order(n)], axis=1))], names=["turn", "key"])
+            if not batch.num_rows:
+                continue
+            fps, least = _bytes(batch.column(0)), _bytes(batch.column(1)).view("<u4")
+            for n in range(turns):
+                group = np.zeros(len(fps), np.uint64)
+                for i in range(agreed):
+                    group = _mixed(group ^ least[:, n * agreed + i], 1)
+                others = least[:, [((n + 1) * agreed + i) % least.shape[1] for i in range(8)]].astype(np.uint8)
+                key = np.concatenate([group.astype(">u8").view(np.uint8).reshape(-1, 8), others, _turned(fps, n)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), n, np.int32)), _binary(key)], names=["turn", "key"])
 
     def join(batches):
         held = None
@@ -358,33 +381,48 @@ def wide_links(distinct: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
         if held is not None:
             yield from tied(*held, True)[0]
 
-    def tied(turns, raw, last):
+    def tied(turn_of, raw, last):
         """Links among the groups of sorted rows, and the rows of the last group, which may go on."""
         keys = raw.view(">u8").astype(np.uint64)
-        new = np.append(True, (turns[1:] != turns[:-1]) | (keys[1:] != keys[:-1]).any(1))
-        turns, raw, keys = turns[new], raw[new], keys[new]
-        shared = np.where(np.append(True, turns[1:] != turns[:-1]), 0, _shared_bits(keys))
-        roots = _roots(shared, bits)
+        new = np.append(True, (turn_of[1:] != turn_of[:-1]) | (keys[1:] != keys[:-1]).any(1))
+        turn_of, raw, keys = turn_of[new], raw[new], keys[new]
+        shared = np.where(np.append(True, turn_of[1:] != turn_of[:-1]), 0, _shared_bits(keys))
+        roots = _roots(shared, 64)
         end = len(keys) if last or len(roots) == 1 else int(roots[-1])
-        linked, to = _Trie(keys[:end], shared[:end], roots[roots < end], depths).links(budget)
+        rest = (turn_of[end:], raw[end:]) if end < len(keys) else None
+        roots = roots[roots < end]
+        group = np.repeat(np.arange(len(roots)), np.diff(np.append(roots, end)))
+        alone = np.diff(np.append(roots, end)) == 1
+        paired = np.flatnonzero(~alone[group])
+        if not len(paired):
+            return [], rest
+        # of groups of two or more, the trie of each group's fingerprints
+        fps, group = keys[paired, 2:], group[paired]
+        order = np.lexsort([*fps.T[::-1], group])
+        fps, paired = fps[order], paired[order]
+        first = np.append(True, group[1:] != group[:-1])
+        linked, to = _Trie(fps, np.where(first, 0, _shared_bits(fps)), np.flatnonzero(first), depths).links(budget)
+        linked, to = paired[linked], paired[to]
         out = []
-        for n in np.unique(turns[linked]):
-            of, back = turns[linked] == n, np.argsort(_order(n))
-            a, b = (_binary(np.packbits(np.unpackbits(raw[x[of]], axis=1)[:, back], axis=1)) for x in (linked, to))
-            out.append(pa.RecordBatch.from_arrays([a, b], schema=schema))
-        return out, ((turns[end:], raw[end:]) if end < len(keys) else None)
+        for n in np.unique(turn_of[linked]):
+            of = turn_of[linked] == n
+            out.append(pa.RecordBatch.from_arrays([_binary(_turned(raw[x[of], 16:], -n)) for x in (linked, to)], schema=schema))
+        return out, rest
 
-    turned = distinct.select("fp").mapInArrow(turn, "turn int, key binary")
+    turned = distinct.select("fp", "least").mapInArrow(turn, "turn int, key binary")
     return turned.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key").mapInArrow(join, "a binary, b binary")
 
 
 # --- classes ------------------------------------------------------------------------
 
 
-def _classes(made: DataFrame, link) -> DataFrame:
-    """``doc_id, key, fp, root, component_id`` of every row of ``made (doc_id, key, fp)``; ``root`` is one fingerprint of the row's component."""
+def _classes(made: DataFrame, link, *carried: str) -> DataFrame:
+    """``doc_id, key, fp, root, component_id`` of every row of ``made (doc_id, key, fp)``; ``root`` is one fingerprint of the row's component.
+
+    ``link`` gets each distinct fingerprint with one value of the ``carried`` columns.
+    """
     made = materialize(made, "fingerprints")
-    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in carried)), "distinct")
     tied = materialize(components(link(distinct)), "components").withColumnRenamed("node", "fp")
     least = distinct.join(tied, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = distinct.join(tied.join(least, "root"), "fp", "left")
@@ -417,9 +455,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = WIDE_B
     of similarity 0.8 or more do but for chance (see README for measured
     recall). Of rows alike in id and text any one stays. Null, empty and blank
     texts are one component; a text of less than five words is one shingle. An
-    empty table stays empty. Columns may have any names.
+    empty table stays empty. Columns may have any names. The rows are counted
+    first, which a Parquet table answers without reading texts.
     """
-    found = materialize(_classes(wide_fingerprints(docs, shingle, id_column, text_column), partial(wide_links, budget=budget)).select("doc_id", "key", "root"), "classes")
+    agreed, turns = choices(docs.count())
+    made = wide_fingerprints(docs, agreed * turns, shingle, id_column, text_column)
+    found = materialize(_classes(made, partial(wide_links, agreed=agreed, turns=turns, budget=budget), "least").select("doc_id", "key", "root"), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     # written first, so that the join reads two plain shuffles and a hot component's rows can be split
     first = materialize(found.groupBy("root").agg(F.min(place).alias("first")), "first")

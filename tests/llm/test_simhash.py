@@ -196,11 +196,29 @@ def test_one_row_of_each_group_stays(spark, monkeypatch, group):
     assert {10 * n for n in range(150)} <= set(left)
 
 
-def test_orders_grow_with_the_number_of_fingerprints():
-    assert simhash.orders(2) == simhash.orders(1 << 20) and simhash.orders(1 << 20)[0] == 16
-    for n in (1, 1 << 20, 1 << 30):
-        bits, orders = simhash.orders(n)
-        assert (1 - (1 - simhash.WIDE_SHARE) ** bits) ** orders <= simhash.MISSED and n <= 16 << bits
+def test_choices_grow_slowly_with_the_number_of_rows():
+    assert simhash.choices(2) == simhash.choices(1 << 20) == (4, 11)
+    for n in (1, 1 << 20, 1 << 30, 5 * 10**10):
+        agreed, turns = simhash.choices(n)
+        assert (1 - simhash.SIMILAR**agreed) ** turns <= simhash.MISSED and n <= 16 << 4 * agreed and turns <= 30
+
+
+def test_least_hashes_agree_as_often_as_sets_are_similar():
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(5000)]
+    agree, bits, expected = [], [], []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(100, 6000))
+        at = rng.randrange(len(base))
+        other = base[: max(50, at)]
+        (a, x), (b, y) = (simhash.wide_fingerprint(" ".join(t).encode(), 5, 200) for t in (base, other))
+        agree.append(np.mean(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")))
+        bits.append((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() / 512)
+        expected.append(similarity(" ".join(base), " ".join(other)))
+    expected = np.array(expected)
+    assert np.abs(np.array(agree) - expected).max() < 0.15 and abs(np.mean(agree) - expected.mean()) < 0.02
+    assert np.abs(np.array(bits) - np.arccos(2 * expected / (1 + expected)) / np.pi).mean() < 0.2
+    assert simhash.wide_fingerprint(b"", 5, 3) == (bytes(64), b"\xff" * 12)
 
 
 def test_empty(spark):
