@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from functools import partial, reduce
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +65,7 @@ def _shingles(text: bytes, shingle: int) -> list[bytes]:
 def _hashes(shingles: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.fromiter(map(partial(xxh64_intdigest, seed=42), shingles), "<u8", len(shingles))
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), "<u8", len(shingles))
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def wide_fingerprint(text: bytes, shingle: int = 5, functions: int = 0) -> tuple
     for at in range(0, len(hashes), 4096):
         some = hashes[at : at + 4096, None]
         ones += _ones(_mixed(some, np.arange(WORDS)))
-        least = np.minimum(least, (some * odd).min(0))
+        least = np.minimum(least, (odd[:, None] * some[:, 0]).min(1))
     return np.packbits(2 * ones > len(hashes)).tobytes(), least.astype("<u4").tobytes()
 
 
