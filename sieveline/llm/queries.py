@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, packing, pii, quality, secrets, simhash, substrings, token_ids, toxicity
+from . import chat, decontamination, packing, pii, quality, secrets, simhash, substrings, token_ids, toxicity, url_filters
 from .common import read_table
 
 
@@ -61,6 +61,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_pages(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -71,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_formatting": chat.CHAT_SQL,
         "op5_secret_scans": secrets.SCAN_SQL,
         "op10_benchmark_decontamination": decontamination.CONTAMINATION_SQL,
+        "op11_url_filters": url_filters.JUDGE_SQL,
     }
