@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, packing, pii, quality, secrets, simhash, substrings, token_ids, toxicity, url_filters
+from . import chat, decontamination, packing, pii, quality, resampling, secrets, simhash, substrings, token_ids, toxicity, url_filters
 from .common import read_table
 
 
@@ -65,6 +65,10 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled_ranks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -76,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_secret_scans": secrets.SCAN_SQL,
         "op10_benchmark_decontamination": decontamination.CONTAMINATION_SQL,
         "op11_url_filters": url_filters.JUDGE_SQL,
+        "op13_importance_resampling": resampling.RANKS_SQL,
     }
