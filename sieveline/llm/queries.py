@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, packing, pii, quality, resampling, secrets, simhash, substrings, token_ids, toxicity, url_filters
+from . import chat, decontamination, hard_negatives, packing, pii, quality, resampling, secrets, simhash, substrings, token_ids, toxicity, url_filters
 from .common import read_table
 
 
@@ -65,6 +65,10 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled_ranks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -80,5 +84,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_secret_scans": secrets.SCAN_SQL,
         "op10_benchmark_decontamination": decontamination.CONTAMINATION_SQL,
         "op11_url_filters": url_filters.JUDGE_SQL,
+        "op12_hard_negatives": hard_negatives.MINED_SQL,
         "op13_importance_resampling": resampling.RANKS_SQL,
     }
