@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Anchors that a task holds; rows that stream past them in one task, at least and at most; rows looked at together.
-ANCHORS, FEWEST_ROWS, MOST_ROWS, BLOCK = 8_192, 1_024, 1 << 20, 1_024
+ANCHORS, FEWEST_ROWS, MOST_ROWS, BLOCK = 8_192, 1_024, 1 << 20, 512
+#: Pairs whose components are multiplied together.
+PAIRS = 1 << 14
 #: Tasks that rows are spread over as long as none gets more than ``MOST_ROWS``.
 SPREAD = 64
 _NONE = np.iinfo(np.int64).min
@@ -92,6 +94,15 @@ class _Side:
         return out
 
 
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``i`` of ``a`` with the rows ``j`` of ``b``; some pairs at a time, as rows are copied for it."""
+    out = np.empty(len(i), a.dtype)
+    for at in range(0, len(i), PAIRS):
+        some = slice(at, at + PAIRS)
+        np.einsum("ij,ij->i", a[i[some]], b[j[some]], out=out[some])
+    return out
+
+
 def survivors(a: _Side, b: _Side, cuts: list[int], least: np.ndarray, most: np.ndarray, unlike: bool, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (rows of ``a`` and ``b``) whose score may be at least ``least`` and at most ``most`` of the anchor, and their exact scores."""
     k = cuts[0]
@@ -103,11 +114,11 @@ def survivors(a: _Side, b: _Side, cuts: list[int], least: np.ndarray, most: np.n
     i, j = np.nonzero(keep)
     part = part[i, j]
     for before, k in zip(cuts, cuts[1:], strict=False):
-        part = part + np.einsum("ij,ij->i", a.y[i, before:k], b.y[j, before:k])
+        part = part + _products(a.y[:, before:k], b.y[:, before:k], i, j)
         room = a.rest[k][i] * b.rest[k][j] + slack * a.norm[i] * b.norm[j] + 0.5
         keep = (part + room >= least[i]) & (part - room <= most[i])
         i, j, part = i[keep], j[keep], part[keep]
-    return i, j, np.einsum("ij,ij->i", a.q[i], b.q[j])
+    return i, j, _products(a.q, b.q, i, j)
 
 
 class _Best:
