@@ -14,13 +14,15 @@ so each is dealt out by its bits on every such choice of runs. Fingerprints in
 groups that too many share are dealt out again by a finer cut, which is
 complete in itself; the finest leaves so few bits free that a group is bounded.
 
-``wide_links`` (512 bits, budgets for a similarity of 0.8) would need far too
+``wide_links`` (256 bits, budgets for a similarity of 0.8) would need far too
 many choices of bits. Its groups come from the shingles instead: two sets of
 shingles have the same least hash with a probability that equals their
 similarity. A group agrees on the least hashes of several hash functions, and
 there are several such choices, worked out from the similarity so that a pair
 is in no group together with a small, stated probability; the functions to
 agree on grow with the number of rows, and the choices with them, but slowly.
+What the wide trie finds are candidates. They are held against each other by
+their sets of shingles, exactly, before anything is tied together.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import keep_named
 from .common import broadcast_if_small, materialize, text_or_empty
 from .components import components
 
@@ -44,13 +47,13 @@ GROUP = 2_000
 MASKS = 1_000
 #: Rows up to which a list of rows is sent to all executors; a longer one is shuffled.
 BROADCAST_ROWS = 50_000
-#: Bits by which a trie of 64 or 512 bits goes down at a time, node pairs looked at together, and rows of whole groups joined together.
-STEP, WIDE_STEP, PAIRS, CHUNK = 4, 16, 1 << 20, 100_000
+#: Bits by which a trie of 64 or 256 bits goes down at a time, node pairs looked at together, and rows and bytes of whole groups joined together.
+STEP, WIDE_STEP, PAIRS, CHUNK, CHUNK_BYTES = 4, 16, 1 << 20, 100_000, 64 << 20
 
 #: Words of 64 bits in a wide fingerprint.
-WORDS = 8
-#: Similarity of sets of shingles to be found, and the bits of 512 that a link may differ in (78 on average at that similarity).
-SIMILAR, WIDE_BUDGET = 0.8, 88
+WORDS = 4
+#: Similarity of sets of shingles to be found, and the bits of 256 that a candidate pair may differ in (38.7 on average at that similarity, deviation 5.7).
+SIMILAR, WIDE_BUDGET = 0.8, 52
 #: Probability that no choice of least hashes brings a pair of that similarity together.
 MISSED = 0.005
 
@@ -163,6 +166,43 @@ def _tied(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels = parent[labels]
 
 
+def _tied_if(labels: np.ndarray, a: np.ndarray, b: np.ndarray, alike) -> np.ndarray:
+    """``labels`` after those of the pairs ``a, b`` were tied that ``alike`` tells to be; pairs that others have tied already aren't asked for."""
+    few = 1
+    while True:
+        x, y = np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        if not len(a):
+            return labels
+        # of the pairs between two groups a few at first: one is enough to tie them
+        order = np.lexsort([y, x])
+        new = np.append(True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]))
+        starts = np.flatnonzero(new)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        asked = np.zeros(len(a), bool)
+        asked[order[place < few]] = True
+        same = alike(a[asked], b[asked])
+        labels = _tied(labels, a[asked][same], b[asked][same])
+        a, b, few = a[~asked], b[~asked], 2 * few
+
+
+class _Similar:
+    """Whether sets of hashes (sorted arrays) have a similarity of ``share``, a pair of integers, or more."""
+
+    def __init__(self, sets: list[np.ndarray], share: tuple[int, int] = (4, 5)):
+        self.sets, self.share, self.sizes = sets, share, np.array([len(x) for x in sets])
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        part, whole = self.share
+        both = self.sizes[a] + self.sizes[b]
+        out = whole * np.minimum(self.sizes[a], self.sizes[b]) >= part * np.maximum(self.sizes[a], self.sizes[b])
+        for n in np.flatnonzero(out).tolist():
+            common = len(np.intersect1d(self.sets[a[n]], self.sets[b[n]], assume_unique=True))
+            out[n] = whole * common >= part * (both[n] - common)
+        return out
+
+
 class _Trie:
     """Sorted distinct ``keys`` (rows of 64-bit words); ``roots`` are the first rows of groups, level k has a node for each prefix of ``depths[k - 1]`` bits."""
 
@@ -178,14 +218,14 @@ class _Trie:
         # the first child of each node, and one past the last
         self.children = [np.append(np.searchsorted(low, high), len(low)) for high, low in zip(self.starts, self.starts[1:], strict=False)]
 
-    def tie(self, budget: int, labels: np.ndarray) -> np.ndarray:
-        """``labels`` after all leaves within ``budget`` bits were tied; node pairs below which all is tied aren't followed."""
+    def tie(self, budget: int, labels: np.ndarray, alike=None) -> np.ndarray:
+        """``labels`` after all leaves within ``budget`` bits (and ``alike``, if given) were tied; node pairs below which all is tied aren't followed."""
         roots = np.arange(len(self.starts[0]))
         stack, fresh = [(0, roots, roots, np.zeros(len(roots), np.int16))], False
         while stack:
             level, a, b, spent = stack.pop()
             if level == len(self.steps) - 1:
-                labels, fresh = _tied(labels, a, b), False
+                labels, fresh = _tied(labels, a, b) if alike is None else _tied_if(labels, a, b, alike), False
                 continue
             if not fresh:
                 least, most = ([f.reduceat(labels, s) for s in self.starts] for f in (np.minimum, np.maximum))
@@ -212,11 +252,11 @@ class _Trie:
                 stack.append((level + 1, i[keep], j[keep], cost[keep]))
         return labels
 
-    def links(self, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, budget: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and the first rows of the groups they are tied into. The budget grows, so that dense groups are tied by their closest pairs."""
         labels = np.arange(len(self.keys))
         for allowed in sorted({-(-budget // 3), -(-2 * budget // 3), budget}):
-            labels = self.tie(allowed, labels)
+            labels = self.tie(allowed, labels, alike)
         linked = np.flatnonzero(labels != np.arange(len(labels)))
         return linked, labels[linked]
 
@@ -247,12 +287,12 @@ def _masks(parts: int, budget: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(runs, parts - budget)]
 
 
-def _by_group(batches, columns: list[str]):
-    """Tables of whole groups (rows alike in ``columns``, which come together), of about ``CHUNK`` rows or one group."""
+def _by_group(batches, columns: list[str], chunk: int):
+    """Tables of whole groups (rows alike in ``columns``, which come together), of about ``chunk`` rows or one group."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) < CHUNK:
+        if sum(x.num_rows for x in held) < chunk:
             continue
         rows = pa.Table.from_batches(held)
         changes = np.zeros(rows.num_rows - 1, bool)
@@ -267,16 +307,17 @@ def _by_group(batches, columns: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
+def links(distinct: DataFrame, budget: int = 3, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
     """``a, b``: links between the distinct fingerprints in column ``fp`` that tie all within ``budget`` bits.
 
     A group of the finest cut has at most ``2 ** (64 * budget / parts)``
-    fingerprints: 65,536 for a budget of 3.
+    fingerprints: 65,536 for a budget of 3. Groups of more than ``group`` are
+    dealt out again; ``chunk`` rows of whole groups are joined together.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(batches):
-        for rows in _by_group(batches, ["mask", "value"]):
+        for rows in _by_group(batches, ["mask", "value"], chunk):
             fps, masks = rows["fp"].to_numpy().view(np.uint64), rows["mask"].to_numpy().view(np.uint64)
             for mask in np.unique(masks):
                 a, b = trie_links(fps[masks == mask], int(mask), budget)
@@ -288,7 +329,7 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
         masks = F.array(*(F.lit(_signed(m)).cast("bigint") for m in _masks(parts, budget)))
         dealt = rows.select("fp", F.explode(masks).alias("mask")).withColumn("value", F.expr("fp & mask"))
         if parts != cuts[-1]:
-            crowded = materialize(dealt.groupBy("mask", "value").count().where(F.col("count") > GROUP).select("mask", "value"), "crowded")
+            crowded = materialize(dealt.groupBy("mask", "value").count().where(F.col("count") > group).select("mask", "value"), "crowded")
         if parts == cuts[-1] or crowded.isEmpty():
             done.append(dealt)
             break
@@ -324,14 +365,14 @@ def _bytes(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _roots(shared: np.ndarray, bits: int) -> np.ndarray:
-    """First rows of groups that agree on ``bits`` bits, or on more where more than ``GROUP`` rows do."""
+def _roots(shared: np.ndarray, bits: int, group: int) -> np.ndarray:
+    """First rows of groups that agree on ``bits`` bits, or on more where more than ``group`` rows do."""
     first = shared < bits
     first[0] = True
     while True:
         starts = np.flatnonzero(first)
         sizes = np.diff(np.append(starts, len(shared)))
-        crowded = np.repeat(sizes > GROUP, sizes)
+        crowded = np.repeat(sizes > group, sizes)
         if not crowded.any():
             return starts
         bits += 2
@@ -343,17 +384,9 @@ def _turned(fps: np.ndarray, n: int) -> np.ndarray:
     return np.roll(fps, 5 * n, axis=1)
 
 
-def wide_links(distinct: DataFrame, agreed: int, turns: int, budget: int = WIDE_BUDGET) -> DataFrame:
-    """``a, b``: links between distinct wide fingerprints in column ``fp`` with their ``least`` hashes; see the module's text for what may be missed.
-
-    Rows are sorted by turn (the choice), the agreed hashes, eight other least
-    hashes and the fingerprint, and dealt out by range, so a group that a
-    large share of all rows falls into is spread over tasks; rows of groups of
-    more than ``GROUP`` are joined with those that agree on more of what they
-    are sorted by, which is other hashes and bits in each turn.
-    """
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    depths = list(range(WIDE_STEP, 64 * WORDS + 1, WIDE_STEP))
+def _dealt(rows: DataFrame, agreed: int, turns: int) -> DataFrame:
+    """``turn, key`` of ``rows (fp, least)``, ``set`` with them if there is one: a row for each choice of least hashes, ``key`` begins with those."""
+    with_set = "set" in rows.columns
 
     def turn(batches):
         for batch in batches:
@@ -361,73 +394,107 @@ def wide_links(distinct: DataFrame, agreed: int, turns: int, budget: int = WIDE_
                 continue
             fps, least = _bytes(batch.column(0)), _bytes(batch.column(1)).view("<u4")
             for n in range(turns):
-                group = np.zeros(len(fps), np.uint64)
+                key = np.zeros(len(fps), np.uint64)
                 for i in range(agreed):
-                    group = _mixed(group ^ least[:, n * agreed + i], 1)
+                    key = _mixed(key ^ least[:, n * agreed + i], 1)
                 others = least[:, [((n + 1) * agreed + i) % least.shape[1] for i in range(8)]].astype(np.uint8)
-                key = np.concatenate([group.astype(">u8").view(np.uint8).reshape(-1, 8), others, _turned(fps, n)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), n, np.int32)), _binary(key)], names=["turn", "key"])
+                key = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), others, _turned(fps, n)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), n, np.int32)), _binary(key), *batch.columns[2:]], names=["turn", "key", *["set"] * with_set])
+
+    return rows.select("fp", "least", *["set"] * with_set).mapInArrow(turn, "turn int, key binary" + ", set binary" * with_set)
+
+
+def _trie_links(dealt: DataFrame, budget: int, group: int, chunk: int) -> DataFrame:
+    """``a, b``: links within the groups of ``dealt``, sorted by ``turn, key``; exact ones if it has a ``set``."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    depths = list(range(WIDE_STEP, 64 * WORDS + 1, WIDE_STEP))
 
     def join(batches):
-        held = None
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            more = (batch.column(0).to_numpy(), _bytes(batch.column(1)))
-            held = more if held is None else tuple(map(np.concatenate, zip(held, more, strict=True)))
-            if len(held[0]) >= CHUNK:
-                found, held = tied(*held, False)
+            sets = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2)] if batch.num_columns > 2 else []
+            held.append((batch.column(0).to_numpy(), _bytes(batch.column(1)), sets))
+            size += batch.nbytes
+            if sum(len(x[0]) for x in held) >= chunk or size >= CHUNK_BYTES:
+                found, rest = tied(held, False)
                 yield from found
-        if held is not None:
-            yield from tied(*held, True)[0]
+                held, size = [rest] if rest else [], sum(x.nbytes for x in rest[2]) if rest else 0
+        if held:
+            yield from tied(held, True)[0]
 
-    def tied(turn_of, raw, last):
+    def tied(held, last):
         """Links among the groups of sorted rows, and the rows of the last group, which may go on."""
+        turn_of, raw, sets = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [x for h in held for x in h[2]]
         keys = raw.view(">u8").astype(np.uint64)
-        new = np.append(True, (turn_of[1:] != turn_of[:-1]) | (keys[1:] != keys[:-1]).any(1))
-        turn_of, raw, keys = turn_of[new], raw[new], keys[new]
+        new = np.flatnonzero(np.append(True, (turn_of[1:] != turn_of[:-1]) | (keys[1:] != keys[:-1]).any(1)))
+        turn_of, raw, keys, sets = turn_of[new], raw[new], keys[new], [sets[i] for i in new] if sets else []
         shared = np.where(np.append(True, turn_of[1:] != turn_of[:-1]), 0, _shared_bits(keys))
-        roots = _roots(shared, 64)
+        roots = _roots(shared, 64, group)
         end = len(keys) if last or len(roots) == 1 else int(roots[-1])
-        rest = (turn_of[end:], raw[end:]) if end < len(keys) else None
+        rest = (turn_of[end:], raw[end:], sets[end:]) if end < len(keys) else None
         roots = roots[roots < end]
-        group = np.repeat(np.arange(len(roots)), np.diff(np.append(roots, end)))
+        of = np.repeat(np.arange(len(roots)), np.diff(np.append(roots, end)))
         alone = np.diff(np.append(roots, end)) == 1
-        paired = np.flatnonzero(~alone[group])
+        paired = np.flatnonzero(~alone[of])
         if not len(paired):
             return [], rest
         # of groups of two or more, the trie of each group's fingerprints
-        fps, group = keys[paired, 2:], group[paired]
-        order = np.lexsort([*fps.T[::-1], group])
-        fps, paired = fps[order], paired[order]
-        first = np.append(True, group[1:] != group[:-1])
-        linked, to = _Trie(fps, np.where(first, 0, _shared_bits(fps)), np.flatnonzero(first), depths).links(budget)
+        fps, of = keys[paired, 2:], of[paired]
+        order = np.lexsort([*fps.T[::-1], of])
+        fps, paired, of = fps[order], paired[order], of[order]
+        first = np.append(True, of[1:] != of[:-1])
+        alike = _Similar([sets[i] for i in paired]) if sets else None
+        linked, to = _Trie(fps, np.where(first, 0, _shared_bits(fps)), np.flatnonzero(first), depths).links(budget, alike)
         linked, to = paired[linked], paired[to]
         out = []
         for n in np.unique(turn_of[linked]):
-            of = turn_of[linked] == n
-            out.append(pa.RecordBatch.from_arrays([_binary(_turned(raw[x[of], 16:], -n)) for x in (linked, to)], schema=schema))
+            some = turn_of[linked] == n
+            out.append(pa.RecordBatch.from_arrays([_binary(_turned(raw[x[some], 16:], -n)) for x in (linked, to)], schema=schema))
         return out, rest
 
-    turned = distinct.select("fp", "least").mapInArrow(turn, "turn int, key binary")
-    return turned.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key").mapInArrow(join, "a binary, b binary")
+    return dealt.mapInArrow(join, "a binary, b binary")
+
+
+def wide_links(distinct: DataFrame, agreed: int, turns: int, budget: int = WIDE_BUDGET, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
+    """``a, b``: links between distinct wide fingerprints in column ``fp`` with their ``least`` hashes; see the module's text for what may be missed.
+
+    Rows are sorted by turn (the choice), the agreed hashes, eight other least
+    hashes and the fingerprint, and dealt out by range, so a group that a
+    large share of all rows falls into is spread over tasks; rows of groups of
+    more than ``group`` are joined with those that agree on more of what they
+    are sorted by, which is other hashes and bits in each turn. If the rows
+    have a ``set`` of hashes, too, only those are tied that are so similar.
+    """
+    dealt = _dealt(distinct, agreed, turns)
+    return _trie_links(dealt.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key"), budget, group, chunk)
+
+
+def _member_links(members: DataFrame, budget: int, group: int, chunk: int) -> DataFrame:
+    """Exact links between the ``members (root, fp, set)`` of small groups, each in one task."""
+    zeros = F.lit(bytearray(8))
+    dealt = members.select(F.lit(0).alias("turn"), F.concat(F.unhex(F.lpad(F.hex(F.xxhash64("root")), 16, "0")), zeros, "fp").alias("key"), "set")
+    return _trie_links(dealt.repartition(F.substring("key", 1, 8)).sortWithinPartitions("turn", "key"), budget, group, chunk)
 
 
 # --- classes ------------------------------------------------------------------------
 
 
-def _classes(made: DataFrame, link, *carried: str) -> DataFrame:
-    """``doc_id, key, fp, root, component_id`` of every row of ``made (doc_id, key, fp)``; ``root`` is one fingerprint of the row's component.
+def _distinct(made: DataFrame, *carried: str) -> DataFrame:
+    """Each distinct ``fp`` of ``made (doc_id, key, fp)`` with its ``first`` row (of the smallest id; rows without one last) and one value of the ``carried`` columns."""
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    return materialize(made.groupBy("fp").agg(place.alias("first"), *(F.min(c).alias(c) for c in carried)), "distinct")
 
-    ``link`` gets each distinct fingerprint with one value of the ``carried`` columns.
-    """
-    made = materialize(made, "fingerprints")
-    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in carried)), "distinct")
-    tied = materialize(components(link(distinct)), "components").withColumnRenamed("node", "fp")
-    least = distinct.join(tied, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+
+def _classes(made: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """``doc_id, key, fp, root, component_id`` of every row of ``made (doc_id, key, fp)``; ``root`` is one fingerprint of the row's component."""
+    tied = materialize(components(linked), "components").withColumnRenamed("node", "fp")
+    first = F.col("first.doc_id")
+    least = distinct.join(tied, "fp").groupBy("root").agg(F.min(first).alias("component_id"))
     named = distinct.join(tied.join(least, "root"), "fp", "left")
     # written first, so that the last join reads two plain shuffles and a hot fingerprint's rows can be split
-    named = materialize(named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")), "named")
+    named = materialize(named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce(F.col("component_id"), first).alias("component_id")), "named")
     return made.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
@@ -443,24 +510,60 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_colum
     names a component that has another id. An empty table gives an empty
     result; other columns are left out.
     """
-    found = _classes(fingerprints(docs, shingle, id_column, text_column), partial(links, budget=budget))
+    made = materialize(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
+    distinct = _distinct(made)
+    found = _classes(made, distinct, links(distinct, budget))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = WIDE_BUDGET, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id, key, set`` of every row: the hashes of the text's shingles, sorted."""
+    made = lambda text: (np.unique(_hashes(_shingles(text, shingle))).astype("<u8").tobytes(),)
+    return _fingerprinted(docs, made, [pa.field("set", pa.binary())], "set binary", id_column, text_column)
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, agreed: int, turns: int, shingle: int, budget: int, id_column: str, text_column: str, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
+    """``a, b``: links that tie together what is linked by exact similarity among the candidates of the trie.
+
+    First the trie ties fingerprints within ``budget`` bits: that finds which
+    rows have a candidate at all. Of those alone the sets of shingles are made,
+    from one row for each fingerprint. A loosely tied group of up to ``group``
+    fingerprints is then worked on whole in one task; those of larger ones go
+    through the choices of least hashes again, with their sets. In both the
+    trie yields pairs within the budget, and what two sets say decides.
+    """
+    loose = materialize(components(wide_links(distinct, agreed, turns, budget, group, chunk)), "loose")
+    large = loose.groupBy("root").count().where(F.col("count") > group).select("root", F.lit(True).alias("large"))
+    members = loose.join(broadcast_if_small(materialize(large, "large"), BROADCAST_ROWS), "root", "left").withColumnRenamed("node", "fp")
+    members = members.join(distinct, "fp").select("fp", "root", "least", F.coalesce("large", F.lit(False)).alias("large"), F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    members = materialize(members.withColumn("name", F.xxhash64("_id", "_key")), "members")
+    named = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    named = named.withColumn("name", F.xxhash64("doc_id", F.xxhash64(F.encode(text_or_empty(), "UTF-8"))))
+    sets = shingle_sets(keep_named(named, "name", members.select("name").distinct()), shingle, "doc_id", "text").dropDuplicates(["doc_id", "key"])
+    made = members.join(sets, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))).select("fp", "root", "least", "large", "set")
+    made = materialize(made, "sets")
+    return _member_links(made.where("not large"), budget, group, chunk).union(wide_links(made.where("large"), agreed, turns, budget, group, chunk))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = WIDE_BUDGET, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
     """One row of each component, all its columns kept: the smallest id's; rows without an id come last.
 
-    Texts are linked if their wide fingerprints, made of the set of their
-    shingles of five words, differ in at most ``budget`` of 512 bits: as texts
-    of similarity 0.8 or more do but for chance (see README for measured
-    recall). Of rows alike in id and text any one stays. Null, empty and blank
-    texts are one component; a text of less than five words is one shingle. An
-    empty table stays empty. Columns may have any names. The rows are counted
-    first, which a Parquet table answers without reading texts.
+    Texts are linked if the sets of their shingles of five words have a
+    similarity of 0.8 or more. Pairs are found by their wide fingerprints,
+    which differ in at most ``budget`` of 256 bits but for chance (see README
+    for measured recall), and held against each other exactly, so no link is
+    wrong; ``group`` and ``chunk`` bound what a task joins together. Of rows
+    alike in id and text any one stays. Null, empty and blank texts are one
+    component; a text of less than five words is one shingle; very long texts
+    are read whole. An empty table stays empty. Columns may have any names.
+    The rows are counted first, which a Parquet table answers without reading
+    texts.
     """
     agreed, turns = choices(docs.count())
-    made = wide_fingerprints(docs, agreed * turns, shingle, id_column, text_column)
-    found = materialize(_classes(made, partial(wide_links, agreed=agreed, turns=turns, budget=budget), "least").select("doc_id", "key", "root"), "classes")
+    made = materialize(wide_fingerprints(docs, agreed * turns, shingle, id_column, text_column), "fingerprints")
+    distinct = _distinct(made, "least")
+    linked = similar_links(docs, distinct, agreed, turns, shingle, budget, id_column, text_column, group, chunk)
+    found = materialize(_classes(made.drop("least"), distinct, linked).select("doc_id", "key", "root"), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     # written first, so that the join reads two plain shuffles and a hot component's rows can be split
     first = materialize(found.groupBy("root").agg(F.min(place).alias("first")), "first")

@@ -15,13 +15,13 @@ exceed ``FILTER_BYTES`` are joined instead.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Level, filled, filter_of, hashes_of, sized, within
 from .common import broadcast_if_small, materialize, unused
 
 #: Bytes of a cascade that is sent to all executors; larger lists are joined.
@@ -32,8 +32,6 @@ LAST_KEYS = 50_000
 SHAPES = 2_000
 #: Rows up to which a list of keys is sent to all executors.
 BROADCAST_ROWS = 50_000
-#: A level that lets half the other keys through needs this many bits a key.
-_HALF = 1 / math.log(2)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,34 +45,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 # --- the cascade ---------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Level:
-    words: np.ndarray
-    bits: int
-    hashes: int
-
-
-def _places(keys: np.ndarray, level: int, bits: int, hashes: int) -> np.ndarray:
-    """Bits of ``keys`` (rows of two hashes) in a level's filter, ``hashes`` rows of them."""
-    with np.errstate(over="ignore"):
-        salt = np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)
-        z = (keys ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(29)) ^ salt) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(32)
-        steps = np.arange(hashes, dtype=np.uint64)[:, None]
-        return (z[:, 0] + steps * (z[:, 1] | np.uint64(1))) % np.uint64(bits)
-
-
-def _within(level: Level, depth: int, keys: np.ndarray) -> np.ndarray:
-    at = _places(keys, depth, level.bits, level.hashes)
-    return (level.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool).all(0)
-
-
 def listed(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     """Which of ``keys`` (rows of two hashes) are listed: the first level without a key tells."""
     out, open_ = np.zeros(len(keys), bool), np.arange(len(keys))
     for depth, level in enumerate(levels):
-        inside = _within(level, depth, keys[open_])
+        inside = within(level, depth, keys[open_])
         out[open_] = inside if depth % 2 == 0 else ~inside
         # what an even level lacks isn't listed, what an odd one lacks is
         open_ = open_[inside]
@@ -83,46 +58,12 @@ def listed(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sized(n: int, hashes: int) -> int:
-    return max(64, math.ceil(n * hashes * _HALF))
-
-
-def _filled(keys: np.ndarray, depth: int, hashes: int) -> Level:
-    bits = _sized(len(keys), hashes)
-    at = np.unique(_places(keys, depth, bits, hashes))
-    words = np.zeros(-(-bits // 64), np.uint64)
-    np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-    return Level(words, bits, hashes)
-
-
-def _hashes_of(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch["h1"].to_numpy(), batch["h2"].to_numpy()], 1).view(np.uint64)
-
-
-def _filter(keys: DataFrame, n: int, depth: int, hashes: int) -> Level:
-    """A level over the ``n`` rows of ``keys (h1, h2)``: tasks make words of bits, equal words are merged before and after the shuffle."""
-    bits = _sized(n, hashes)
-
-    def fill(batches):
-        for batch in batches:
-            at = np.unique(_places(_hashes_of(batch), depth, bits, hashes))
-            word, of = np.unique(at >> np.uint64(6), return_inverse=True)
-            made = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(made, of, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(made.view(np.int64))], names=["word", "bits"])
-
-    made = keys.select("h1", "h2").mapInArrow(fill, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(-(-bits // 64), np.uint64)
-    words[made["word"].to_numpy()] = made["bits"].to_numpy().view(np.uint64)
-    return Level(words, bits, hashes)
-
-
 def _let_through(keys: DataFrame, level: Level, depth: int) -> DataFrame:
     sent = keys.sparkSession.sparkContext.broadcast(level)
 
     def test(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_within(sent.value, depth, _hashes_of(batch))))
+            yield batch.filter(pa.array(within(sent.value, depth, hashes_of(batch))))
 
     return keys.mapInArrow(test, keys.schema)
 
@@ -137,15 +78,15 @@ def _last_levels(wanted: np.ndarray, other: np.ndarray, depth: int) -> list[Leve
     while len(wanted):
         if depth > 500:
             raise ValueError("a listed and an unlisted key have the same hashes")
-        levels.append(_filled(wanted, depth, 1))
-        wanted, other = other[_within(levels[-1], depth, other)], wanted
+        levels.append(filled(wanted, depth, 1))
+        wanted, other = other[within(levels[-1], depth, other)], wanted
         depth += 1
     return levels
 
 
 def planned_bytes(n_listed: int, n_keys: int) -> int:
     """Bytes that a cascade takes, about: the first level as :func:`build_cascade` sizes it, and two bits a key for each pair of later levels."""
-    return (_sized(n_listed, _first_hashes(n_listed, n_keys)) + 8 * n_listed) // 8
+    return (sized(n_listed, _first_hashes(n_listed, n_keys)) + 8 * n_listed) // 8
 
 
 def _first_hashes(n_listed: int, n_keys: int) -> int:
@@ -166,7 +107,7 @@ def build_cascade(universe: DataFrame, keys: DataFrame, last_keys: int = LAST_KE
     n_listed, n_keys = keys.count(), universe.count()
     if not n_listed:
         return []
-    levels = [_filter(keys, n_listed, 0, _first_hashes(n_listed, n_keys))]
+    levels = [filter_of(keys, n_listed, 0, _first_hashes(n_listed, n_keys))]
     passed = _let_through(universe, levels[0], 0)
     marked = passed.join(broadcast_if_small(keys.select("key", F.lit(True).alias("listed")), BROADCAST_ROWS), "key", "left")
     marked = materialize(marked.withColumn("listed", F.coalesce("listed", F.lit(False))), "passed")
@@ -175,7 +116,7 @@ def build_cascade(universe: DataFrame, keys: DataFrame, last_keys: int = LAST_KE
     wanted, other = marked.where("not listed"), marked.where("listed")
     n_wanted, n_other, depth = counts.get(False, 0), counts.get(True, 0), 1
     while n_wanted and n_wanted + n_other > last_keys:
-        levels.append(_filter(wanted, n_wanted, depth, 1))
+        levels.append(filter_of(wanted, n_wanted, depth, 1))
         through = materialize(_let_through(other, levels[-1], depth), "passed")
         wanted, other, n_wanted, n_other, depth = through, wanted, through.count(), n_wanted, depth + 1
         if depth > 500:
