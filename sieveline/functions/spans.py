@@ -22,12 +22,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each place the values up to it, merged in order; ``merge`` is associative.
+
+    As in :func:`placed`, values are merged in blocks of the square root of
+    their number first, as an array grows by being copied.
+    """
+    along = lambda block: F.aggregate(F.slice(block, 2, F.size(block)), F.slice(block, 1, 1), lambda acc, x: F.array_append(acc, merge(F.element_at(acc, -1), x)))
+
+    def over(blocks: Column) -> Column:
+        bases = along(F.transform(blocks, lambda block: F.element_at(block, -1)))
+        return let(bases, lambda base: F.flatten(F.transform(blocks, lambda block, n: F.when(n == 0, block).otherwise(F.transform(block, lambda x: merge(F.get(base, n - 1), x))))))
+
+    def cut(given: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(given))).cast("int")
+        blocks = let(size, lambda k: F.transform(F.sequence(F.lit(1), F.size(given), k), lambda at: along(F.slice(given, at, k))))
+        return F.when(F.size(given) < 2, given).otherwise(let(blocks, over))
+
+    return let(values, cut)
+
+
 def _ends(pieces: Column) -> Column:
     """Where each of the ``pieces (gap, hit)`` ends, counted from the first one's start, after a zero."""
     return F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x["gap"]) + F.length(x["hit"])))
 
 
-def _placed(pieces: Column) -> Column:
+def placed(pieces: Column) -> Column:
     """The spans of all hits among ``pieces (gap, hit)``.
 
     The lengths of the text between matches and of the matches themselves,
@@ -59,7 +79,7 @@ def java_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | No
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = let(hits, lambda h: F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h)).alias("gap"), h.alias("hit")))
-    found, test = let(pieces, _placed), text.rlike(pattern)
+    found, test = let(pieces, placed), text.rlike(pattern)
     if needed:
         test = F.contains(text, F.lit(needed)) & test
     if keep:

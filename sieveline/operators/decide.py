@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pseudonyms
-from ..functions.spans import let
+from ..functions.spans import let, running
 from .scan import no_matches
 
 
@@ -48,29 +48,88 @@ def splice(text: Column, matches: Column, replacement=replacement_of) -> Column:
     return let(keyed, either)
 
 
-def _spliced_in_turn(text: Column, sorted_: Column) -> Column:
-    """Overlapping spans: each replacement works on what the later ones left."""
-    order = F.array_sort(F.transform(sorted_, lambda m: F.struct((-m["start"]).alias("back"), m["i"].alias("i"), m["start"].alias("start"), m["end"].alias("end"), m["by"].alias("by"))))
-    put = lambda acc, m: F.concat(F.substring(acc, F.lit(1), m["start"]), m["by"], F.substring(acc, m["end"] + 1, F.length(acc)))
-    return F.aggregate(order, text, put)
-
-
-def _spliced_apart(text: Column, sorted_: Column) -> Column:
-    """Spans that don't touch: the text between them and the replacements, joined once.
+def _cutter(wide: Column):
+    """A function of a start and a number of characters that cuts them out of a text.
 
-    The text is cut in a form with four bytes for each character, where a
-    place is found without reading what stands before it. A cut may begin
-    with what a decoder would take for a byte order mark, so it is read with a
+    ``wide`` is the text in a form with four bytes for each character, where a
+    place is found without reading what stands before it. A cut may begin with
+    what a decoder would take for a byte order mark, so it is read with a
     space before it.
     """
     space = F.encode(F.lit(" "), "UTF-32")
+    return lambda start, n: F.substring(F.decode(F.concat(space, F.substring(wide, start * 4 + 1, n * 4)), "UTF-32"), F.lit(2), n)
+
+
+def _wide_length(wide: Column) -> Column:
+    return F.floor(F.octet_length(wide) / 4).cast("int")
+
+
+def _spliced_in_turn(text: Column, sorted_: Column) -> Column:
+    """Overlapping spans: each replacement works on what the later ones left.
+
+    A replacement whose end lies behind the start of the one before cuts into
+    what that one and those before it made. How long the made part is after
+    each turn is the larger of a constant and the length before it plus
+    another, so lengths are merged by :func:`running`; of the piece that a turn
+    puts in front, the rear stays that no later cut reaches. Pieces are then
+    cut once and joined once, however the spans overlap.
+    """
+    longest = lambda a, b: F.struct(F.greatest(b["least"], a["least"] + b["more"]).alias("least"), (a["more"] + b["more"]).alias("more"))
+
+    def spliced(wide: Column) -> Column:
+        cut, n = _cutter(wide), _wide_length(wide)
+        order = F.array_sort(F.transform(sorted_, lambda m: F.struct((-m["start"]).alias("back"), m["i"].alias("i"), m["start"].alias("start"), m["end"].alias("end"), m["by"].alias("by"))))
+
+        def turns(ms: Column) -> Column:
+            """For each match where the one before starts, how far it cuts into what is made, and the characters that it puts in front."""
+            before = lambda i: F.coalesce(F.get(ms, i - 1)["start"], n)
+            return F.transform(
+                ms,
+                lambda m, i: F.struct(
+                    m["start"].alias("start"),
+                    m["end"].alias("end"),
+                    m["by"].alias("by"),
+                    before(i).alias("up_to"),
+                    F.greatest(F.lit(0), m["end"] - before(i)).alias("into"),
+                    (F.length(m["by"]) + F.greatest(F.lit(0), before(i) - m["end"])).alias("size"),
+                ),
+            )
+
+        def joined(ts: Column) -> Column:
+            # the made part's length after a turn is max(size, length before - into + size)
+            lengths = F.transform(running(F.transform(ts, lambda t: F.struct(t["size"].alias("least"), (t["size"] - t["into"]).alias("more"))), longest), lambda x: x["least"])
+            kept = lambda length: F.transform(ts, lambda t, i: F.greatest(F.lit(0), F.coalesce(F.get(length, i - 1), F.lit(0)) - t["into"]))
+
+            def pieces(length: Column, left: Column) -> Column:
+                # the least that any later turn leaves of the made part
+                later = F.reverse(running(F.reverse(left), lambda a, b: F.least(a, b)))
+
+                def piece(t: Column, i: Column, later: Column) -> Column:
+                    rear = F.greatest(F.lit(0), F.least(length[i], F.coalesce(F.get(later, i + 1), length[i])) - left[i])
+                    gone = t["size"] - rear
+                    by = F.substring(t["by"], gone + 1, F.length(t["by"]))
+                    start = t["end"] + F.greatest(F.lit(0), gone - F.length(t["by"]))
+                    return F.concat(by, cut(start, F.greatest(F.lit(0), t["up_to"] - start)))
+
+                made = let(later, lambda later: F.transform(ts, lambda t, i: piece(t, i, later)))
+                return F.concat(cut(F.lit(0), F.least(n, F.element_at(ts, -1)["start"])), F.array_join(F.reverse(made), ""))
+
+            return let(lengths, lambda length: let(kept(length), lambda left: pieces(length, left)))
+
+        return let(let(order, turns), joined)
+
+    return let(F.encode(text, "UTF-32"), spliced)
+
+
+def _spliced_apart(text: Column, sorted_: Column) -> Column:
+    """Spans that don't touch: the text between them and the replacements, joined once."""
 
     def joined(wide: Column) -> Column:
-        cut = lambda start, n: F.substring(F.decode(F.concat(space, F.substring(wide, start * 4 + 1, n * 4)), "UTF-32"), F.lit(2), n)
+        cut = _cutter(wide)
         end = lambda i: F.coalesce(F.get(sorted_, i - 1)["end"], F.lit(0))
         pieces = F.transform(sorted_, lambda m, i: F.concat(cut(end(i), m["start"] - end(i)), m["by"]))
         last = F.element_at(sorted_, -1)["end"]
-        rest = F.greatest(F.lit(0), F.floor(F.octet_length(wide) / 4).cast("int") - last)
+        rest = F.greatest(F.lit(0), _wide_length(wide) - last)
         return F.concat(F.array_join(pieces, ""), cut(last, rest))
 
     return let(F.encode(text, "UTF-32"), joined)

@@ -1,8 +1,12 @@
 import hashlib
+import random
+import time
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions.spans import running
 from sieveline.operators import vault
 from sieveline.operators.decide import decide, redact, splice
 from sieveline.operators.scan import scan
@@ -106,3 +110,45 @@ def test_blocked_rows_and_hashed_storage(spark, tmp_path):
     assert vault.values(df).count() == 0
     vault.append(scan(spark.createDataFrame([("a",)], "text string"), rules), str(tmp_path / "v"), store="hash")
     assert vault.read(spark, str(tmp_path / "v")).first().original == short("a")
+
+
+def turn_by_turn(text, found):
+    for _, _, start, end, by in sorted((-s, i, s, e, b) for i, (s, e, b) in enumerate(found)):
+        text = text[:start] + by + text[end:]
+    return text
+
+
+def test_overlapping_spans_equal_the_fold(spark):
+    r = random.Random(4)
+    rows = []
+    for n in range(500):
+        text = "".join(r.choice("abcdeé😀﻿") for _ in range(r.randint(0, 30)))
+        found = []
+        for _ in range(r.randint(1, 12)):
+            start = r.randint(0, len(text))
+            found.append((start, min(start + r.randint(1, 9), len(text) + r.choice([0, 0, 0, 5])), r.choice(["", "X", "YYYY", "😀Z", "Q" * 12])))
+        if r.random() < 0.2:
+            found.append((0, r.randint(0, 40), "P"))  # a path's match, longer than the text
+        rows.append((n, text, [f for f in found if f[0] <= f[1]] or [(0, 0, "")]))
+    df = spark.createDataFrame(rows, "id int, text string, found array<struct<start:int,end:int,by:string>>").repartition(4)
+    made = {x.id: (x.out, x.text, x.found) for x in df.withColumn("out", splice(F.col("text"), F.col("found"), lambda m: m["by"])).collect()}
+    for out, text, found in made.values():
+        assert out == turn_by_turn(text, found), (text, found)
+
+
+def test_many_overlapping_spans_take_seconds(spark):
+    n = 20_000
+    spans = f"transform(sequence(0, {n - 1}), i -> struct(i * 3 AS start, i * 3 + 5 AS end, concat('<', i, '>') AS by))"
+    df = spark.sql(f"SELECT repeat('abc', {n}) AS text, {spans} AS found")
+    splice_of = lambda text, found: splice(text, found, lambda m: m["by"])
+    began = time.time()
+    made = df.select("text", "found", splice_of(F.col("text"), F.col("found")).alias("out")).first()
+    assert time.time() - began < 15
+    assert made.out == turn_by_turn(made.text, made.found)
+
+
+def test_running(spark):
+    values = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]
+    df = spark.createDataFrame([(values[:n],) for n in range(len(values) + 1)], "v array<int>")
+    for made in df.select("v", running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("most"), running(F.col("v"), lambda a, b: a + b).alias("sum")).collect():
+        assert made["most"] == list(accumulate(made.v, max)) and made["sum"] == list(accumulate(made.v))

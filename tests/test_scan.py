@@ -89,7 +89,7 @@ def test_no_pattern_ends_the_stack_on_a_long_match(spark):
 
 
 def test_what_a_match_needs():
-    wants = {r"[a-z]+@x\.com": "x.com", r"(?i)abc": "", r"a|b": "", r"(token)=?": "token", r"(?:ab)*c": "c", r"(?:abc)+c": "abc", "License": "License"}
+    wants = {r"[a-z]+@x\.com": "@x.com", r"(?i)abc": "", r"a|b": "", r"(token)=?": "token", r"(?:ab)*c": "c", r"(?:abc)+c": "abc", "License": "License"}
     assert {p: dialect.needed(p) for p in wants} == wants
 
 
