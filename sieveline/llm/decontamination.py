@@ -46,8 +46,9 @@ def _run_hashes(hashes: Column, length: int) -> Column:
 
 
 def _kept(runs: Column) -> Column:
-    """The smallest of every ``WINDOW`` consecutive run hashes."""
-    least = lambda i: F.least(*(runs[i + F.lit(k - 1)] for k in range(WINDOW)))
+    """The smallest of every ``WINDOW`` consecutive run hashes, with its 1-based place, the first of equal ones."""
+    run = lambda i: F.struct(runs[i - F.lit(1)].alias("hash"), i.alias("at"))
+    least = lambda i: F.least(*(run(i + F.lit(k)) for k in range(WINDOW)))
     return F.array_distinct(F.transform(_starts(F.size(runs), WINDOW), least))
 
 
@@ -56,22 +57,21 @@ def _word_hashes(found: Column) -> Column:
 
 
 def _fingerprints(found: Column, short: list[int]) -> Column:
-    """``array<struct<kind, hash>>``: kept hashes have kind 0, whole runs of a short length that length."""
+    """``array<struct<kind, hash, at>>``: kept hashes have kind 0 and their place, whole runs of a short length that length and no place."""
 
     def of(hashes: Column) -> Column:
-        tagged = lambda kind, array: F.transform(array, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hash")))
-        kept = tagged(0, _let(_run_hashes(hashes, GRAM), _kept))
-        return F.concat(kept, *(tagged(n, F.array_distinct(_run_hashes(hashes, n))) for n in short))
+        kept = F.transform(_let(_run_hashes(hashes, GRAM), _kept), lambda x: F.struct(F.lit(0).alias("kind"), x["hash"].alias("hash"), x["at"].alias("at")))
+        whole = lambda n: F.transform(F.array_distinct(_run_hashes(hashes, n)), lambda h: F.struct(F.lit(n).alias("kind"), h.alias("hash"), F.lit(0).alias("at")))
+        return F.concat(kept, *map(whole, short))
 
     return _let(_word_hashes(found), of)
 
 
 def _places(hashes: Column, n_words: Column, hits: Column, short: list[int]) -> Column:
-    """``array<struct<start, length>>``: spans of the document that may be a benchmark window."""
+    """``array<struct<start, length>>``: spans of the document that may be a benchmark window, around the places of long hits and where a short item's run is."""
 
-    def long_spans(runs: Column) -> Column:
-        hit = F.filter(F.sequence(F.lit(1), F.size(runs)), lambda p: F.array_contains(hits["h0"], runs[p - F.lit(1)]))
-        around = F.transform(hit, lambda p: F.sequence(F.greatest(F.lit(1), p - F.lit(SPAN - GRAM)), F.least(p, n_words - F.lit(SPAN - 1))))
+    def long_spans() -> Column:
+        around = F.transform(hits["h0"], lambda p: F.sequence(F.greatest(F.lit(1), p - F.lit(SPAN - GRAM)), F.least(p, n_words - F.lit(SPAN - 1))))
         return F.transform(F.array_distinct(F.flatten(around)), lambda s: F.struct(s.alias("start"), F.lit(SPAN).alias("length")))
 
     def short_spans(n: int) -> Column:
@@ -79,7 +79,7 @@ def _places(hashes: Column, n_words: Column, hits: Column, short: list[int]) ->
         return F.transform(_let(_run_hashes(hashes, n), at), lambda s: F.struct(s.alias("start"), F.lit(n).alias("length")))
 
     none = F.array().cast("array<struct<start:int,length:int>>")
-    first = F.when((n_words >= SPAN) & (F.size(hits["h0"]) > 0), _let(_run_hashes(hashes, GRAM), long_spans)).otherwise(none)
+    first = F.when((n_words >= SPAN) & (F.size(hits["h0"]) > 0), long_spans()).otherwise(none)
     return F.concat(first, *(F.when((n_words >= n) & (F.size(hits[f"h{n}"]) > 0), short_spans(n)).otherwise(none) for n in short))
 
 
@@ -101,7 +101,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     fewer words, but any, is one window. A document word inside an occurrence
     of a window is hit. Null and empty texts have no words, on either side. A
     null item id counts as an item called "". Repeated rows each get their
-    figures; items that share a window all count. Empty tables are allowed.
+    figures; items that share a window all count. Empty tables are allowed,
+    texts of any length are read whole, other columns are left out, whatever
+    their names.
     """
     return _judged(docs, benchmark, id_column, text_column).drop("key")
 
@@ -124,8 +126,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column:
     prints = prints.where(((F.col("n") >= SPAN) & (F.col("kind") == 0)) | ((F.col("n") < SPAN) & (F.col("kind") == F.col("n")))).select("kind", "hash").distinct()
     prints = broadcast_if_small(materialize(prints, "prints"), BROADCAST_ROWS)
 
-    exploded = source.select("doc_id", "key", words(F.col("text")).alias("words")).select("doc_id", "key", F.explode(_fingerprints(F.col("words"), short)).alias("p")).select("doc_id", "key", "p.kind", "p.hash")
-    hit = exploded.join(prints, ["kind", "hash"]).groupBy("doc_id", "key").agg(*(F.collect_set(F.when(F.col("kind") == n, F.col("hash"))).alias(f"h{n}") for n in [0, *short]))
+    exploded = source.select("doc_id", "key", words(F.col("text")).alias("words")).select("doc_id", "key", F.explode(_fingerprints(F.col("words"), short)).alias("p")).select("doc_id", "key", "p.kind", "p.hash", "p.at")
+    hit = exploded.join(prints, ["kind", "hash"]).groupBy("doc_id", "key").agg(F.collect_set(F.when(F.col("kind") == 0, F.col("at"))).alias("h0"), *(F.collect_set(F.when(F.col("kind") == n, F.col("hash"))).alias(f"h{n}") for n in short))
     hit = materialize(hit, "hits")
 
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
@@ -153,7 +155,12 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all their columns, but for those whose text is contaminated."""
+    """The rows of ``docs`` with all their columns, but for those whose text is contaminated; see :func:`contamination`.
+
+    Null and empty texts stay, and so does a row that only shares its id with
+    a contaminated one; repeated rows stay or go together. An empty table
+    stays empty and an empty benchmark removes nothing.
+    """
     bad = _judged(docs, benchmark, id_column, text_column).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     bad = broadcast_if_small(materialize(bad, "contaminated"), BROADCAST_ROWS)
     key = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))

@@ -17,6 +17,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let, placed, running
+from ..operators.decide import splice
 from .common import broadcast_if_small, materialize, text_or_empty, unused
 
 #: Documents whose ids meet in one bucket of the index, about.
@@ -134,17 +136,10 @@ def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, list])
 
 def _spans(text: Column, rule: SecretRule, rank: int) -> Column:
     """``array<struct<start, rank, end>>`` of a rule's matches that count, in code points."""
-    pattern = F.lit(rule.pattern)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("found"))
-    pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece["gap"])
-        end = start + F.coalesce(F.length(piece["hit"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(piece["part"]) >= rule.least, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(pieces, state, step, lambda acc: acc["found"])
+    hits, parts = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(n)) for n in (0, rule.group))
+    pieces = let(hits, lambda h: F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(h)).alias("gap"), h.alias("hit")))
+    counts = F.filter(F.arrays_zip(let(pieces, placed).alias("span"), parts.alias("part")), lambda x: F.length(x["part"]) >= rule.least)
+    return F.transform(counts, lambda x: F.struct(x["span"]["start"].alias("start"), F.lit(rank).alias("rank"), x["span"]["end"].alias("end")))
 
 
 def _with_spans(docs: DataFrame, rules, id_column: str, text_column: str, out: str) -> DataFrame:
@@ -176,7 +171,10 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
     ``rank`` is the rule's place in ``rules``, offsets are code points with an
     exclusive end, matches of one rule don't overlap. A null text is an empty
     one. Rows without an id aren't in the index and meet every rule. Repeated
-    ids share their candidates. An empty table gives an empty result.
+    ids share their candidates. Texts of any length are read whole, in time in
+    proportion to it, or nearly so, however many secrets they hold. An empty
+    table gives an empty result; other columns are left out, whatever their
+    names.
     """
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_or_empty(text_column).alias("text"))
     return _with_spans(source, rules, "doc_id", "text", "spans")
@@ -195,6 +193,17 @@ def scan_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined_spans(base, RULES), 256).alias("base_sha256"), _joined_spans(F.col("spans"), RULES).alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans with those that overlap put together."""
+
+    def of(reach: Column) -> Column:
+        ends = lambda i: F.get(reach, i - 1)
+        heads = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), ((i == 0) | (s["start"] >= ends(i))).alias("new"))), lambda h: h["new"])
+        return let(heads, lambda hs: F.transform(hs, lambda h, k: F.struct(h["start"].alias("start"), ends(F.coalesce(F.get(hs, k + 1)["i"], F.size(reach))).alias("end"))))
+
+    return let(running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), of)
+
+
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules=RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with every secret's span replaced by ``mask``; overlapping spans become one.
 
@@ -202,14 +211,8 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules=RULES, id_column
     empty table empty. Texts of any length are read whole.
     """
     (spans,) = unused(docs, "spans")
-    text, state = F.col(text_column), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, span: Column) -> Column:
-        gap = F.when(span["start"] > acc["at"], F.substring(text, acc["at"] + 1, span["start"] - acc["at"])).otherwise("")
-        more = F.when(span["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), more.alias("out"))
-
-    masked = F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    text = F.col(text_column)
+    masked = let(_merged(F.col(spans)), lambda apart: splice(text, apart, lambda span: F.lit(mask)))
     found = _with_spans(docs, rules, id_column, text_column, spans)
     return found.select(*(F.when(F.size(spans) > 0, masked).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns))
 

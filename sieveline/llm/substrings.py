@@ -71,7 +71,8 @@ _CHUNKS = "doc_id bigint, key bigint, place bigint, size bigint, digest bigint"
 def chunks(docs: DataFrame) -> DataFrame:
     """Every chunk of ``docs (doc_id, key, text as bytes)``.
 
-    ``place`` is its number and its first byte, ``size`` its bytes and the
+    A null id becomes zero, and its ``place`` is turned into a negative number
+    by flipping all bits. ``place`` is its number and its first byte, ``size`` its bytes and the
     words that end in it, 32 bits each. ``size`` is negative if further up in
     the text there is a chunk like it.
     """
@@ -93,9 +94,10 @@ def chunks(docs: DataFrame) -> DataFrame:
             parts, ids, keys, n = [], [], [], 0
             for doc_id, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if data := value.as_py():
-                    parts.append(of(data))
-                    ids.append(np.full(len(parts[-1][0]), doc_id, np.int64))
-                    keys.append(np.full(len(parts[-1][0]), key, np.int64))
+                    place, size, digest = of(data)
+                    parts.append((~place if doc_id is None else place, size, digest))
+                    ids.append(np.full(len(place), doc_id or 0, np.int64))
+                    keys.append(np.full(len(place), key, np.int64))
                     n += len(ids[-1])
                 if n > 200_000:
                     yield table(ids, keys, parts)
@@ -140,8 +142,9 @@ def _repeated_runs(parts: dict, min_words: int) -> tuple[list, list, list]:
                 continue
             runs.append({"start": int(start[of[0]]), "end": int(end[of[-1]]), "words": total})
             if not found:
+                of = of[~parts["nobody"][of]]
                 others, which = np.unique(parts["other"][of], return_inverse=True)
-                large = np.bincount(which, words[of]) >= MIN_HELD
+                large = np.bincount(which, words[of], len(others)) >= MIN_HELD
                 holders += (others[large] if large.any() else others).tolist()
         found.append(runs)
     return *found, sorted(set(holders))
@@ -161,29 +164,30 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_i
     rows with the same id apart; such rows are one document. Rows without an
     id come last. Null and empty texts have no chunks.
     """
-    last = F.lit((1 << 63) - 1)
-    source = _source(docs, id_column, text_column).select(F.coalesce("doc_id", last).alias("doc_id"), "key", "bytes")
-    made = materialize(chunks(source), "chunks")
-    several = made.groupBy("digest").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("last"), F.min("size").alias("size")).where("other < last OR size < 0").select("digest", "other")
+    made = materialize(chunks(_source(docs, id_column, text_column).select("doc_id", "key", "bytes")), "chunks")
+    holder = F.struct((F.col("place") < 0).alias("none"), "doc_id")
+    several = made.groupBy("digest").agg(F.min(holder).alias("other"), F.max(holder).alias("last"), F.min("size").alias("size")).where("other < last OR size < 0").select("digest", "other")
     # written first, so that the join reads two plain shuffles and a hot chunk's rows can be split
     hit = made.join(materialize(several, "several"), "digest")
-    hit = hit.select("doc_id", "key", "place", F.abs("size").alias("size"), ((F.col("size") < 0) | (F.col("doc_id") > F.col("other"))).alias("repeated"), "other")
-    by_text = hit.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("place", "size", "repeated", "other"))).alias("parts"))
+    none = F.col("place") < 0
+    place = F.when(none, F.bitwise_not("place")).otherwise(F.col("place"))
+    hit = hit.select("doc_id", "key", none.alias("none"), place.alias("place"), F.abs("size").alias("size"), ((F.col("size") < 0) | (holder > F.col("other"))).alias("repeated"), F.col("other.none").alias("nobody"), F.col("other.doc_id").alias("other"))
+    by_text = hit.groupBy("doc_id", "key", "none").agg(F.array_sort(F.collect_set(F.struct("place", "size", "repeated", "nobody", "other"))).alias("parts"))
 
     def runs(batches):
         for batch in batches:
             lists = batch.column("parts")
-            flat = {name: lists.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("place", "size", "repeated", "other")}
+            flat = {name: lists.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("place", "size", "repeated", "nobody", "other")}
             ends = np.cumsum(np.append(0, lists.value_lengths().to_numpy()))
             rows = []
             for at in range(batch.num_rows):
                 removed, shared, linked = _repeated_runs({name: x[ends[at] : ends[at + 1]] for name, x in flat.items()}, min_words)
                 if shared:
-                    rows.append({"doc_id": batch.column("doc_id")[at].as_py(), "key": batch.column("key")[at].as_py(), "removed": removed, "shared": shared, "linked": linked})
+                    rows.append({"doc_id": None if batch.column("none")[at].as_py() else batch.column("doc_id")[at].as_py(), "key": batch.column("key")[at].as_py(), "removed": removed, "shared": shared, "linked": linked})
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("removed", span), ("shared", span), ("linked", pa.list_(pa.int64()))]))
 
-    return by_text.mapInArrow(runs, _RUNS).withColumn("doc_id", F.nullif("doc_id", last))
+    return by_text.mapInArrow(runs, _RUNS)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
