@@ -47,9 +47,16 @@ def _run_hashes(hashes: Column, length: int) -> Column:
 
 def _kept(runs: Column) -> Column:
     """The smallest of every ``WINDOW`` consecutive run hashes, with its 1-based place, the first of equal ones."""
-    run = lambda i: F.struct(runs[i - F.lit(1)].alias("hash"), i.alias("at"))
-    least = lambda i: F.least(*(run(i + F.lit(k)) for k in range(WINDOW)))
-    return F.array_distinct(F.transform(_starts(F.size(runs), WINDOW), least))
+    least = lambda i: F.least(*(runs[i + F.lit(k - 1)] for k in range(WINDOW)))
+
+    def first(smallest: Column, i: Column) -> Column:
+        at = F.when(runs[i] == smallest, i + F.lit(1))
+        for k in range(1, WINDOW):
+            at = at.when(runs[i + F.lit(k)] == smallest, i + F.lit(k + 1))
+        return at
+
+    # places, not pairs, are made distinct: pairs would be compared each with each
+    return F.transform(F.array_distinct(F.transform(F.transform(_starts(F.size(runs), WINDOW), least), first)), lambda at: F.struct(runs[at - F.lit(1)].alias("hash"), at.alias("at")))
 
 
 def _word_hashes(found: Column) -> Column:
