@@ -141,12 +141,17 @@ def _longest(nodes) -> str:
             continue
         found, run = [*found, run], ""
         if kind is op.SUBPATTERN:
-            found.append(_longest(value[-1]))
+            found.append("" if value[1] & re.IGNORECASE else _longest(value[-1]))
         elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0]:
             found.append(_longest(value[2]))
     return max([*found, run], key=len)
 
 
+def matches_nothing(pattern: str) -> bool:
+    """Whether a Python pattern can match an empty text."""
+    return _parser.parse(pattern).getwidth()[0] == 0
+
+
 def needed(pattern: str) -> str:
     """A text that every match of a Python pattern holds; empty if none is known."""
     parsed = _parser.parse(pattern)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import pseudonyms
 from .operators import paths, vault
+from .operators.catalogue import scan_catalogue
 from .operators.decide import decide, redact
 from .operators.scan import hashed_hits, matches, scan
 from .plans import check as checks
@@ -76,6 +77,24 @@ def literal_hits(spark, sf_dir):
     return df.where(F.size("matches") > 0).select("doc_id", F.size("matches").cast("bigint").alias("n"))
 
 
+def _benchmark_words(spark, sf_dir) -> DataFrame:
+    """The words of five letters and more of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null")
+    return items.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("word")).distinct()
+
+
+def _word_rules(spark, sf_dir) -> list[Rule]:
+    """Two rules for each of the benchmark's words: the word, and longer words that begin with it."""
+    words = [word for (word,) in _benchmark_words(spark, sf_dir).orderBy("word").collect()]
+    return [Rule(f"is-{w}", w, is_regex=False, action="warn") for w in words] + [Rule(f"begins-{w}", f"{w}[a-z]+", action="warn") for w in words]
+
+
+def catalogue_counts(spark, sf_dir):
+    """Matches of thousands of rules, drawn from the words of one table, in the texts of another."""
+    found = matches(scan_catalogue(_docs(spark, sf_dir), _word_rules(spark, sf_dir)), ["doc_id"])
+    return found.groupBy("rule_id").agg(F.count("*").alias("n_matches"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 def hashed_secret_hits(spark, sf_dir):
     df = scan(_docs(spark, sf_dir), [catalog.hashed_rule(s, s, hash_extractor=SECRET_WORD) for s in SECRETS])
     return matches(df, ["doc_id"]).groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"), F.min("start").cast("bigint").alias("first_at"))
@@ -407,6 +426,11 @@ SELECT rule_id, original, replacement, true AS same FROM vault SEMI JOIN pv USIN
     "match_counts_by_rule": f"{_MATCHES} SELECT rule_id, count(*) AS n_matches, count(DISTINCT doc_id) AS n_docs FROM ms GROUP BY rule_id",
     "match_spans": f"{_MATCHES} SELECT doc_id, rule_id, span_start, span_end, found FROM ms",
     "literal_hits": "SELECT doc_id, (len(string_split(text, 'License, Version 2.0.')) - 1)::BIGINT AS n FROM documents WHERE contains(text, 'License, Version 2.0.')",
+    "catalogue_counts": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS word FROM benchmark),
+pairs AS (SELECT doc_id, text, word FROM documents JOIN w ON contains(text, word)),
+found AS (SELECT doc_id, 'is-' || word AS rule_id, (length(text) - length(replace(text, word, ''))) / length(word) AS n FROM pairs
+UNION ALL SELECT doc_id, 'begins-' || word, len(regexp_extract_all(text, word || '[a-z]+')) FROM pairs)
+SELECT rule_id, sum(n)::BIGINT AS n_matches, count(DISTINCT doc_id) AS n_docs FROM found WHERE n > 0 GROUP BY rule_id""",
     "hashed_secret_hits": f"{_HASHED} SELECT doc_id, rule_id, count(*) AS n, min(place) AS first_at FROM w JOIN h ON sha256(found) = digest GROUP BY doc_id, rule_id",
     "hashed_secret_join": f"{_HASHED} SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w JOIN h ON sha256(found) = digest GROUP BY rule_id",
     **{name: _redaction_sql(*args) for name, args in _REDACTIONS.items()},
@@ -438,7 +462,7 @@ UNION ALL SELECT ord, name || ': invalid target ''' || target || ''' (must be: b
 
 QUERIES = [
     match_counts_by_rule, match_spans, literal_hits, hashed_secret_hits, hashed_secret_join, redact_pack, residual_after_redaction, column_pseudonyms,
-    block_warn_redact_decision, reasons_text, target_tool_filter, file_check_summary, file_check_messages, rule_merge_override, rule_validation_errors,
+    catalogue_counts, block_warn_redact_decision, reasons_text, target_tool_filter, file_check_summary, file_check_messages, rule_merge_override, rule_validation_errors,
     path_glob_match, combined_path_content, shell_paths, event_field_extraction, event_decisions, event_tool_decisions, event_sticky_decisions, hashed_rule_list, event_json_scan, mapping_build, mapping_sticky,
     mapping_consistency_across_tables, top_secrets, exposure_by_language, exposure_by_label,
 ]
