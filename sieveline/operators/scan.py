@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ MATCH = "struct<ord:int,rule_id:string,action:string,reason:string,replacement:s
 NONE = f"array<{MATCH}>"
 #: Hashed rules (some 100 bytes each) up to which a join sends them to all executors.
 BROADCAST_RULES = 100_000
+#: Digests up to which they are part of a plan, and up to which eight bytes of each are sent to all executors.
+FEW_DIGESTS, MOST_DIGESTS = 1_000, 8_000_000
 
 
 def no_matches() -> Column:
@@ -145,15 +149,41 @@ def matches(df: DataFrame, columns: list[str], out: str = "matches") -> DataFram
     return df.select(*columns, F.posexplode(out).alias("mord", "match")).select(*columns, "mord", "match.*")
 
 
-def hashed_hits(df: DataFrame, rules: DataFrame, extractor: str, columns: list[str], text_column: str = "text") -> DataFrame:
-    """Rows for the segments whose digest is in a table of hashed rules, as a join.
+def _known_digests(known: DataFrame, text: Column, extractor: str) -> Column:
+    """The distinct segments of a text whose digest may be in ``known (segment_hash)``, by the digests' first 15 digits."""
+    prefix = F.conv(F.substring("segment_hash", 1, 15), 16, 10).cast("bigint")
+    sent = known.sparkSession.sparkContext.broadcast(np.unique(known.select(prefix.alias("p")).distinct().toArrow()["p"].to_numpy()))
 
-    For catalogs with very many secrets: all segments are hashed once and
-    joined to ``rules (rule_id, pattern)`` on the digest. Up to
-    ``BROADCAST_RULES`` rules are sent to all executors, more are shuffled
-    together with the segments.
+    @F.arrow_udf("array<string>")
+    def among(segments: pa.Array, prefixes: pa.Array) -> pa.Array:
+        flat = prefixes.flatten().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(sent.value, flat)
+        kept = sent.value[np.minimum(at, len(sent.value) - 1)] == flat if len(sent.value) else np.zeros(len(flat), bool)
+        sizes = prefixes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), segments.flatten().filter(pa.array(kept)))
+
+    none = F.array().cast("array<string>")
+    segments = F.coalesce(F.array_distinct(F.regexp_extract_all(text, F.lit(dialect.to_java(extractor)), F.lit(0))), none)
+    return among(segments, F.transform(segments, lambda x: F.conv(F.substring(digest(x), 1, 15), 16, 10).cast("bigint")))
+
+
+def hashed_hits(df: DataFrame, rules: DataFrame, extractor: str, columns: list[str], text_column: str = "text", few: int = FEW_DIGESTS, most: int = MOST_DIGESTS) -> DataFrame:
+    """Rows for the segments whose digest is in a table of hashed rules: ``columns``, the span, ``segment_hash`` and ``rule_id``.
+
+    Segments are looked for in the row first, and only those that may be known
+    are placed in their text and joined to ``rules (rule_id, pattern)``: up to
+    ``few`` digests are part of the plan; up to ``most``, eight bytes of each
+    are sent to all executors; of more, all segments are joined. Up to
+    ``BROADCAST_RULES`` rules are sent to all executors for the join.
     """
-    segments = df.select(*columns, F.explode(pattern_spans(F.col(text_column), extractor)).alias("s")).select(*columns, "s.*", digest(F.col("s.text")).alias("segment_hash"))
     known = rules.where("hashed").where(F.col("hash_extractor") == extractor).select("rule_id", F.col("pattern").alias("segment_hash"))
-    small = known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    return segments.join(F.broadcast(known) if small else known, "segment_hash")
+    n, text = known.count(), F.col(text_column)
+    kept, keep = unused(df, "kept"), None
+    if n <= few:
+        keep = _digest_among([x for (x,) in known.select("segment_hash").distinct().collect()])
+    elif n <= most and dialect.to_java(extractor):
+        df = once(df, kept, _known_digests(known, text, extractor)).where(F.size(kept) > 0)
+        keep = lambda segment: F.array_contains(F.col(kept), segment)
+    segments = df.select(*columns, F.explode(pattern_spans(text, extractor, keep)).alias("s")).select(*columns, "s.*", digest(F.col("s.text")).alias("segment_hash"))
+    return segments.join(F.broadcast(known) if n <= BROADCAST_RULES else known, "segment_hash")

@@ -105,6 +105,14 @@ def hashed_secret_join(spark, sf_dir):
     return hashed_hits(_docs(spark, sf_dir), rules, SECRET_WORD, ["doc_id"]).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+def hashed_words_join(spark, sf_dir):
+    """As many digests as the benchmark has words, looked for in all documents."""
+    words = _benchmark_words(spark, sf_dir)
+    rules = words.select(F.col("word").alias("rule_id"), F.sha2("word", 256).alias("pattern"), F.lit(True).alias("hashed"), F.lit(SECRET_WORD).alias("hash_extractor"))
+    found = hashed_hits(_docs(spark, sf_dir), rules, SECRET_WORD, ["doc_id"], few=0)
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.min("start").cast("bigint").alias("first_at"))
+
+
 _HASHED = f"""WITH w AS (SELECT doc_id, m[i] AS found, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS place
 FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{SECRET_WORD}') AS m, string_split_regex(text, '{SECRET_WORD}') AS g FROM documents
 WHERE {" OR ".join(f"contains(text, {_q(s)})" for s in SECRETS)})))
@@ -432,6 +440,10 @@ found AS (SELECT doc_id, 'is-' || word AS rule_id, (length(text) - length(replac
 UNION ALL SELECT doc_id, 'begins-' || word, len(regexp_extract_all(text, word || '[a-z]+')) FROM pairs)
 SELECT rule_id, sum(n)::BIGINT AS n_matches, count(DISTINCT doc_id) AS n_docs FROM found WHERE n > 0 GROUP BY rule_id""",
     "hashed_secret_hits": f"{_HASHED} SELECT doc_id, rule_id, count(*) AS n, min(place) AS first_at FROM w JOIN h ON sha256(found) = digest GROUP BY doc_id, rule_id",
+    "hashed_words_join": f"""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{5,}}')) AS word FROM benchmark),
+w AS (SELECT m[i] AS found, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS place
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT regexp_extract_all(text, '{SECRET_WORD}') AS m, string_split_regex(text, '{SECRET_WORD}') AS g FROM documents WHERE len(list_intersect(regexp_extract_all(text, '{SECRET_WORD}'), (SELECT list(word) FROM b))) > 0)) WHERE m[i] IN (SELECT word FROM b))
+SELECT found AS rule_id, count(*) AS n, min(place) AS first_at FROM w GROUP BY found""",
     "hashed_secret_join": f"{_HASHED} SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w JOIN h ON sha256(found) = digest GROUP BY rule_id",
     **{name: _redaction_sql(*args) for name, args in _REDACTIONS.items()},
     "residual_after_redaction": f"SELECT 0::BIGINT AS n_left, count(*) FILTER (regexp_matches(text, {_q(CARD)}) OR regexp_matches(text, {_q(IPV4)})) AS n_rewritten FROM documents",
@@ -462,7 +474,7 @@ UNION ALL SELECT ord, name || ': invalid target ''' || target || ''' (must be: b
 
 QUERIES = [
     match_counts_by_rule, match_spans, literal_hits, hashed_secret_hits, hashed_secret_join, redact_pack, residual_after_redaction, column_pseudonyms,
-    catalogue_counts, block_warn_redact_decision, reasons_text, target_tool_filter, file_check_summary, file_check_messages, rule_merge_override, rule_validation_errors,
+    catalogue_counts, hashed_words_join, block_warn_redact_decision, reasons_text, target_tool_filter, file_check_summary, file_check_messages, rule_merge_override, rule_validation_errors,
     path_glob_match, combined_path_content, shell_paths, event_field_extraction, event_decisions, event_tool_decisions, event_sticky_decisions, hashed_rule_list, event_json_scan, mapping_build, mapping_sticky,
     mapping_consistency_across_tables, top_secrets, exposure_by_language, exposure_by_label,
 ]

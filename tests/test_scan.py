@@ -99,3 +99,14 @@ def test_each_rule_is_evaluated_once(spark):
     for out in (redact(df, rules).where("decision = 'redact'"), decide(scan(df, rules)).where("decision <> 'allow'").select("decision", "redacted_text")):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all") == plan.count("RLIKE") == len(rules)
+
+
+@pytest.mark.parametrize(("few", "most"), [(1_000, 10**6), (0, 10**6), (0, 0)])
+def test_hashed_hits_are_the_same_by_any_way(spark, few, most):
+    words = [f"w{n}x" for n in range(0, 3_000, 3)]
+    rules = to_frame(spark, [hashed_rule(w, w, hash_extractor=r"\w+") for w in words] + [hashed_rule("w5x", "other", hash_extractor=r"[a-z]+")])
+    rows = [(n, " ".join(f"w{(n * 7 + k) % 4_000}x" for k in range(30))) for n in range(100)] + [(100, None), (101, ""), (102, "w0x w0x")]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    found = hashed_hits(df, rules, r"\w+", ["id"], few=few, most=most).collect()
+    expected = sorted((n, m.start(), m.group()) for n, t in rows for m in re.finditer(r"\w+", t or "") if m.group() in words)
+    assert sorted((x["id"], x["start"], x["rule_id"]) for x in found) == expected
