@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import shlex
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import dialect
 from ..functions.spans import let
@@ -20,24 +17,28 @@ PATH_START, URL = r"^[~/.]", r"(?i)^https?://"
 FALLBACK = r"(?:^|[\s;|&])([~/][^\s;|&]+|\.\.?/[^\s;|&]+)"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _shell_tokens(commands: pd.Series) -> pd.Series:
-    """Tokens by the shell's quoting rules; null for an open quote."""
+#: What a shell word is made of: plain characters, an escaped one, a text in single or in double quotes. Possessive, so that Java goes through it without recursion.
+_PART = r"""[^ \t\r\n'"\\]++|\\.|'[^']*+'|"(?:[^"\\]++|\\.)*+\""""
+_WORD, _WELL_FORMED = f"(?s)(?:{_PART})++", rf"(?s)\A(?:[ \t\r\n]++|{_PART})*+\z"
 
-    def split(command):
-        try:
-            return None if command is None else shlex.split(command)
-        except ValueError:
-            return None
 
-    return commands.map(split)
+def shell_words(command: Column) -> Column:
+    """A command's words by the shell's quoting rules; null for an open quote or a last backslash."""
+
+    def plain(part: Column) -> Column:
+        inner = F.substring(part, F.lit(2), F.length(part) - 2)
+        quoted = F.regexp_replace(inner, r"""\\(["\\])""", "$1")
+        return F.when(part.startswith("'"), inner).when(part.startswith('"'), quoted).when(part.startswith("\\"), F.substring(part, 2, 1)).otherwise(part)
+
+    word = lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(f"(?s){_PART}"), F.lit(0)), plain), "")
+    return F.when(command.rlike(_WELL_FORMED), F.transform(F.regexp_extract_all(command, F.lit(_WORD), F.lit(0)), word))
 
 
 def shell_paths(command: Column) -> Column:
     """The paths that a shell command names, in order: no URLs; with a "/" anywhere or a path's start."""
     java = dialect.to_java(FALLBACK) or FALLBACK
     loose = F.regexp_extract_all(command, F.lit(java), F.lit(1))
-    named = F.filter(F.coalesce(_shell_tokens(command), F.lit(None).cast("array<string>")), lambda t: ~t.rlike(URL) & (t.rlike(PATH_START) | t.contains("/")))
+    named = F.filter(shell_words(command), lambda t: ~t.rlike(URL) & (t.rlike(PATH_START) | t.contains("/")))
     return F.coalesce(named, loose)
 
 

@@ -56,13 +56,14 @@ def resolve(df: DataFrame, vault: DataFrame, matches: str = "matches", store: st
     return found.join(kept, ["rule_id", "stored"], "left").select("rule_id", "original", F.coalesce("kept", "replacement").alias("replacement"))
 
 
-def with_known(df: DataFrame, vault: DataFrame, matches: str = "matches", store: str = "plain", out: str = "known") -> DataFrame:
+def with_known(df: DataFrame, vault: DataFrame, matches: str = "matches", store: str = "plain", out: str = "known", cached: list | None = None) -> DataFrame:
     """``df`` with the map that ``decide`` takes, from "rule id, newline, value" to kept replacements; null where a row has none.
 
     Rows with redacting matches are told apart by their values alone, so
     ``df`` needs no key, and rows with the same values share a map. Up to
     ``BROADCAST_MAPS`` maps are sent to all executors and no text is shuffled;
-    with more, rows without values are spread by a salt.
+    with more, rows without values are spread by a salt. The table of maps is
+    cached; it is added to the list ``cached``, for the caller to release.
     """
     redacting = F.filter(matches, lambda m: ~F.coalesce(m["action"].isin("block", "warn"), F.lit(False)))
     pairs = F.array_sort(F.array_distinct(F.transform(redacting, lambda m: F.struct(m["rule_id"].alias("rule_id"), m["text"].alias("original")))))
@@ -72,6 +73,8 @@ def with_known(df: DataFrame, vault: DataFrame, matches: str = "matches", store:
     used = used.select(key, "v.rule_id", "v.original", stored(F.col("v.original"), store).alias("stored"))
     found = used.join(first_values(vault).withColumnRenamed("original", "stored"), ["rule_id", "stored"])
     maps = found.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\n", "rule_id", "original"), "replacement"))).alias(out)).persist()
+    if cached is not None:
+        cached.append(maps)
     if maps.limit(BROADCAST_MAPS + 1).count() <= BROADCAST_MAPS:
         return keyed.join(F.broadcast(maps), key, "left").drop(key)
     spread = F.when(F.size(key) > 0, F.lit(0)).otherwise(F.floor(F.rand() * 4096).cast("int"))

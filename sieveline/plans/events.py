@@ -129,14 +129,15 @@ def _scans(df: DataFrame, rules: list[Rule], project_dir: str | None, home: str
     return df.withColumn("matches", F.coalesce(ordered, no_matches())).drop("__paths", "__both", "__hit", "__content")
 
 
-def decide_events(events: DataFrame, rules: list[Rule], value: str = "value", project_dir: str | None = None, home: str | None = None, vault: DataFrame | None = None, store: str = "plain") -> DataFrame:
+def decide_events(events: DataFrame, rules: list[Rule], value: str = "value", project_dir: str | None = None, home: str | None = None, vault: DataFrame | None = None, store: str = "plain", cached: list | None = None) -> DataFrame:
     """``events`` with ``event_name, tool_name, content, decision, exit_code, response_json, stderr_lines`` and the reasons.
 
     ``decision`` is block, redact, warn, allow or invalid (no JSON; exit code
     1). Only what a tool is about to do can be rewritten; prompts and outputs
     that would need it get a line on stderr. No shuffle: the same plan runs
     over a stream. With a ``vault`` (of a batch's events; ``store`` says how it
-    keeps originals) values that it knows keep the replacements it has.
+    keeps originals) values that it knows keep the replacements it has; tables
+    that are cached for it are added to ``cached``.
     """
     project_dir, home = project_dir or str(Path.cwd()), home or str(Path.home())
     kept = events.columns
@@ -148,7 +149,7 @@ def decide_events(events: DataFrame, rules: list[Rule], value: str = "value", pr
     df, known = _scans(df, rules, project_dir, home), None
     if vault is not None:
         known = unused(df, "known")
-        df = with_known(df, vault, store=store, out=known)
+        df = with_known(df, vault, store=store, out=known, cached=cached)
     df = decide(df, "content", known=known)
     blocks, joined = F.col("block_reasons"), F.array_join("block_reasons", "; ")
     changed = (event == PRE) & F.col("content").isNotNull() & (F.coalesce("redacted_text", F.lit("")) != "") & (F.col("redacted_text") != F.col("content"))

@@ -28,11 +28,13 @@ def write_decisions(events: DataFrame, rules: list[Rule], path: str, checkpoint:
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = vault.read(spark, vault_path) if vault_path else None
-        decided = decide_events(batch, rules, vault=known, store=store, **options).persist()
+        cached: list[DataFrame] = []
+        decided = decide_events(batch, rules, vault=known, store=store, cached=cached, **options).persist()
         decided.drop("matches").write.mode("overwrite").parquet(f"{path}/batch={number}")
         if vault_path:
             vault.append(decided, vault_path, store=store)
-        decided.unpersist()
+        for table in (decided, *cached):
+            table.unpersist()
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

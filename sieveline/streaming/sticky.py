@@ -95,9 +95,11 @@ def write_sticky_decisions(events: DataFrame, rules: list[Rule], path: str, chec
     def each(batch: DataFrame, number: int) -> None:
         held = batch.persist()
         known = held.where("not event").select("rule_id", "original", "replacement")
-        decided = decide_events(held.where("event").select("value"), rules, vault=known, store=store, **options)
+        cached = [held]
+        decided = decide_events(held.where("event").select("value"), rules, vault=known, store=store, cached=cached, **options)
         decided.drop("matches").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        held.unpersist()
+        for table in cached:
+            table.unpersist()
 
     with _keyed_state(spark):
         writer = plain.unionByName(values).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

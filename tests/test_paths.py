@@ -1,8 +1,10 @@
 import os.path
+import random
+import shlex
 
 from pyspark.sql import functions as F
 
-from sieveline.operators.paths import normalize, scan_paths, shell_paths
+from sieveline.operators.paths import normalize, scan_paths, shell_paths, shell_words
 from sieveline.sources.rules import Rule
 
 HOME, PROJECT = "/home/user", "/work/project"
@@ -53,3 +55,24 @@ def test_shell_paths(spark):
     }
     df = spark.createDataFrame(list(enumerate(cases)), "n int, c string").orderBy("n")
     assert [r[0] for r in df.select(shell_paths(F.col("c"))).collect()] == list(cases.values())
+
+
+def test_shell_words_equal_the_standard_library(spark):
+    def split(command):
+        try:
+            return shlex.split(command)
+        except ValueError:
+            return None
+
+    r = random.Random(2)
+    commands = ["".join(r.choice(["a", "/b", " ", "\t", "\n", "\r", "'", '"', "\\", "\\\\", '\\"', "é", "😀", "#", "''", '""', "\x0b", " ", "$1"]) for _ in range(r.randint(0, 14))) for _ in range(3_000)]
+    commands += ["", " ", "cat 'a b' \"c\\\"d\" e\\ f", "x" * 300_000, "'" + "y " * 200_000 + "'", "a\\" * 100_000 + "b", '"' + "\\\\" * 100_000 + '"', "\\"]
+    df = spark.createDataFrame(list(enumerate(commands)), "id int, command string").repartition(4)
+    found = {x.id: x.words for x in df.select("id", shell_words(F.col("command")).alias("words")).collect()}
+    assert found == {n: split(c) for n, c in enumerate(commands)}
+    assert df.select(shell_words(F.lit(None).cast("string")).alias("w")).first().w is None
+
+
+def test_shell_words_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("cat /a 'b/c'",)], "command string").select(shell_paths(F.col("command")).alias("p"))
+    assert df.first().p == ["/a", "b/c"] and "Python" not in df._jdf.queryExecution().executedPlan().toString()
