@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 ACTIONS = ("block", "redact", "warn")
 TARGETS = ("both", "llm", "tool")
 EXTRACTOR = r"\b\w{4,}\b"
+#: Places of a catalog in a table that are numbered together.
+STRETCH = 4096
 RULES_FILE = ".redaction_rules"
 GLOBAL_DIR = ".sieveline"
 
@@ -112,8 +114,13 @@ def merge(*scopes: DataFrame) -> DataFrame:
         placed = rules.withColumn("at", F.struct(F.lit(scope).alias("scope"), F.col("ord").alias("pos")))
         united = placed if united is None else united.unionByName(placed)
     merged = united.groupBy("rule_id").agg(F.max_by(F.struct(*body), "at").alias("body"), F.min("at").alias("first"))
-    order = Window.orderBy("first")  # a row for each rule id
-    return merged.select((F.row_number().over(order) - 1).alias("ord"), "rule_id", "body.*")
+    # places are numbered within stretches, and only the stretches' sizes are added up in one task
+    stretch = F.struct("first.scope", F.floor(F.col("first.pos") / STRETCH).alias("n"))
+    merged = merged.withColumn("stretch", stretch)
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = merged.groupBy("stretch").count().select("stretch", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("stretch").orderBy("first"))
+    return merged.withColumn("within", within).join(starts, "stretch").select((F.col("start") + F.col("within") - 1).cast("int").alias("ord"), "rule_id", "body.*")
 
 
 def hash_text(text: str) -> str:

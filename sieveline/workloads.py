@@ -205,33 +205,43 @@ def file_check_messages(spark, sf_dir):
 
 # --- the catalog -------------------------------------------------------------
 
-_GLOBAL = [Rule("shared", "g"), Rule("global-only", "g", description="kept"), Rule("again", "1")]
-_PROJECT = [Rule("project-only", "p"), Rule("shared", "p", action="warn"), Rule("again", "2")]
+def _table_rules(spark, sf_dir, table: str, **values: str) -> DataFrame:
+    """A catalog with a rule for each row of a table, its columns by SQL, the others null or false."""
+    types = dict(column.split() for column in catalog.SCHEMA.split(", "))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    given = {"is_regex": "true", "hashed": "false", "target": "'both'", **values}
+    return rows.select(*(F.expr(f"cast({given.get(name, 'null')} as {type_})").alias(name) for name, type_ in types.items()))
 
 
 def rule_merge_override(spark, sf_dir):
-    merged = catalog.merge(catalog.to_frame(spark, _GLOBAL), catalog.to_frame(spark, _PROJECT))
+    """A rule for each customer; those of customers in debt are overridden, and suppliers in debt bring new ones."""
+    everyone = _table_rules(spark, sf_dir, "customer", ord="c_custkey", rule_id="c_name", pattern="c_mktsegment", action="'warn'", description="'customer'")
+    debtors = _table_rules(spark, sf_dir, "customer", ord="if(c_acctbal < 0, c_custkey, null)", rule_id="c_name", pattern="c_name", action="'block'", description="'debt'").where("ord is not null")
+    suppliers = _table_rules(spark, sf_dir, "supplier", ord="if(s_acctbal < 0, s_suppkey, null)", rule_id="s_name", pattern="s_name", action="'redact'", description="''").where("ord is not null")
+    merged = catalog.merge(everyone, debtors, suppliers)
     return merged.select("ord", "rule_id", "pattern", "action", "description")
 
 
-def _values_sql(rules: list[Rule], scope: int) -> str:
-    return ", ".join(f"({scope}, {n}, {_q(r.id)}, {_q(r.pattern)}, {_q(r.action)}, {_q(r.description)})" for n, r in enumerate(rules))
-
-
-_FAULTY = [(0, "a", "x", None, "zap", "both"), (1, "a", None, None, "block", "moon"), (2, None, "x", None, "warn", "llm"), (3, "ok", None, "*.env", "block", "both"), (4, "open", "[x", None, "block", "both")]
-
-
 def rule_validation_errors(spark, sf_dir):
-    return catalog.validation_errors(spark.createDataFrame(_FAULTY, "ord int, rule_id string, pattern string, path_pattern string, action string, target string"))
+    """Errors of a catalog with a rule for each customer, many of them faulty."""
+    rules = _table_rules(
+        spark,
+        sf_dir,
+        "customer",
+        ord="c_custkey",
+        rule_id="if(c_custkey % 11 = 0, null, if(c_custkey % 13 = 0, c_mktsegment, c_name))",
+        pattern="if(c_custkey % 7 = 0, null, if(c_custkey % 17 = 0, '[x', c_name))",
+        path_pattern="if(c_custkey % 5 = 0, '*.env', null)",
+        action="if(c_acctbal < 0, 'zap', 'block')",
+        target="if(c_nationkey = 3, 'moon', 'llm')",
+    )
+    return catalog.validation_errors(rules)
 
 
 def hashed_rule_list(spark, sf_dir):
-    """The rules of a catalog that know a secret by its digest."""
-    rules = [catalog.hashed_rule(s, s, description=f"word {s}") for s in SECRETS]
-    return catalog.hashed(catalog.to_frame(spark, [*PACK, *rules])).select("rule_id", "pattern", "description")
-
-
-_FAULTY_SQL = ", ".join("(" + ", ".join("NULL" if x is None else _q(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in _FAULTY)
+    """Of a catalog with a rule for each customer those that know the name by its digest."""
+    rules = _table_rules(spark, sf_dir, "customer", ord="c_custkey", rule_id="c_name", pattern="if(c_nationkey < 9, sha2(c_name, 256), c_name)", hashed="c_nationkey < 9", description="concat('of ', c_mktsegment)")
+    return catalog.hashed(rules).select("rule_id", "pattern", "description")
 
 
 # --- paths -------------------------------------------------------------------
@@ -424,7 +434,7 @@ ORACLES = {
     "redact_pack": f"{_MATCHES} SELECT doc_id, sha256(redacted) AS redacted_sha256 FROM ({_spliced_sql(_BY)})",
     "event_sticky_decisions": f"{_MATCHES} SELECT doc_id, sha256(redacted) AS redacted_sha256 FROM ({_spliced_sql("CASE WHEN rule_id = 'ip' THEN 'old-' || found ELSE " + _BY + " END")})",
     "event_tool_decisions": _TOOLS,
-    "hashed_rule_list": "SELECT s AS rule_id, sha256(s) AS pattern, 'word ' || s AS description FROM (VALUES " + ", ".join(f"({_q(s)})" for s in SECRETS) + ") v(s)",
+    "hashed_rule_list": "SELECT c_name AS rule_id, sha256(c_name) AS pattern, 'of ' || c_mktsegment AS description FROM customer WHERE c_nationkey < 9",
     "shell_paths": f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '~/pages/' || page_id || ' x|' || CASE WHEN contains(path, '/') THEN path || '|' ELSE '' END || '.hidden'
 ELSE '~/a' || page_id || CASE WHEN regexp_matches(path, '^/[^;|&]') THEN '|' || regexp_extract(path, '^[^;|&]+') ELSE '' END || '|../up' END AS paths FROM ({_PATHS})""",
     "mapping_consistency_across_tables": f"""{_VALUES},
@@ -453,8 +463,13 @@ SELECT found AS rule_id, count(*) AS n, min(place) AS first_at FROM w GROUP BY f
     "target_tool_filter": f"SELECT role, id AS rule_id, sum(len(string_split(text, p)) - 1)::BIGINT AS n FROM conversations JOIN (VALUES {_RULE_LIST}) r(ord, id, p, target, tool) ON target IN ('both', CASE WHEN role = 'system' THEN 'tool' ELSE 'llm' END) AND (tool IS NULL OR tool = role) WHERE contains(text, p) GROUP BY role, id",
     "file_check_summary": f"{_MATCHES}, f AS (SELECT source, doc_id, count(action) AS n, bool_or(action = 'block') AS b FROM (SELECT doc_id, source FROM documents) LEFT JOIN (SELECT doc_id, action FROM ms) USING (doc_id) GROUP BY source, doc_id) SELECT source, coalesce(bool_or(b), false) AS blocked, bool_or(n > 0) AS matched, CASE WHEN coalesce(bool_or(b), false) THEN 2 ELSE 0 END AS exit_code, count(*) AS n_files, sum(n)::BIGINT AS n_matches FROM f GROUP BY source",
     "file_check_messages": f"{_MATCHES} SELECT 'doc-' || doc_id AS path, CASE WHEN bool_or(action = 'block') THEN 'doc-' || doc_id || ':' || chr(10) || string_agg('  BLOCKED: ' || reason, chr(10) ORDER BY ord, i) FILTER (action = 'block') ELSE 'doc-' || doc_id || ': ' || count(*) || ' redaction match(es)' END AS report FROM ms GROUP BY doc_id",
-    "rule_merge_override": f"WITH r AS (SELECT * FROM (VALUES {_values_sql(_GLOBAL, 0)}, {_values_sql(_PROJECT, 1)}) v(scope, pos, rule_id, pattern, action, description)) SELECT (row_number() OVER (ORDER BY min((scope, pos))) - 1)::INT AS ord, rule_id, arg_max(pattern, (scope, pos)) AS pattern, arg_max(action, (scope, pos)) AS action, arg_max(description, (scope, pos)) AS description FROM r GROUP BY rule_id",
-    "rule_validation_errors": f"""WITH r AS (SELECT *, coalesce('Rule ''' || rule_id || '''', 'Rule ' || (ord + 1)) AS name, row_number() OVER (PARTITION BY rule_id ORDER BY ord) AS k FROM (VALUES {_FAULTY_SQL}) v(ord, rule_id, pattern, path_pattern, action, target))
+    "rule_merge_override": """WITH r AS (SELECT 0 AS scope, c_custkey AS pos, c_name AS rule_id, c_mktsegment AS pattern, 'warn' AS action, 'customer' AS description FROM customer
+UNION ALL SELECT 1, c_custkey, c_name, c_name, 'block', 'debt' FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 2, s_suppkey, s_name, s_name, 'redact', '' FROM supplier WHERE s_acctbal < 0)
+SELECT (row_number() OVER (ORDER BY min((scope, pos))) - 1)::INT AS ord, rule_id, arg_max(pattern, (scope, pos)) AS pattern, arg_max(action, (scope, pos)) AS action, arg_max(description, (scope, pos)) AS description FROM r GROUP BY rule_id""",
+    "rule_validation_errors": """WITH v AS (SELECT c_custkey::INT AS ord, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN c_mktsegment ELSE c_name END AS rule_id,
+CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN '[x' ELSE c_name END AS pattern, CASE WHEN c_custkey % 5 = 0 THEN '*.env' END AS path_pattern,
+CASE WHEN c_acctbal < 0 THEN 'zap' ELSE 'block' END AS action, CASE WHEN c_nationkey = 3 THEN 'moon' ELSE 'llm' END AS target FROM customer),
+r AS (SELECT *, coalesce('Rule ''' || rule_id || '''', 'Rule ' || (ord + 1)) AS name, row_number() OVER (PARTITION BY rule_id ORDER BY ord) AS k FROM v)
 SELECT ord, name || ': missing required field ''id''' AS error FROM r WHERE rule_id IS NULL UNION ALL SELECT ord, name || ': duplicate id' FROM r WHERE rule_id IS NOT NULL AND k > 1
 UNION ALL SELECT ord, name || ': must have ''pattern'' or ''path_pattern''' FROM r WHERE pattern IS NULL AND path_pattern IS NULL
 UNION ALL SELECT ord, name || ': invalid regex pattern: unterminated character set at position 0' FROM r WHERE pattern LIKE '[%' AND pattern NOT LIKE '%]%'
