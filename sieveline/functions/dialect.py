@@ -166,3 +166,58 @@ def literal(text: str) -> str:
 def glob_to_java(glob: str) -> str:
     """A glob for a whole path: ``*`` and ``?`` also stand for "/", ``[...]`` and ``[!...]`` are classes."""
     return "^" + fnmatch.translate(glob).replace(r"\Z", r"\z")
+
+
+def _holds_newline(kind, value, flags: int) -> bool:
+    """Whether an element that stands for one character can be a line's end."""
+    if kind is op.LITERAL:
+        return value == 10
+    if kind is op.NOT_LITERAL:
+        return value != 10
+    if kind is op.ANY:
+        return bool(flags & re.DOTALL)
+    inside = False
+    for what, member in value:
+        if what is op.LITERAL:
+            inside |= member == 10
+        elif what is op.RANGE:
+            inside |= member[0] <= 10 <= member[1]
+        elif what is op.CATEGORY:
+            inside |= member in (op.CATEGORY_SPACE, op.CATEGORY_NOT_DIGIT, op.CATEGORY_NOT_WORD)
+    return inside != (value[0][0] is op.NEGATE)
+
+
+def _parts(nodes, flags: int):
+    """All elements of a pattern, inner ones too, each with the flags that hold there."""
+    for kind, value in nodes:
+        yield kind, value, flags
+        if kind is op.SUBPATTERN:
+            yield from _parts(value[-1], (flags | value[1]) & ~value[2])
+        elif kind in _REPEATS:
+            yield from _parts(value[2], flags)
+        elif kind is op.BRANCH:
+            for branch in value[1]:
+                yield from _parts(branch, flags)
+        elif kind in (op.ASSERT, op.ASSERT_NOT):
+            yield from _parts(value[1], flags)
+        elif kind is op.ATOMIC_GROUP:
+            yield from _parts(value, flags)
+        elif kind is op.GROUPREF_EXISTS:
+            for branch in value[1:]:
+                yield from _parts(branch or (), flags)
+
+
+_REPEATS = (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT)
+
+
+def within_line(pattern: str) -> bool:
+    """Whether no match of a Python pattern, nor what it looks at around it, can go on beyond a line's end."""
+    parsed = _parser.parse(pattern)
+    return not any(kind in _ONE_CHARACTER and _holds_newline(kind, value, flags) for kind, value, flags in _parts(parsed, parsed.state.flags))
+
+
+def reach(pattern: str) -> int | None:
+    """The most characters that a match of a Python pattern and what it looks at around it can span; None if there is no bound."""
+    parsed = _parser.parse(pattern)
+    widths = [parsed.getwidth()[1]] + [value[1].getwidth()[1] for kind, value, _ in _parts(parsed, 0) if kind in (op.ASSERT, op.ASSERT_NOT)]
+    return None if sum(widths) >= op.MAXREPEAT else sum(widths)
