@@ -11,6 +11,8 @@ from .functions import pseudonyms
 from .operators import paths, vault
 from .operators.catalogue import scan_catalogue
 from .operators.decide import decide, redact
+from .operators.intervals import line_spans, overlapping
+from .operators.path_catalogue import scan_path_catalogue
 from .operators.scan import hashed_hits, matches, scan
 from .plans import check as checks
 from .plans import events as hooks
@@ -72,6 +74,19 @@ _ROWS = " UNION ALL ".join(_rule_rows_sql(rule, n) for n, rule in enumerate(PACK
 _MATCHES = f"WITH ms AS (SELECT *, span_start + length(found) AS span_end FROM ({_ROWS}))"
 
 
+#: Besides the pack, what begins in one line and ends in the next.
+_WRAPPED = Rule("wrapped", "[a-z]+\n[A-Za-z]+", action="warn")
+_LINE_RULES = [*PACK, _WRAPPED]
+
+
+def match_lines(spark, sf_dir):
+    """How many matches of each rule touch each line of a text."""
+    found = matches(scan(_docs(spark, sf_dir), _LINE_RULES), ["doc_id"]).select("doc_id", "rule_id", "start", "end")
+    lines = _docs(spark, sf_dir).select("doc_id", F.explode(line_spans(F.col("text"))).alias("line")).select("doc_id", "line.*")
+    pairs = overlapping(found, lines, ["doc_id"], ("start", "end"), ("line_start", "line_end"), widths=(512,))
+    return pairs.groupBy("doc_id", "line_no", "rule_id").agg(F.count("*").alias("n"))
+
+
 def literal_hits(spark, sf_dir):
     df = scan(_docs(spark, sf_dir), [Rule("lit", "License, Version 2.0.", is_regex=False)])
     return df.where(F.size("matches") > 0).select("doc_id", F.size("matches").cast("bigint").alias("n"))
@@ -258,6 +273,15 @@ def path_glob_match(spark, sf_dir):
     return matches(found, ["page_id"], "path_matches").select("page_id", "rule_id", F.col("text").alias("path"))
 
 
+def path_catalogue_counts(spark, sf_dir):
+    """Pages by the globs that fit their paths: three kinds of glob for each item of the benchmark."""
+    items = [k for (k,) in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id").distinct().orderBy("item_id").collect()]
+    kinds = {"begins": "/en/{}*", "ends": "*/{}.html", "query": "*/{}[?#]*"}
+    rules = [Rule(f"{kind}-{k}", path_pattern=glob.format(k), action="warn") for kind, glob in kinds.items() for k in items]
+    found = scan_path_catalogue(_page_paths(spark, sf_dir).select("page_id", "paths"), rules, "paths", project_dir="/project", home="/home/user")
+    return matches(found, ["page_id"], "path_matches").groupBy("rule_id").agg(F.countDistinct("page_id").alias("n_pages"))
+
+
 def combined_path_content(spark, sf_dir):
     """Rules that need a path's hit and one in the content, by semi-join."""
     rules = [Rule("mail", EMAIL, path_pattern="*1*"), Rule("card", CARD, path_pattern="*2*")]
@@ -443,6 +467,10 @@ pv AS (SELECT DISTINCT rule_id, found AS original FROM pr WHERE action = 'redact
 SELECT rule_id, original, replacement, true AS same FROM vault SEMI JOIN pv USING (rule_id, original)""",
     "match_counts_by_rule": f"{_MATCHES} SELECT rule_id, count(*) AS n_matches, count(DISTINCT doc_id) AS n_docs FROM ms GROUP BY rule_id",
     "match_spans": f"{_MATCHES} SELECT doc_id, rule_id, span_start, span_end, found FROM ms",
+    "match_lines": f"""WITH ms AS (SELECT *, span_start + length(found) AS span_end FROM ({" UNION ALL ".join(_rule_rows_sql(rule, n) for n, rule in enumerate(_LINE_RULES))})),
+l AS (SELECT doc_id, rule_id, left(text, span_start) AS before, left(text, span_end - 1) AS upto FROM ms JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),
+n AS (SELECT doc_id, rule_id, unnest(generate_series(length(before) - length(replace(before, chr(10), '')) + 1, length(upto) - length(replace(upto, chr(10), '')) + 1))::INT AS line_no FROM l)
+SELECT doc_id, line_no, rule_id, count(*) AS n FROM n GROUP BY ALL""",
     "literal_hits": "SELECT doc_id, (len(string_split(text, 'License, Version 2.0.')) - 1)::BIGINT AS n FROM documents WHERE contains(text, 'License, Version 2.0.')",
     "catalogue_counts": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS word FROM benchmark),
 pairs AS (SELECT doc_id, text, word FROM documents JOIN w ON contains(text, word)),
@@ -476,6 +504,10 @@ UNION ALL SELECT ord, name || ': invalid regex pattern: unterminated character s
 UNION ALL SELECT ord, name || ': invalid action ''' || action || ''' (must be: block, redact, warn)' FROM r WHERE action NOT IN ('block', 'redact', 'warn')
 UNION ALL SELECT ord, name || ': invalid target ''' || target || ''' (must be: both, llm, tool)' FROM r WHERE target NOT IN ('both', 'llm', 'tool')""",
     "path_glob_match": f"SELECT page_id, rule_id, path FROM ({_PATHS}), (VALUES ('html', '^.*\\.html$', ''), ('deep', '^/.*/1.*$', ''), ('digit', '^[0-4].*$', '')) g(rule_id, p, x) WHERE regexp_matches(regexp_replace(path, '(.)/+$', '\\1'), p) OR regexp_matches(string_split(regexp_replace(path, '/+$', ''), '/')[-1], p)",
+    "path_catalogue_counts": f"""WITH p AS (SELECT page_id, regexp_replace(path, '(.)/+$', '\\1') AS path FROM ({_PATHS})), k AS (SELECT DISTINCT item_id AS k FROM benchmark),
+f AS (SELECT page_id, 'begins-' || k AS rule_id FROM p JOIN k ON starts_with(path, '/en/' || k) UNION ALL SELECT page_id, 'ends-' || k FROM p JOIN k ON ends_with(path, '/' || k || '.html')
+UNION ALL SELECT page_id, 'query-' || k FROM p JOIN k ON contains(path, '/' || k || '?') OR contains(path, '/' || k || '#'))
+SELECT rule_id, count(DISTINCT page_id) AS n_pages FROM f GROUP BY rule_id""",
     "combined_path_content": f"SELECT page_id, rule_id, len(regexp_extract_all(html, p))::BIGINT AS n FROM ({_PATHS}), (VALUES ('mail', {_q(EMAIL)}, '1'), ('card', {_q(CARD)}, '2')) g(rule_id, p, d) WHERE contains(path, d) AND regexp_matches(html, p)",
     "event_field_extraction": f"WITH {_EVENTS} SELECT doc_id, event_name, tool_name, sha256(content) AS content_sha256 FROM e",
     "event_decisions": f"{_MATCHES}, {_EVENTS} SELECT doc_id, event_name, {_DECISION} AS decision, CASE WHEN bool_or(action = 'block') THEN 2 ELSE 0 END::BIGINT AS exit_code, coalesce(string_agg(reason, '; ' ORDER BY ord, i) FILTER (action = 'block'), '') AS reasons FROM e LEFT JOIN ms USING (doc_id) GROUP BY doc_id, event_name",
@@ -488,9 +520,9 @@ UNION ALL SELECT ord, name || ': invalid target ''' || target || ''' (must be: b
 }
 
 QUERIES = [
-    match_counts_by_rule, match_spans, literal_hits, hashed_secret_hits, hashed_secret_join, redact_pack, residual_after_redaction, column_pseudonyms,
+    match_counts_by_rule, match_spans, match_lines, literal_hits, hashed_secret_hits, hashed_secret_join, redact_pack, residual_after_redaction, column_pseudonyms,
     catalogue_counts, hashed_words_join, block_warn_redact_decision, reasons_text, target_tool_filter, file_check_summary, file_check_messages, rule_merge_override, rule_validation_errors,
-    path_glob_match, combined_path_content, shell_paths, event_field_extraction, event_decisions, event_tool_decisions, event_sticky_decisions, hashed_rule_list, event_json_scan, mapping_build, mapping_sticky,
+    path_glob_match, path_catalogue_counts, combined_path_content, shell_paths, event_field_extraction, event_decisions, event_tool_decisions, event_sticky_decisions, hashed_rule_list, event_json_scan, mapping_build, mapping_sticky,
     mapping_consistency_across_tables, top_secrets, exposure_by_language, exposure_by_label,
 ]
 
