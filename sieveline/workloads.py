@@ -14,6 +14,7 @@ from .operators.decide import decide, redact
 from .operators.intervals import line_spans, overlapping
 from .operators.path_catalogue import scan_path_catalogue
 from .operators.scan import hashed_hits, matches, scan
+from .operators.sketches import every_set, sketched, standard_error, summed
 from .plans import check as checks
 from .plans import events as hooks
 from .sources import rules as catalog
@@ -398,6 +399,19 @@ def top_secrets(spark, sf_dir):
     return by_value.orderBy(F.desc("n"), "rule_id", "value").limit(10)
 
 
+def sketched_values_cube(spark, sf_dir):
+    """Different values by language, source and rule and all sums of them; ``close``: the sketch's count is within five standard errors of the exact one."""
+    by = ["lang", "source", "rule_id"]
+    found = matches(_scanned(spark, sf_dir), ["lang", "source"])
+    sums = summed(sketched(found, by, "text"), by).select(*by, "level", "n", "n_values")
+    exact = found.groupBy(*by, "text").agg(F.count("*").alias("n")).groupingSets(every_set(by), *by).agg(F.grouping_id().cast("int").alias("level"), F.countDistinct("text").alias("exactly"))
+    same = F.lit(True)
+    for name in (*by, "level"):
+        same = same & sums[name].eqNullSafe(exact[name])
+    close = F.abs(F.col("n_values") - F.col("exactly")) <= F.col("exactly") * (5 * standard_error())
+    return sums.join(exact, same).select(*(sums[c] for c in (*by, "level")), F.col("n").alias("n_matches"), F.col("exactly").alias("n_values"), close.alias("close"))
+
+
 def exposure_by_language(spark, sf_dir):
     found = _scanned(spark, sf_dir)
     return found.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum((F.size("matches") > 0).cast("bigint")).alias("n_exposed"), F.sum(F.size("matches")).cast("bigint").alias("n_matches"))
@@ -515,6 +529,7 @@ SELECT rule_id, count(DISTINCT page_id) AS n_pages FROM f GROUP BY rule_id""",
     "mapping_build": f"{_VALUES} SELECT * FROM vault",
     "mapping_sticky": f"{_VALUES} SELECT rule_id, original, CASE WHEN rule_id = 'ip' THEN 'old-' || original ELSE replacement END AS replacement FROM vault",
     "top_secrets": f"{_MATCHES} SELECT rule_id, sha256(found)[1:8] AS value, count(*) AS n FROM ms WHERE action <> 'warn' GROUP BY ALL ORDER BY n DESC, rule_id, value LIMIT 10",
+    "sketched_values_cube": f"{_MATCHES} SELECT lang, source, rule_id, grouping(lang, source, rule_id)::INT AS level, count(*) AS n_matches, count(DISTINCT found) AS n_values, true AS close FROM ms GROUP BY CUBE (lang, source, rule_id)",
     "exposure_by_language": f"{_MATCHES}, n AS (SELECT doc_id, count(*) AS n FROM ms GROUP BY doc_id) SELECT d.lang, count(*) AS n_docs, count(n.n) AS n_exposed, coalesce(sum(n.n), 0)::BIGINT AS n_matches FROM documents d LEFT JOIN n USING (doc_id) GROUP BY d.lang",
     "exposure_by_label": f"{_MATCHES}, n AS (SELECT doc_id, count(*) AS n FROM ms GROUP BY doc_id) SELECT quality, count(*) AS n_docs, coalesce(sum(n.n), 0)::BIGINT AS n_matches FROM documents JOIN labels USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY quality",
 }
@@ -523,7 +538,7 @@ QUERIES = [
     match_counts_by_rule, match_spans, match_lines, literal_hits, hashed_secret_hits, hashed_secret_join, redact_pack, residual_after_redaction, column_pseudonyms,
     catalogue_counts, hashed_words_join, block_warn_redact_decision, reasons_text, target_tool_filter, file_check_summary, file_check_messages, rule_merge_override, rule_validation_errors,
     path_glob_match, path_catalogue_counts, combined_path_content, shell_paths, event_field_extraction, event_decisions, event_tool_decisions, event_sticky_decisions, hashed_rule_list, event_json_scan, mapping_build, mapping_sticky,
-    mapping_consistency_across_tables, top_secrets, exposure_by_language, exposure_by_label,
+    mapping_consistency_across_tables, top_secrets, sketched_values_cube, exposure_by_language, exposure_by_label,
 ]
 
 
