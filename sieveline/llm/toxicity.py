@@ -46,12 +46,8 @@ TOP = 2
 #: A table of features up to this size is sent to all executors.
 BROADCAST_ROWS = 200_000
 
-#: Equal marks in a row that are read, and states that go on from a character.
-RUN, BEAM = 4, 64
-_ANY_LETTER = tuple((n, c, _MASKED) for c, n in _INDEX.items())
 _STANDS = {c: tuple((_INDEX[x], x, _STANDS_FOR) for x in letters) for c, letters in LEET.items()}
 _first = itemgetter(0)
-_MARK_RUN = re.compile(rf"(([\W_])\2{{{RUN - 1}}})\2+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: What gives a disguise away; the whole token around it is then read anew. Cheap to look for, as most texts have none.
 _STAND_IN = re.compile(r"[0-9@$!|+€*]")
@@ -125,55 +121,84 @@ class CharacterModel:
         one = one / one.sum()
         two = counts.sum(0)
         two = (two + 4.0 * one) / (two.sum(1, keepdims=True) + 4.0)
-        self.log = np.log((counts + 4.0 * two[None]) / (counts.sum(2, keepdims=True) + 4.0)).tolist()
-        self._size, self._rows = len(self.log), [row for rows in self.log for row in rows]
-        #: Two readings' further costs differ by the next two letters' at most: one this far behind never wins.
-        self._slack = 2 * -min(min(map(min, x)) for x in self.log)
-
-    def decode(self, seen: str, breaks: bool = False, beam: int | None = None) -> str:
-        """The likeliest word behind ``seen``; with ``breaks`` a separator may also stand between two words, read as a space.
-
-        A run of one mark or separator says no more than its first ``RUN``.
-        The ``beam`` likeliest states go on from a character, which only masks
-        make many; a word is kept as a chain of letters, so the time grows
-        with the length of ``seen``.
+        self._table = np.log((counts + 4.0 * two[None]) / (counts.sum(2, keepdims=True) + 4.0))
+        self._size, self.log = len(self._table), self._table.tolist()
+        self._rows = [row for rows in self.log for row in rows]
+        # What a state may lose to any other by the next two letters, the last that it has a say in; letter 0 ends a word.
+        after_next = (self._table.max(0)[None] - self._table).max(2)
+        after_next[:, 0] = 0.0
+        likeliest = self._table.max((0, 1))
+        likeliest[0] = 0.0
+        self._loss = (likeliest - self._table + after_next[None]).max(2).ravel().tolist()
+        #: More letters for a run of masks cost more than any state may lose by dropping them.
+        self._masks = math.ceil(max(self._loss) / (_DROPPED - _MASKED))
+        self._mask_run = re.compile(rf"\*{{{self._masks + 1},}}")
+
+    def decode(self, seen: str, breaks: bool = False) -> str:
+        """The likeliest word behind ``seen``."""
+        return self.likeliest(seen, breaks)[1]
+
+    def likeliest(self, seen: str, breaks: bool = False) -> tuple[float, str]:
+        """The likeliest reading's log-probability and word; with ``breaks`` a separator may also stand between two words, read as a space.
+
+        No reading is left out: a state goes on unless another one is likelier
+        by more than it may lose to any, and so would win whatever follows. Of
+        a run of masks (``*``) as many are read as can stand for letters in a
+        likeliest reading. A word is kept as a chain of letters, so time and
+        memory grow with the length of ``seen``.
         """
-        beam, size, rows = beam or BEAM, self._size, self._rows
+        size, rows, loss = self._size, self._rows, self._loss
         # last two letters, as one number -> (log-probability, the last letter and the chain before it)
         states, before = {0: (0.0, None)}, ""
-        for c in _MARK_RUN.sub(r"\1", seen):
+        for c in self._mask_run.sub("*" * self._masks, seen):
             index = _INDEX.get(c)
-            if index:
-                stands = ((index, c, _SAME),)
-            elif c == "*":
-                stands = _ANY_LETTER
-            else:
-                stands = _STANDS.get(c, ())
             drop = _DROPPED if c in _SEPARATORS else _REPEATED if c == before else _LOST if index else _NOISE
-            ends, following = breaks and c in _BREAKS, {}
-            known = following.get
-            for key, (p, chain) in states.items():
-                old = known(key)
-                if old is None or old[0] < p + drop:
-                    following[key] = (p + drop, chain)
-                after, behind = rows[key], key % size * size
-                if ends:
-                    q, old = p + _SAME + (after[0] if behind else 0.0), known(0)
-                    if old is None or old[0] < q:
-                        following[0] = (q, (" ", chain))
-                for n, letter, cost in stands:
-                    q, old = p + cost + after[n], known(behind + n)
-                    if old is None or old[0] < q:
-                        following[behind + n] = (q, (letter, chain))
-            least = max(following.values(), key=_first)[0] - self._slack
-            if len(following) > beam:
-                least = max(least, nlargest(beam, (p for p, _ in following.values()))[-1])
-            states, before = {k: v for k, v in following.items() if v[0] >= least}, c
-        chain, letters = max(((p + rows[key][0], chain) for key, (p, chain) in states.items()), key=_first)[1], []
+            if c == "*":
+                following = self._masked(states)
+            else:
+                stands = ((index, c, _SAME),) if index else _STANDS.get(c, ())
+                ends, following = breaks and c in _BREAKS, {}
+                known = following.get
+                for key, (p, chain) in states.items():
+                    old = known(key)
+                    if old is None or old[0] < p + drop:
+                        following[key] = (p + drop, chain)
+                    after, behind = rows[key], key % size * size
+                    if ends:
+                        q, old = p + _SAME + (after[0] if behind else 0.0), known(0)
+                        if old is None or old[0] < q:
+                            following[0] = (q, (" ", chain))
+                    for n, letter, cost in stands:
+                        q, old = p + cost + after[n], known(behind + n)
+                        if old is None or old[0] < q:
+                            following[behind + n] = (q, (letter, chain))
+            states, before = following, c
+            if len(states) > 1:
+                p, best = max((p, key) for key, (p, _) in states.items())
+                least = p - loss[best]
+                states = {k: v for k, v in states.items() if v[0] >= least}
+        (p, chain), letters = max(((p + rows[key][0], chain) for key, (p, chain) in states.items()), key=_first), []
         while chain:
             letters.append(chain[0])
             chain = chain[1]
-        return "".join(reversed(letters))
+        return p, "".join(reversed(letters))
+
+    def _masked(self, states: dict) -> dict:
+        """The states after a mask, which stands for any letter or for none; all letters at once, as one array."""
+        size = self._size
+        p = np.full(size * size, -np.inf)
+        p[list(states)] = [q for q, _ in states.values()]
+        reached = p.reshape(size, size, 1) + self._table
+        came, reached = reached.argmax(0).ravel(), reached.max(0).ravel() + _MASKED
+        reached[::size] = -np.inf
+        following = {key: (q + _DROPPED, chain) for key, (q, chain) in states.items()}
+        best = int(reached.argmax())
+        for key in np.flatnonzero(reached >= reached[best] - self._loss[best]).tolist():
+            q, old = float(reached[key]), following.get(key)
+            if old is None or old[0] < q:
+                behind, n = divmod(key, size)
+                following[key] = (q, (LETTERS[n - 1], states[int(came[key]) * size + behind][1]))
+        return following
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
