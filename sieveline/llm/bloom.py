@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A level that lets half the other keys through needs this many bits a key.
@@ -89,9 +89,26 @@ def keep_named(df: DataFrame, name: str, names: DataFrame, few: int = FEW_NAMES,
     n = names.limit(few + 1).count()
     if n <= few:
         return df.join(F.broadcast(names.select(F.col("name").alias("_wanted"))), F.col(name) == F.col("_wanted"), "left_semi")
+    named = _lets_through(df, name, names, most_bytes)
+    return df if named is None else df.where(named)
+
+
+def split_named(df: DataFrame, name: str, names: DataFrame, most_bytes: int = NAME_BYTES) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``df`` whose long ``name`` may be in ``names (name)``, all distinct, and all other rows.
+
+    Only the first need a join, so the others aren't shuffled; ``df`` is read
+    for each of the two. Of so many names that their Bloom filter would exceed
+    ``most_bytes``, all rows are in the first and there is no second.
+    """
+    named = _lets_through(df, name, names, most_bytes)
+    return (df, None) if named is None else (df.where(named), df.where(~named))
+
+
+def _lets_through(df: DataFrame, name: str, names: DataFrame, most_bytes: int) -> Column | None:
+    """Whether a Bloom filter of ``names`` lets a row through; none if it would exceed ``most_bytes``."""
     n = names.count()
     if sized(n, NAME_HASHES) > 8 * most_bytes:
-        return df
+        return None
     hashed = names.select(F.col("name").alias("h1"), F.xxhash64("name").alias("h2"))
     sent = df.sparkSession.sparkContext.broadcast(filter_of(hashed, n, 0, NAME_HASHES))
 
@@ -99,4 +116,4 @@ def keep_named(df: DataFrame, name: str, names: DataFrame, few: int = FEW_NAMES,
     def wanted(h1: pa.Array, h2: pa.Array) -> pa.Array:
         return pa.array(within(sent.value, 0, np.stack([h1.to_numpy(zero_copy_only=False), h2.to_numpy(zero_copy_only=False)], 1).view(np.uint64)))
 
-    return df.where(wanted(F.col(name), F.xxhash64(name)))
+    return wanted(F.col(name), F.xxhash64(name))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as xxh3
 
+from .bloom import split_named
 from .common import broadcast_if_small, materialize, text_or_empty
 
 #: A cut every so many bytes on average.
@@ -205,13 +206,22 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str =
     """
     found = materialize(repeats(docs, min_words, id_column, text_column), "repeats")
     total = lambda runs: F.coalesce(F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, r: a + r["words"]), F.lit(0).cast("bigint"))
-    found = broadcast_if_small(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "removed", "linked", total(F.col("shared")).alias("n_shared_words")), BROADCAST_VALUES, 6 + 4 * F.size("removed") + F.size("linked"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "removed", "linked", total(F.col("shared")).alias("n_shared_words"))
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).withColumn("key", F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     part = lambda start, end: F.decode(F.substring("bytes", (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
     behind = lambda i: F.coalesce(F.get("removed", i - 1)["end"], F.lit(0).cast("bigint"))
     pieces = F.transform("removed", lambda r, i: part(behind(i), r["start"]))
     text = F.concat(F.array_join(pieces, ""), part(behind(F.size("removed")), F.octet_length("bytes")))
-    joined = source.join(found, source["doc_id"].eqNullSafe(found["_id"]) & (source["key"] == found["_key"]), "left").withColumn("bytes", F.encode("text", "UTF-8"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    small = broadcast_if_small(found, BROADCAST_VALUES, 6 + 4 * F.size("removed") + F.size("linked"))
+    if small is found:
+        # too large to be sent: the texts without a repeat, by a Bloom filter, stay where they are
+        maybe, others = split_named(source.withColumn("name", F.xxhash64("doc_id", "key")), "name", found.select(F.xxhash64("_id", "_key").alias("name")).distinct())
+        joined = maybe.join(found, same, "left")
+        joined = joined if others is None else joined.unionByName(others, allowMissingColumns=True)
+    else:
+        joined = source.join(small, same, "left")
+    joined = joined.withColumn("bytes", F.encode("text", "UTF-8"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
     cut = F.when(F.size("removed") > 0, text).otherwise(F.col("text"))
     return joined.select("doc_id", cut.alias("text"), total(F.col("removed")).alias("n_removed_words"), F.coalesce("n_shared_words", F.lit(0)).cast("bigint").alias("n_shared_words"), F.coalesce(spans, F.lit("")).alias("removed"), F.coalesce("linked", F.array().cast("array<bigint>")).alias("linked"))

@@ -7,7 +7,7 @@ import time
 
 import pytest
 
-from sieveline.llm import decontamination, secrets, substrings
+from sieveline.llm import bloom, decontamination, secrets, substrings
 
 ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
@@ -229,6 +229,33 @@ def test_repeats_against_brute_force(spark):
     assert sorted((r.doc_id, r.text, r.n_removed_words, r.removed) for r in found) == brute_repeats(rows, 8)
 
 
+def test_only_texts_with_repeats_are_shuffled_where_the_table_is_large(spark, monkeypatch):
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+    passage = say(60)
+    rows = [(n, say(40) + (" " + passage if n % 10 == 0 else "")) for n in range(200)] + [(None, passage), (None, say(30)), (7, None), (8, ""), (10, passage), (10, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tell = lambda df: sorted(map(repr, df.collect()))
+    sent = tell(substrings.remove_repeats(docs))
+    assert sum("n_removed_words=0" not in row for row in sent) > 15
+    monkeypatch.setattr(substrings, "BROADCAST_VALUES", 0)
+    split = substrings.remove_repeats(docs)
+    assert split.columns == ["doc_id", "text", "n_removed_words", "n_shared_words", "removed", "linked"]
+    assert tell(split) == sent
+    # too many names for a filter: all rows are joined
+    monkeypatch.setattr(substrings, "split_named", lambda df, name, names: bloom.split_named(df, name, names, 0))
+    assert tell(substrings.remove_repeats(docs)) == sent
+
+
+def test_split_by_names_loses_no_row(spark):
+    rows = spark.range(5_000).selectExpr("id AS name", "id % 7 AS x").union(spark.range(10).selectExpr("id AS name", "id AS x"))
+    maybe, others = bloom.split_named(rows, "name", spark.range(0, 5_000, 50).selectExpr("id AS name"))
+    assert {r.name for r in maybe.collect()} >= set(range(0, 5_000, 50)) and maybe.count() < 300
+    assert sorted(maybe.union(others).collect()) == sorted(rows.collect())
+    none, all_rows = bloom.split_named(rows, "name", spark.range(0).selectExpr("id AS name"))
+    assert none.count() == 0 and all_rows.count() == 5_010
+
+
 def test_many_secrets_in_one_text_take_seconds(spark):
     n = 20_000
     text = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(n))
