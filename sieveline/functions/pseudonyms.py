@@ -18,9 +18,9 @@ def short_digest(value: Column) -> Column:
 
 
 def ip(value: Column) -> Column:
-    """An address in 10.0.0.0/8 from the first three bytes of the digest."""
+    """An address in 10.0.0.0/8 from the first three bytes of the digest; null for null."""
     byte = lambda n: F.conv(F.substring(digest(value), 2 * n + 1, 2), 16, 10)
-    return F.concat_ws(".", F.lit("10"), byte(0), byte(1), byte(2))
+    return F.concat(F.lit("10."), byte(0), F.lit("."), byte(1), F.lit("."), byte(2))
 
 
 def email(value: Column) -> Column:
