@@ -22,7 +22,9 @@ there are several such choices, worked out from the similarity so that a pair
 is in no group together with a small, stated probability; the functions to
 agree on grow with the number of rows, and the choices with them, but slowly.
 What the wide trie finds are candidates. They are held against each other by
-their sets of shingles, exactly, before anything is tied together.
+their sets of shingles, exactly, before anything is tied together. Groups that
+too many rows share are cut for a first pass, which ties what is closest; then
+all rows of such a group that aren't tied meet each other, block by block.
 """
 
 from __future__ import annotations
@@ -218,10 +220,14 @@ class _Trie:
         # the first child of each node, and one past the last
         self.children = [np.append(np.searchsorted(low, high), len(low)) for high, low in zip(self.starts, self.starts[1:], strict=False)]
 
-    def tie(self, budget: int, labels: np.ndarray, alike=None) -> np.ndarray:
-        """``labels`` after all leaves within ``budget`` bits (and ``alike``, if given) were tied; node pairs below which all is tied aren't followed."""
-        roots = np.arange(len(self.starts[0]))
-        stack, fresh = [(0, roots, roots, np.zeros(len(roots), np.int16))], False
+    def tie(self, budget: int, labels: np.ndarray, alike=None, pairs=None) -> np.ndarray:
+        """``labels`` after all leaves within ``budget`` bits (and ``alike``, if given) were tied; node pairs below which all is tied aren't followed.
+
+        The leaves of each root are held against each other, or those of the
+        ``pairs`` of roots, if given.
+        """
+        a, b = pairs or (np.arange(len(self.starts[0])),) * 2
+        stack, fresh = [(0, a, b, np.zeros(len(a), np.int16))] if len(a) else [], False
         while stack:
             level, a, b, spent = stack.pop()
             if level == len(self.steps) - 1:
@@ -252,12 +258,12 @@ class _Trie:
                 stack.append((level + 1, i[keep], j[keep], cost[keep]))
         return labels
 
-    def links(self, budget: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and the first rows of the groups they are tied into. The budget grows, so that dense groups are tied by their closest pairs."""
-        labels = np.arange(len(self.keys))
+    def links(self, budget: int, alike=None, given: np.ndarray | None = None, pairs=None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the first rows of the groups they are tied into; of groups ``given`` as their first rows, those that are tied further. The budget grows, so that dense groups are tied by their closest pairs."""
+        labels = given = np.arange(len(self.keys)) if given is None else given
         for allowed in sorted({-(-budget // 3), -(-2 * budget // 3), budget}):
-            labels = self.tie(allowed, labels, alike)
-        linked = np.flatnonzero(labels != np.arange(len(labels)))
+            labels = self.tie(allowed, labels, alike, pairs)
+        linked = np.flatnonzero((labels != given) & (given == np.arange(len(labels))))
         return linked, labels[linked]
 
 
@@ -287,12 +293,12 @@ def _masks(parts: int, budget: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(runs, parts - budget)]
 
 
-def _by_group(batches, columns: list[str], chunk: int):
-    """Tables of whole groups (rows alike in ``columns``, which come together), of about ``chunk`` rows or one group."""
+def _by_group(batches, columns: list[str], chunk: int, chunk_bytes: int = 1 << 62):
+    """Tables of whole groups (rows alike in ``columns``, which come together), of about ``chunk`` rows, ``chunk_bytes`` bytes or one group."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) < chunk:
+        if sum(x.num_rows for x in held) < chunk and sum(x.nbytes for x in held) < chunk_bytes:
             continue
         rows = pa.Table.from_batches(held)
         changes = np.zeros(rows.num_rows - 1, bool)
@@ -384,9 +390,8 @@ def _turned(fps: np.ndarray, n: int) -> np.ndarray:
     return np.roll(fps, 5 * n, axis=1)
 
 
-def _dealt(rows: DataFrame, agreed: int, turns: int) -> DataFrame:
-    """``turn, key`` of ``rows (fp, least)``, ``set`` with them if there is one: a row for each choice of least hashes, ``key`` begins with those."""
-    with_set = "set" in rows.columns
+def _dealt(rows: DataFrame, agreed: int, turns: int, *carried: str) -> DataFrame:
+    """``turn, head, key`` of ``rows (fp, least)`` and the ``carried`` columns: a row for each choice of least hashes, ``head`` stands for those and ``key`` begins with it."""
 
     def turn(batches):
         for batch in batches:
@@ -394,20 +399,31 @@ def _dealt(rows: DataFrame, agreed: int, turns: int) -> DataFrame:
                 continue
             fps, least = _bytes(batch.column(0)), _bytes(batch.column(1)).view("<u4")
             for n in range(turns):
-                key = np.zeros(len(fps), np.uint64)
+                head = np.zeros(len(fps), np.uint64)
                 for i in range(agreed):
-                    key = _mixed(key ^ least[:, n * agreed + i], 1)
+                    head = _mixed(head ^ least[:, n * agreed + i], 1)
                 others = least[:, [((n + 1) * agreed + i) % least.shape[1] for i in range(8)]].astype(np.uint8)
-                key = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), others, _turned(fps, n)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), n, np.int32)), _binary(key), *batch.columns[2:]], names=["turn", "key", *["set"] * with_set])
+                key = np.concatenate([head.astype(">u8").view(np.uint8).reshape(-1, 8), others, _turned(fps, n)], axis=1)
+                columns = [pa.array(np.full(len(fps), n, np.int32)), pa.array(head.view(np.int64)), _binary(key), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["turn", "head", "key", *carried])
+
+    types = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.select("fp", "least", *carried).mapInArrow(turn, f"turn int, head bigint, key binary{types}")
+
 
-    return rows.select("fp", "least", *["set"] * with_set).mapInArrow(turn, "turn int, key binary" + ", set binary" * with_set)
+#: What links of wide fingerprints are yielded as, and where their tries have nodes.
+_WIDE_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_WIDE_DEPTHS = list(range(WIDE_STEP, 64 * WORDS + 1, WIDE_STEP))
 
 
-def _trie_links(dealt: DataFrame, budget: int, group: int, chunk: int) -> DataFrame:
-    """``a, b``: links within the groups of ``dealt``, sorted by ``turn, key``; exact ones if it has a ``set``."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    depths = list(range(WIDE_STEP, 64 * WORDS + 1, WIDE_STEP))
+def _trie_links(dealt: DataFrame, budget: int, chunk: int, cut: int | None = None) -> DataFrame:
+    """``a, b``: links within the groups of ``dealt (turn, key)``, sorted by both; exact ones if it has a ``set``.
+
+    A group, which agrees on the first eight bytes of ``key``, is worked on
+    whole. With ``cut``, groups of more rows are cut by what else they agree
+    on, and where a task or a chunk ends; links between the parts are left to
+    :func:`_rest_links`.
+    """
 
     def join(batches):
         held, size = [], 0
@@ -431,9 +447,11 @@ def _trie_links(dealt: DataFrame, budget: int, group: int, chunk: int) -> DataFr
         new = np.flatnonzero(np.append(True, (turn_of[1:] != turn_of[:-1]) | (keys[1:] != keys[:-1]).any(1)))
         turn_of, raw, keys, sets = turn_of[new], raw[new], keys[new], [sets[i] for i in new] if sets else []
         shared = np.where(np.append(True, turn_of[1:] != turn_of[:-1]), 0, _shared_bits(keys))
-        roots = _roots(shared, 64, group)
-        end = len(keys) if last or len(roots) == 1 else int(roots[-1])
+        roots = _roots(shared, 64, cut or len(keys))
+        end = len(keys) if last or (cut and len(roots) == 1) else int(roots[-1])
         rest = (turn_of[end:], raw[end:], sets[end:]) if end < len(keys) else None
+        if not end:
+            return [], rest
         roots = roots[roots < end]
         of = np.repeat(np.arange(len(roots)), np.diff(np.append(roots, end)))
         alone = np.diff(np.append(roots, end)) == 1
@@ -446,36 +464,113 @@ def _trie_links(dealt: DataFrame, budget: int, group: int, chunk: int) -> DataFr
         fps, paired, of = fps[order], paired[order], of[order]
         first = np.append(True, of[1:] != of[:-1])
         alike = _Similar([sets[i] for i in paired]) if sets else None
-        linked, to = _Trie(fps, np.where(first, 0, _shared_bits(fps)), np.flatnonzero(first), depths).links(budget, alike)
+        linked, to = _Trie(fps, np.where(first, 0, _shared_bits(fps)), np.flatnonzero(first), _WIDE_DEPTHS).links(budget, alike)
         linked, to = paired[linked], paired[to]
         out = []
         for n in np.unique(turn_of[linked]):
             some = turn_of[linked] == n
-            out.append(pa.RecordBatch.from_arrays([_binary(_turned(raw[x[some], 16:], -n)) for x in (linked, to)], schema=schema))
+            out.append(pa.RecordBatch.from_arrays([_binary(_turned(raw[x[some], 16:], -n)) for x in (linked, to)], schema=_WIDE_LINKS))
         return out, rest
 
-    return dealt.mapInArrow(join, "a binary, b binary")
+    return dealt.select("turn", "key", *(c for c in dealt.columns if c == "set")).mapInArrow(join, "a binary, b binary")
 
 
-def wide_links(distinct: DataFrame, agreed: int, turns: int, budget: int = WIDE_BUDGET, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
-    """``a, b``: links between distinct wide fingerprints in column ``fp`` with their ``least`` hashes; see the module's text for what may be missed.
-
-    Rows are sorted by turn (the choice), the agreed hashes, eight other least
-    hashes and the fingerprint, and dealt out by range, so a group that a
-    large share of all rows falls into is spread over tasks; rows of groups of
-    more than ``group`` are joined with those that agree on more of what they
-    are sorted by, which is other hashes and bits in each turn. If the rows
-    have a ``set`` of hashes, too, only those are tied that are so similar.
+def _cells(rows: DataFrame, group: int) -> DataFrame:
+    """``turn, head, x, y, kind, side, fp, root`` (and ``set``): what is left to be held against each other in the groups of ``rows (turn, head, fp, root)``.
+
+    Rows with one ``root`` are tied already. The rows of a group's commonest
+    root are dealt into blocks, and so are all others; each block of others
+    meets itself, the other ones and those of the commonest root in a cell
+    each. A cell has two blocks, its sides, of about ``group`` rows or
+    ``CHUNK_BYTES`` of sets; a group that is tied as a whole has none.
     """
-    dealt = _dealt(distinct, agreed, turns)
-    return _trie_links(dealt.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key"), budget, group, chunk)
+    carried = [c for c in rows.columns if c == "set"]
+    size = F.sum(F.octet_length("set")) if carried else F.lit(0).cast("bigint")
+    by_root = rows.groupBy("turn", "head", "root").agg(F.count("*").alias("n"), size.alias("bytes"))
+    groups = by_root.groupBy("turn", "head").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("most"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / group, size / CHUNK_BYTES)).cast("int")
+    groups = groups.where(F.col("n") > F.col("most.n")).select(
+        "turn",
+        "head",
+        F.col("most.root").alias("common"),
+        blocks(F.col("most.n"), F.col("most.bytes")).alias("n_common"),
+        blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("n_others"),
+    )
+    met = rows.join(broadcast_if_small(materialize(groups, "groups"), BROADCAST_ROWS), ["turn", "head"])
+    common, n_common, n_others = F.col("root") == F.col("common"), F.col("n_common"), F.col("n_others")
+    met = met.withColumn("block", F.pmod(F.xxhash64("fp"), F.when(common, n_common).otherwise(n_others)).cast("int"))
+    cell = lambda x, y, kind, side: F.struct(x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"), side.cast("int").alias("side"))
+    each, block = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make), F.col("block")
+    among = each(n_others, lambda i: cell(F.least(i, block), F.greatest(i, block), 0, i < block))
+    across = each(n_common, lambda i: cell(block, i, 1, F.lit(False)))
+    cells = F.when(common, each(n_others, lambda i: cell(i, block, 1, F.lit(True)))).otherwise(F.concat(among, across))
+    return met.select("turn", "head", "fp", "root", *carried, F.explode(cells).alias("cell")).select("turn", "head", "cell.*", "fp", "root", *carried)
+
+
+def _rest_links(cells: DataFrame, budget: int, chunk: int) -> DataFrame:
+    """``a, b``: links between the two sides of each of the ``cells`` (see :func:`_cells`), or within the one side of a block that meets itself."""
+    of_cell = ["turn", "head", "x", "y", "kind"]
+
+    def join(batches):
+        for rows in _by_group(batches, of_cell, chunk, CHUNK_BYTES):
+            cell, side = np.zeros(rows.num_rows, bool), rows["side"].to_numpy()
+            cell[0] = True
+            for name in of_cell:
+                values = rows[name].to_numpy()
+                cell[1:] |= values[1:] != values[:-1]
+            first = cell | np.append(True, side[1:] != side[:-1])
+            roots = np.flatnonzero(first)
+            number, (x, y, kind) = np.cumsum(cell)[roots], (rows[name].to_numpy()[roots] for name in ("x", "y", "kind"))
+            itself = np.flatnonzero((kind == 0) & (x == y))
+            left = np.flatnonzero(number[1:] == number[:-1])
+            raw = _bytes(rows["fp"])
+            fps = raw.view(">u8").astype(np.uint64)
+            _, at, same = np.unique(_bytes(rows["root"]).view(">u8"), axis=0, return_index=True, return_inverse=True)
+            alike = _Similar([np.frombuffer(s, "<u8") for s in rows["set"].to_pylist()]) if "set" in rows.column_names else None
+            trie = _Trie(fps, np.where(first, 0, _shared_bits(fps)), roots, _WIDE_DEPTHS)
+            linked, to = trie.links(budget, alike, at[same], (np.append(itself, left), np.append(itself, left + 1)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([_binary(raw[linked]), _binary(raw[to])], schema=_WIDE_LINKS)
+
+    columns = [*of_cell, "side", "fp", "root", *(c for c in cells.columns if c == "set")]
+    return cells.select(*columns).repartition(*of_cell).sortWithinPartitions(*of_cell, "side", "fp").mapInArrow(join, "a binary, b binary")
 
 
-def _member_links(members: DataFrame, budget: int, group: int, chunk: int) -> DataFrame:
+def wide_links(distinct: DataFrame, agreed: int, turns: int, budget: int = WIDE_BUDGET, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
+    """``a, b``: links between distinct wide fingerprints in column ``fp`` with their ``least`` hashes that tie together all pairs of a group; see the module's text for what is in no group together.
+
+    A group (one choice of least hashes that all its rows agree on) of up to
+    ``group`` rows is worked on in one task. Larger ones are sorted by the
+    agreed hashes, eight other least hashes and the fingerprint, and dealt out
+    by range, so that each row is held against those that it agrees with on
+    more, other hashes and bits in each turn; that ties most of what is alike.
+    What isn't tied after that meets in cells of two blocks of a group each,
+    so no pair of a group is left out: its work grows with the untied rows of
+    a large group times all its rows, a task's memory with ``group``. If the
+    rows have a ``set`` of hashes, too, only those are tied that are so similar.
+    """
+    carried = [c for c in distinct.columns if c == "set"]
+    weighed = distinct.withColumn("size", F.octet_length("set") if carried else F.lit(0))
+    sizes = _dealt(weighed, agreed, turns, "size").groupBy("turn", "head").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    crowded = materialize(sizes.where((F.col("n") > group) | (F.col("bytes") > CHUNK_BYTES)).select("turn", "head"), "crowded")
+    whole = lambda rows: _trie_links(rows.repartition("turn", "head").sortWithinPartitions("turn", "key"), budget, chunk)
+    dealt = _dealt(distinct, agreed, turns, *carried)
+    if crowded.isEmpty():
+        return whole(dealt)
+    known = broadcast_if_small(crowded, BROADCAST_ROWS)
+    closest = dealt.join(known, ["turn", "head"], "left_semi").repartitionByRange("turn", "key").sortWithinPartitions("turn", "key")
+    found = whole(dealt.join(known, ["turn", "head"], "left_anti")).union(_trie_links(closest, budget, chunk, group))
+    tied = materialize(components(found), "tied")
+    rooted = distinct.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), *carried)
+    rows = _dealt(materialize(rooted, "rooted"), agreed, turns, "fp", "root", *carried).join(known, ["turn", "head"], "left_semi").drop("key")
+    return tied.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_rest_links(_cells(rows, group), budget, chunk))
+
+
+def _member_links(members: DataFrame, budget: int, chunk: int) -> DataFrame:
     """Exact links between the ``members (root, fp, set)`` of small groups, each in one task."""
     zeros = F.lit(bytearray(8))
     dealt = members.select(F.lit(0).alias("turn"), F.concat(F.unhex(F.lpad(F.hex(F.xxhash64("root")), 16, "0")), zeros, "fp").alias("key"), "set")
-    return _trie_links(dealt.repartition(F.substring("key", 1, 8)).sortWithinPartitions("turn", "key"), budget, group, chunk)
+    return _trie_links(dealt.repartition(F.substring("key", 1, 8)).sortWithinPartitions("turn", "key"), budget, chunk)
 
 
 # --- classes ------------------------------------------------------------------------
@@ -528,21 +623,26 @@ def similar_links(docs: DataFrame, distinct: DataFrame, agreed: int, turns: int,
     First the trie ties fingerprints within ``budget`` bits: that finds which
     rows have a candidate at all. Of those alone the sets of shingles are made,
     from one row for each fingerprint. A loosely tied group of up to ``group``
-    fingerprints is then worked on whole in one task; those of larger ones go
-    through the choices of least hashes again, with their sets. In both the
-    trie yields pairs within the budget, and what two sets say decides.
+    fingerprints and ``CHUNK_BYTES`` of sets is then worked on whole in one
+    task; those of larger ones go through the choices of least hashes again,
+    with their sets. In both the trie yields pairs within the budget, and what
+    two sets say decides.
     """
     loose = materialize(components(wide_links(distinct, agreed, turns, budget, group, chunk)), "loose")
-    large = loose.groupBy("root").count().where(F.col("count") > group).select("root", F.lit(True).alias("large"))
-    members = loose.join(broadcast_if_small(materialize(large, "large"), BROADCAST_ROWS), "root", "left").withColumnRenamed("node", "fp")
-    members = members.join(distinct, "fp").select("fp", "root", "least", F.coalesce("large", F.lit(False)).alias("large"), F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    members = loose.withColumnRenamed("node", "fp").join(distinct, "fp").select("fp", "root", "least", F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
     members = materialize(members.withColumn("name", F.xxhash64("_id", "_key")), "members")
     named = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     named = named.withColumn("name", F.xxhash64("doc_id", F.xxhash64(F.encode(text_or_empty(), "UTF-8"))))
     sets = shingle_sets(keep_named(named, "name", members.select("name").distinct()), shingle, "doc_id", "text").dropDuplicates(["doc_id", "key"])
-    made = members.join(sets, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))).select("fp", "root", "least", "large", "set")
+    made = members.join(sets, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))).select("fp", "root", "least", "set")
     made = materialize(made, "sets")
-    return _member_links(made.where("not large"), budget, group, chunk).union(wide_links(made.where("large"), agreed, turns, budget, group, chunk))
+    sizes = made.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
+    large = materialize(sizes.where((F.col("n") > group) | (F.col("bytes") > CHUNK_BYTES)).select("root"), "large")
+    if large.isEmpty():
+        return _member_links(made, budget, chunk)
+    large = broadcast_if_small(large, BROADCAST_ROWS)
+    again = made.join(large, "root", "left_semi").drop("root")
+    return _member_links(made.join(large, "root", "left_anti"), budget, chunk).union(wide_links(again, agreed, turns, budget, group, chunk))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = WIDE_BUDGET, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP, chunk: int = CHUNK) -> DataFrame:

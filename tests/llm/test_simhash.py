@@ -225,6 +225,25 @@ def test_pairs_are_asked_for_until_they_are_tied():
     assert same(np.array([0, 1, 0, 3, 0]), np.array([1, 2, 2, 4, 3])).tolist() == [True, False, True, True, False]
 
 
+@pytest.mark.parametrize(("group", "n"), [(2_000, 400), (10, 400), (10, 12)])
+@pytest.mark.parametrize("with_sets", [False, True])
+def test_no_pair_of_a_group_is_left_out(spark, group, n, with_sets):
+    """All rows agree on all least hashes that make the groups; pairs of fingerprints differ anywhere. Also where the group is crowded and cut, and where tasks and chunks end."""
+    rng = random.Random(n + group)
+    fps = [rng.getrandbits(256) for _ in range(n // 2)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(256), rng.randint(40, 52))) for f in fps[: n // 3]]
+    sets = [np.arange(20 * (k % (n // 2)), 20 * (k % (n // 2)) + 20) + (np.arange(20) % 4 == 0) * (10**6 + k) * (k % 3 == 0) for k in range(len(fps))]
+    rows = [(f.to_bytes(32, "big"), np.array([7, 8, 9, 10, *(rng.getrandbits(32) for _ in range(8))], "<u4").tobytes(), np.sort(s).astype("<u8").tobytes()) for f, s in zip(fps, sets, strict=True)]
+    df = spark.createDataFrame(rows, "fp binary, least binary, set binary").repartition(3)
+    links = simhash.wide_links(df if with_sets else df.drop("set"), 4, 1, group=group, chunk=5 * group).collect()
+    known = dict(zip(fps, map(set, (s.tolist() for s in sets)), strict=True))
+    near = lambda a, b: (a ^ b).bit_count() <= 52 and (not with_sets or 10 * len(known[a] & known[b]) >= 8 * len(known[a] | known[b]))
+    expected = brute_groups(fps, near)
+    assert n // 9 <= len(fps) - len(set(expected.values())) <= n // 3 + 1
+    linked = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in links}
+    assert brute_groups(fps, lambda a, b: (a, b) in linked) == expected
+
+
 def test_choices_grow_slowly_with_the_number_of_rows():
     assert simhash.choices(2) == simhash.choices(1 << 20) == (4, 11)
     for n in (1, 1 << 20, 1 << 30, 5 * 10**10):
