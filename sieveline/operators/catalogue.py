@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dialect
 from ..sources.rules import Rule, hash_text
-from .scan import NONE, applies, once
+from .scan import NONE, applies, in_pieces, once
 
 #: Characters that one automaton (some 50 bytes each) is made of; a larger catalogue is scanned in parts.
 PART_CHARACTERS = 2_000_000
@@ -79,6 +80,8 @@ class _Index:
         return [(n, *span) for n in sorted(found) if found[n] and wanted(self.at[n]) for span in found[n]]
 
 
+#: The fields of a match as Arrow has them.
+_FIELDS = {n: pa.int32() if n in ("ord", "start", "end") else pa.string() for n in ("ord", "rule_id", "action", "reason", "replacement", "start", "end", "text", "segment_hash")}
 #: Indexes that a worker has made, by their catalogue's digest.
 _made: dict[str, _Index] = {}
 
@@ -107,31 +110,21 @@ def _matcher(part: list[tuple[int, Rule]], spark):
     sent = spark.sparkContext.broadcast(part)
 
     @F.arrow_udf(NONE)
-    def found(texts: pa.Array, channels: pa.Array, tools: pa.Array) -> pa.Array:
+    def found(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         index = _index(name, sent.value)
         place = {n: i for i, (n, _) in enumerate(index.rules)}
-        offsets, rows, pieces = [0], [], []
-        for text, channel, tool in zip(texts.to_pylist(), channels.to_pylist(), tools.to_pylist(), strict=True):
-            wanted = lambda rule: rule.target in ("both", channel) and (rule.tool is None or rule.tool == tool)  # noqa: B023, E731
-            some = index.spans(text, wanted) if text else []
-            rows += some
-            pieces += [text[start:end] for _, start, end, _ in some]
-            offsets.append(len(rows))
-        ords, starts, ends, digests = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
-        at = pa.array([place[n] for n in ords], pa.int32())
-        of = lambda value: pa.array([value(rule) for _, rule in index.rules], pa.string()).take(at)
-        columns = {
-            "ord": pa.array(ords, pa.int32()),
-            "rule_id": of(lambda r: r.id),
-            "action": of(lambda r: r.action),
-            "reason": of(lambda r: r.reason),
-            "replacement": of(lambda r: r.replacement),
-            "start": pa.array(starts, pa.int32()),
-            "end": pa.array(ends, pa.int32()),
-            "text": pa.array(pieces, pa.string()),
-            "segment_hash": pa.array(digests, pa.string()),
-        }
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+        values = [pa.array([getattr(rule, k) for _, rule in index.rules], pa.string()) for k in ("id", "action", "reason", "replacement")]
+
+        def columns(rows: list[tuple]) -> list:
+            ords, starts, ends, digests, pieces = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [])
+            at = pa.array([place[n] for n in ords], pa.int32())
+            return [ords, *(of.take(at) for of in values), starts, ends, pieces, digests]
+
+        def spans(text: str | None, channel: str | None, tool: str | None) -> list[tuple]:
+            wanted = lambda rule: rule.target in ("both", channel) and (rule.tool is None or rule.tool == tool)
+            return [(*span, text[span[1] : span[2]]) for span in index.spans(text, wanted)] if text else []
+
+        yield from in_pieces((spans(*(x.as_py() for x in row)) for batch in batches for row in zip(*batch, strict=True)), _FIELDS, columns)
 
     return found
 

@@ -7,6 +7,7 @@ rules.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,6 +69,33 @@ def applies(rule: Rule, channel: Column | str, tool: Column | None) -> Column |
     return F.coalesce(test, F.lit(False))
 
 
+#: Found values, and rows, that Python holds at most before they leave it as an Arrow array.
+HELD, HELD_ROWS = 50_000, 10_000
+
+
+def in_pieces(lists: Iterator[list[tuple]], fields: dict[str, pa.DataType], columns=None) -> Iterator[pa.Array]:
+    """Lists of tuples, one for each row, as Arrow arrays of lists of structs of ``fields``; ``columns`` makes these of many tuples.
+
+    An array ends after ``HELD`` tuples, however many a batch of rows has, so
+    memory doesn't grow with what is found in a batch.
+    """
+    columns = columns or (lambda rows: list(zip(*rows, strict=True)) or [()] * len(fields))
+
+    def array() -> pa.Array:
+        made = [pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns(rows), fields.values(), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays(made, list(fields)))
+
+    sizes, rows = [0], []
+    for some in lists:
+        sizes.append(len(some))
+        rows += some
+        if len(rows) >= HELD or len(sizes) > HELD_ROWS:
+            yield array()
+            sizes, rows = [0], []
+    if len(sizes) > 1:
+        yield array()
+
+
 def as_match(rule: Rule, ord_: int, start: Column, end: Column, text: Column, segment_hash: Column | None = None) -> Column:
     null = F.lit(None).cast("string")
     return F.struct(

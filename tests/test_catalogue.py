@@ -2,11 +2,13 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import dialect
 from sieveline.operators import catalogue
+from sieveline.operators import scan as scans
 from sieveline.operators.decide import decide
 from sieveline.operators.scan import scan
 from sieveline.sources.rules import Rule, hashed_rule
@@ -49,6 +51,16 @@ def test_the_plan_is_the_same_for_any_number_of_rules(spark):
     assert [m.rule_id for m in found.matches] == [f"r{i}" for i in expected]
 
 
+def test_matches_leave_python_in_bounded_pieces(spark):
+    """A batch of rows with many matches doesn't become one array."""
+    made = list(scans.in_pieces(iter([[(n, str(n))] * 7_000 for n in range(30)] + [[]] * 25_000), {"a": pa.int32(), "b": pa.string()}))
+    assert max(len(x.values) for x in made) < scans.HELD + 7_000 and max(map(len, made)) <= scans.HELD_ROWS
+    assert sum((x.to_pylist() for x in made), []) == [[{"a": n, "b": str(n)}] * 7_000 for n in range(30)] + [[]] * 25_000
+    df = spark.createDataFrame([(n, "ab " * 20_000 if n % 2 else None) for n in range(12)], "id int, text string").repartition(1)
+    found = catalogue.scan_catalogue(df, [Rule("a", "ab", is_regex=False), Rule("b", "b .")]).select("id", F.size("matches").alias("n"), F.get("matches", F.lit(39_998))["end"].alias("last"))
+    assert sorted(found.collect()) == [(n, 39_999 if n % 2 else 0, 59_998 if n % 2 else None) for n in range(12)]
+
+
 def test_errors_and_needs(spark):
     df = spark.createDataFrame([("x",)], "text string")
     with pytest.raises(ValueError, match="share an id"):
