@@ -7,8 +7,10 @@ rules.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -177,41 +179,58 @@ def matches(df: DataFrame, columns: list[str], out: str = "matches") -> DataFram
     return df.select(*columns, F.posexplode(out).alias("mord", "match")).select(*columns, "mord", "match.*")
 
 
-def _known_digests(known: DataFrame, text: Column, extractor: str) -> Column:
-    """The distinct segments of a text whose digest may be in ``known (segment_hash)``, by the digests' first 15 digits."""
+#: Digests' prefixes that a worker remembers by their segments, up to a length that words have.
+REMEMBERED, WORD_LENGTH = 100_000, 64
+
+
+def _known_spans(known: DataFrame, text: Column, extractor: str) -> Column:
+    """The spans of a text's segments whose digest may be in ``known (segment_hash)``, by the digests' first 15 digits.
+
+    Python goes through a text once and hashes a word once in a worker; only
+    segments that may be known leave it.
+    """
     prefix = F.conv(F.substring("segment_hash", 1, 15), 16, 10).cast("bigint")
     sent = known.sparkSession.sparkContext.broadcast(np.unique(known.select(prefix.alias("p")).distinct().toArrow()["p"].to_numpy()))
+    pattern, remembered = re.compile(extractor), {}
+
+    def may_be_known(segment: str) -> bool:
+        found = remembered.get(segment)
+        if found is None:
+            p = int(sha256(segment.encode()).hexdigest()[:15], 16)
+            at = int(np.searchsorted(sent.value, p))
+            found = at < len(sent.value) and int(sent.value[at]) == p
+            if len(segment) <= WORD_LENGTH:
+                if len(remembered) >= REMEMBERED:
+                    remembered.clear()
+                remembered[segment] = found
+        return found
+
+    def segments(text: str | None) -> list[tuple]:
+        return [(*m.span(), m.group()) for m in pattern.finditer(text) if may_be_known(m.group())] if text is not None else []
 
-    @F.arrow_udf("array<string>")
-    def among(segments: pa.Array, prefixes: pa.Array) -> pa.Array:
-        flat = prefixes.flatten().to_numpy(zero_copy_only=False)
-        at = np.searchsorted(sent.value, flat)
-        kept = sent.value[np.minimum(at, len(sent.value) - 1)] == flat if len(sent.value) else np.zeros(len(flat), bool)
-        sizes = prefixes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), segments.flatten().filter(pa.array(kept)))
+    @F.arrow_udf(spans.NONE)
+    def among(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fields = {"start": pa.int32(), "end": pa.int32(), "text": pa.string()}
+        yield from in_pieces((segments(text.as_py()) for texts in batches for text in texts), fields)
 
-    none = F.array().cast("array<string>")
-    segments = F.coalesce(F.array_distinct(F.regexp_extract_all(text, F.lit(dialect.to_java(extractor)), F.lit(0))), none)
-    return among(segments, F.transform(segments, lambda x: F.conv(F.substring(digest(x), 1, 15), 16, 10).cast("bigint")))
+    return among(text)
 
 
 def hashed_hits(df: DataFrame, rules: DataFrame, extractor: str, columns: list[str], text_column: str = "text", few: int = FEW_DIGESTS, most: int = MOST_DIGESTS) -> DataFrame:
     """Rows for the segments whose digest is in a table of hashed rules: ``columns``, the span, ``segment_hash`` and ``rule_id``.
 
     Segments are looked for in the row first, and only those that may be known
-    are placed in their text and joined to ``rules (rule_id, pattern)``: up to
-    ``few`` digests are part of the plan; up to ``most``, eight bytes of each
-    are sent to all executors; of more, all segments are joined. Up to
+    are joined to ``rules (rule_id, pattern)``: up to ``few`` digests are part
+    of the plan; up to ``most``, eight bytes of each are sent to all
+    executors, and Python finds the segments in one pass; of more, all
+    segments are joined. Up to
     ``BROADCAST_RULES`` rules are sent to all executors for the join.
     """
     known = rules.where("hashed").where(F.col("hash_extractor") == extractor).select("rule_id", F.col("pattern").alias("segment_hash"))
     n, text = known.count(), F.col(text_column)
-    kept, keep = unused(df, "kept"), None
     if n <= few:
-        keep = _digest_among([x for (x,) in known.select("segment_hash").distinct().collect()])
-    elif n <= most and dialect.to_java(extractor):
-        df = once(df, kept, _known_digests(known, text, extractor)).where(F.size(kept) > 0)
-        keep = lambda segment: F.array_contains(F.col(kept), segment)
-    segments = df.select(*columns, F.explode(pattern_spans(text, extractor, keep)).alias("s")).select(*columns, "s.*", digest(F.col("s.text")).alias("segment_hash"))
+        found = pattern_spans(text, extractor, _digest_among([x for (x,) in known.select("segment_hash").distinct().collect()]))
+    else:
+        found = _known_spans(known, text, extractor) if n <= most else pattern_spans(text, extractor)
+    segments = df.select(*columns, F.explode(found).alias("s")).select(*columns, "s.*", digest(F.col("s.text")).alias("segment_hash"))
     return segments.join(F.broadcast(known) if n <= BROADCAST_RULES else known, "segment_hash")

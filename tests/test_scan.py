@@ -110,3 +110,12 @@ def test_hashed_hits_are_the_same_by_any_way(spark, few, most):
     found = hashed_hits(df, rules, r"\w+", ["id"], few=few, most=most).collect()
     expected = sorted((n, m.start(), m.group()) for n, t in rows for m in re.finditer(r"\w+", t or "") if m.group() in words)
     assert sorted((x["id"], x["start"], x["rule_id"]) for x in found) == expected
+
+
+def test_many_digests_take_one_pass_of_each_text(spark):
+    df = spark.createDataFrame([(1, "key Alpha, beta; Alpha é😀beta"), (2, None), (3, ""), (4, "none here")], "id int, text string")
+    rules = to_frame(spark, [hashed_rule(x, x, hash_extractor=r"\w+?(?=\W|$)") for x in ("Alpha", "beta", "é😀")])
+    found = hashed_hits(df, rules, r"\w+?(?=\W|$)", ["id"], few=0)
+    assert sorted((r.id, r.rule_id, r.start, r.end) for r in found.collect()) == [(1, "Alpha", 4, 9), (1, "Alpha", 17, 22), (1, "beta", 11, 15), (1, "beta", 25, 29)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("among(") and "regexp_extract_all" not in plan and "split(" not in plan and "RLIKE" not in plan
