@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from hashlib import sha256
 
 import numpy as np
@@ -151,29 +151,47 @@ def _rule_matches(rule: Rule, ord_: int, text: Column, extracted: _Extracted) ->
     return F.transform(found, lambda s: as_match(rule, ord_, s["start"], s["end"], s["text"]))
 
 
-def scan(df: DataFrame, rules: list[Rule], text_column: str = "text", channel: Column | str = "tool", tool: Column | None = None, out: str = "matches", when: dict | None = None) -> DataFrame:
+def scan(df: DataFrame, rules: list[Rule], text_column: str = "text", channel: Column | str = "tool", tool: Column | None = None, out: str = "matches", when: dict | None = None, searched: str | None = None) -> DataFrame:
     """``df`` with an array column ``out`` of all matches of ``rules`` in ``text_column``.
 
     Rules without a pattern are left out. ``when`` may give a condition for a
     rule by its place in ``rules``. A null text has no matches. Two rules must
-    not share an id.
+    not share an id. ``searched`` names a column that :func:`search` made with
+    the same rules: a row whose text is the one searched there takes its
+    matches from there, those of the rules that hold for the row.
     """
     if len({rule.id for rule in rules}) < len(rules):
         raise ValueError("two rules share an id; merge them first")
     text, extracted, parts = F.col(text_column), _Extracted(), []
     usable = [(n, rule, test) for n, rule in enumerate(rules) if rule.pattern and (test := applies(rule, channel, tool)) is not False]
+    usable = [(n, rule, test if not when or n not in when else when[n] if test is True else test & when[n]) for n, rule, test in usable]
+    if searched:
+        left, before = unused(df, "unsearched"), F.col(searched)
+        same = F.coalesce(before["text"] == text, F.lit(False))
+        # without a text no rule has work to do
+        df, text = df.withColumn(left, F.when(~same, text)), F.col(left)
     df = extracted.add(df, [rule for _, rule, _ in usable], text)
     for n, rule, test in usable:
         found = _rule_matches(rule, n, text, extracted)
-        if found is None:
-            continue
-        if when and n in when:
-            test = when[n] if test is True else test & when[n]
-        parts.append(F.coalesce(found if test is True else F.when(test, found), no_matches()))
+        if found is not None:
+            parts.append(F.coalesce(found if test is True else F.when(test, found), no_matches()))
     found = F.flatten(F.array(*parts)) if parts else no_matches()
+    if searched:
+        always = [n for n, _, test in usable if test is True]
+        sometimes = [F.when(F.coalesce(test, F.lit(False)), F.lit(n)) for n, _, test in usable if test is not True]
+        holding = F.array(*map(F.lit, always), *sometimes).cast("array<int>")
+        found = F.when(same, F.filter(before["matches"], lambda m: F.exists(holding, lambda n: n == m["ord"]))).otherwise(found)
+        return once(df, out, found).drop(*extracted.columns.values(), left)
     return once(df, out, found).drop(*extracted.columns.values())
 
 
+def search(df: DataFrame, rules: list[Rule], text_column: str = "text", out: str = "searched") -> DataFrame:
+    """``df`` with a column ``out (text, matches)``: a text that several rows will hold, searched once for all rules, whatever channel and tool they are for."""
+    found = unused(df, "found")
+    df = scan(df, [replace(rule, target="both", tool=None) for rule in rules], text_column, out=found)
+    return df.withColumn(out, F.struct(F.col(text_column).alias("text"), F.col(found).alias("matches"))).drop(found)
+
+
 def matches(df: DataFrame, columns: list[str], out: str = "matches") -> DataFrame:
     """A row for each match, with its place among the row's matches in ``mord``."""
     return df.select(*columns, F.posexplode(out).alias("mord", "match")).select(*columns, "mord", "match.*")

@@ -2,8 +2,9 @@ import json
 
 import pytest
 
+from sieveline import workloads
 from sieveline.plans.check import check, summarize
-from sieveline.plans.events import decide_events
+from sieveline.plans.events import decide_events, search_events
 from sieveline.sources.files import events, requested_files
 from sieveline.sources.rules import Rule
 from sieveline.streaming.hooks import write_decisions
@@ -166,3 +167,28 @@ def test_a_stream_keeps_first_replacements(spark, tmp_path):
     assert made == [[("key-0", "1"), ("key-1", "1")], [("key-1", "1"), ("key-2", "2")]]
     kept = spark.read.parquet(options["vault_path"]).collect()
     assert sorted(r.replacement for r in kept) == ["1", "1", "2"] and all("key" not in r.original for r in kept)
+
+
+def test_texts_that_events_share_are_searched_once(spark):
+    rules = [Rule("word", r"\bkey\b", action="warn"), Rule("digits", "[0-9]+", action="redact", replacement="#", tool="Write"), Rule("both", "DATABASE", path_pattern="*.conf"), Rule("prompt", r"[a-z]+@test\.com", target="llm")]
+    texts = [f"key {KEY}\nbob@secret.com 12", "key 1 bob@test.com", "", "first", "é😀 key\n77 DATABASE\n", None, "plain\n"]
+
+    def made(text):
+        around = [text, f"first 5 key\n{text}", f"{text}\nkey 9 é😀", f"first{text}", f"{text}8", f"7\n{text}\n6", f"{text}{text}", None]
+        return [e for t in around for e in (pre("Write", file_path="a.conf", content=t), post("Other", t), prompt(t))]
+
+    for more in ([], [Rule("over", r"5 key\n\w+", action="warn"), Rule("begins", r"\Akey", action="warn")]):
+        rows = [(n, k, text, json.dumps(e)) for n, text in enumerate(texts) for k, e in enumerate(made(text))]
+        df = spark.createDataFrame(rows, "n int, k int, text string, value string")
+        decided = lambda df, **searched: decide_events(df, [*rules, *more], project_dir="/work", home="/home", **searched).drop("text", "searched").orderBy("n", "k").collect()
+        assert decided(search_events(df, [*rules, *more]), searched="searched") == decided(df)
+
+
+def test_events_of_a_text_read_it_for_one_search(spark):
+    tried = []
+    original = workloads.hooks.decide_events
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(workloads.hooks, "decide_events", lambda rows, rules, **options: tried.append(options) or original(rows, rules, **options))
+        for query in (workloads.event_decisions, workloads.event_tool_decisions):
+            query(spark, "/root/testdata/sf0.001")
+    assert [options.get("searched") for options in tried] == ["searched", "searched"]
